@@ -47,12 +47,13 @@ cte(
        CAST((200 * sum(CAST(round(l_extendedprice * 100) AS BIGINT)) + sum(CAST(l_quantity AS BIGINT)))
             // (2 * sum(CAST(l_quantity AS BIGINT))) AS BIGINT) / 10000.0::DOUBLE AS price,
        CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty,
+       CAST(sum(CAST(round(l_tax * 100) AS BIGINT) - CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS lean,
        CAST(sum(CAST(round(l_tax * 100) AS BIGINT) - CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100)::DOUBLE AS drift
     FROM lineitem GROUP BY 1, 2, 3""",
 )
 cte(
     "series",
-    """SELECT pk, sym, dt, price, row_number() OVER (PARTITION BY pk ORDER BY dt) - 1 AS i,
+    """SELECT pk, sym, dt, price, lean, row_number() OVER (PARTITION BY pk ORDER BY dt) - 1 AS i,
        count(*) OVER (PARTITION BY pk) AS n FROM prices""",
     "prices",
 )
@@ -109,3 +110,22 @@ cte(
     "holdings",
     "quotes",
 )
+cte(
+    "ranged",
+    """SELECT s.pk, s.sym, s.dt, s.price, r.range_id, r.range_ord
+    FROM series s JOIN last_two t ON t.pk = s.pk
+    JOIN (VALUES ('1D', 0, 1), ('1W', 1, 7), ('1M', 2, 30), ('3M', 3, 91), ('1Y', 4, 365)) r(range_id, range_ord, days)
+      ON date_diff('day', s.dt, t.last_dt) <= r.days""",
+    "series",
+    "last_two",
+)
+cte(
+    "perf",
+    """SELECT q.sym, f.range_id, f.range_ord, q.price - f.base_px AS chg, (q.price - f.base_px) / f.base_px * 100 AS chg_pct FROM (
+         SELECT g.*, CASE WHEN range_id = '1D' THEN qq.prev_close ELSE first_px END AS base_px FROM (
+           SELECT pk, range_id, range_ord, arg_min(price, dt) AS first_px FROM ranged GROUP BY 1, 2, 3) g
+         JOIN quotes qq ON qq.ord = g.pk) f
+       JOIN quotes q ON q.ord = f.pk""",
+    "ranged",
+    "quotes",
+)

@@ -41,6 +41,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
             "dt",
             unit_price("ext", "qty").alias("price"),
             "qty",
+            "lean",
             (F.col("lean") / (F.col("n") * 100)).alias("drift"),
         )
     )

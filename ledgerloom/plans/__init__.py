@@ -1,3 +1,3 @@
 """Query registry, filled by importing the query modules."""
 
-from ledgerloom.plans import market, series  # noqa: F401
+from ledgerloom.plans import commerce, market, series  # noqa: F401

@@ -5,8 +5,6 @@ A candidate carries its scores as a map, so scoring is a projection over the fix
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,24 +47,24 @@ MAX_TOTAL = TOP_SCORE * ALL_WEIGHT
 CANDIDATE_SCHEMA = "id string, name string, scores map<string,int>, knockouts map<string,boolean>"
 
 
-def _sum(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)
-
-
-def _score(factor: str) -> Column:
-    return F.try_element_at("scores", F.lit(factor))
+def _over_factors(term: str, glue: str = " + ") -> str:
+    """SQL over the whole catalog; {s} is the factor's score, {f} its name, {w} its weight."""
+    return glue.join(
+        term.format(s=f"try_element_at(scores, '{f}')", f=f, w=w) for f, w in FACTORS.items()
+    )
 
 
 def invalid_reasons() -> Column:
     """Everything wrong with a candidate, as a list of messages."""
-    bad_scores = [
-        F.when(~_score(f).between(1, TOP_SCORE), F.concat(F.lit(f"{f}="), _score(f).cast("string"))) for f in FACTORS
-    ]
+    out_of_range = F.map_filter("scores", lambda k, v: k.isin(*FACTORS) & ~v.between(1, TOP_SCORE))
+    bad_scores = F.transform(
+        F.map_entries(out_of_range), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
+    )
     unknown = F.transform(
         F.map_keys(F.map_filter("knockouts", lambda k, v: v & ~k.isin(*KNOCKOUTS))),
         lambda k: F.concat(F.lit("unknown knockout "), k),
     )
-    return F.concat(F.array_compact(F.array(*bad_scores)), F.coalesce(unknown, F.array()))
+    return F.concat(F.coalesce(bad_scores, F.array()), F.coalesce(unknown, F.array()))
 
 
 def split_valid(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,9 +75,9 @@ def split_valid(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def score(cands: DataFrame) -> DataFrame:
     """Totals, confidence, unknown factors, active knockouts and the verdict."""
-    total = _sum([F.coalesce(_score(f), F.lit(UNKNOWN_SCORE)) * w for f, w in FACTORS.items()])
-    known_weight = _sum([F.when(_score(f).isNotNull(), w).otherwise(0) for f, w in FACTORS.items()])
-    missing = F.array_compact(F.array(*[F.when(_score(f).isNull(), F.lit(f)) for f in FACTORS]))
+    total = F.expr(_over_factors(f"coalesce({{s}}, {UNKNOWN_SCORE}) * {{w}}"))
+    known_weight = F.expr(_over_factors("if({s} IS NULL, 0, {w})"))
+    missing = F.expr(f"array_compact(array({_over_factors("if({s} IS NULL, '{f}', NULL)", ', ')}))")
     out_by = F.map_keys(F.map_filter("knockouts", lambda k, v: F.coalesce(v, F.lit(False))))
     scored = (
         cands.withColumn("total", total)

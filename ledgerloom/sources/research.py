@@ -21,21 +21,22 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate per supplier with every kind of gap: unknown and out-of-range scores, unknown knockouts."""
     s = F.col("s_suppkey")
-    scores = []
-    for o, f in enumerate(FACTORS):
-        v = (s * (o + 2) + o) % 6
-        v = F.when((s % 17 == 3) & (F.lit(o) == 5), F.lit(7)).otherwise(F.when(v != 0, v))
-        scores += [F.lit(f), v.cast("int")]
-    outs = []
-    for o, k in enumerate(KNOCKOUTS):
-        outs += [F.lit(k), F.when((s + o) % 13 == 0, True).when((s + o) % 11 != 0, False)]
-    outs += [F.lit("tooTrendy"), s % 19 == 4]
+    names = F.array(*[F.lit(f) for f in FACTORS])
+    points = F.expr(
+        f"transform(sequence(0, {len(FACTORS) - 1}), "
+        "o -> int(if(o = 5 AND s_suppkey % 17 = 3, 7, nullif((s_suppkey * (o + 2) + o) % 6, 0))))"
+    )
+    rules = F.array(*[F.lit(k) for k in (*KNOCKOUTS, "tooTrendy")])
+    hits = F.expr(
+        f"transform(sequence(0, {len(KNOCKOUTS)}), o -> CASE WHEN o = {len(KNOCKOUTS)} THEN s_suppkey % 19 = 4 "
+        "WHEN (s_suppkey + o) % 13 = 0 THEN true WHEN (s_suppkey + o) % 11 <> 0 THEN false END)"
+    )
     return table(spark, sf_dir, "supplier").select(
         s.alias("ord"),
         F.concat(F.lit("C-"), s.cast("string")).alias("id"),
         F.col("s_name").alias("name"),
-        F.create_map(*scores).alias("scores"),
-        F.create_map(*outs).alias("knockouts"),
+        F.map_from_arrays(names, points).alias("scores"),
+        F.map_from_arrays(rules, hits).alias("knockouts"),
         (s % 3 == 0).alias("quantitative"),
         (s % 4 == 0).alias("verified"),
     )

@@ -1,3 +1,3 @@
 """Query registry, filled by importing the query modules."""
 
-from ledgerloom.plans import commerce, market, research, series, textual  # noqa: F401
+from ledgerloom.plans import commerce, market, operations, research, series, textual  # noqa: F401

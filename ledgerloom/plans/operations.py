@@ -13,6 +13,7 @@ from ledgerloom.plans.sql import cte, sql
 from ledgerloom.sources import feeds, pages
 from ledgerloom.sources import writes as src
 from ledgerloom.sources.tables import table
+from ledgerloom.streaming import flows
 
 _KINDS = "[" + ", ".join(f"'{k}'" for k in governance.LIMIT_KINDS) + "]"
 
@@ -377,3 +378,18 @@ def _delivery_stats(spark, sf_dir):
 )
 def _clamped_state(spark, sf_dir):
     return offsets.clamped_offsets(feeds.offset_steps(spark, sf_dir))
+
+
+@query(
+    "stream_daily",
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events, count(*) FILTER (event_type = 'view') AS sessions,
+         count(*) FILTER (event_type = 'purchase') AS orders,
+         coalesce(sum(CAST(round(value * 100) AS BIGINT)) FILTER (event_type = 'purchase'), 0)::DOUBLE / 100 AS revenue
+       FROM events GROUP BY 1""",
+)
+def _stream_daily(spark, sf_dir):
+    """Event files streamed through the daily aggregation into a table, then read back."""
+    folder = flows.scratch(spark, "stream-daily")
+    flows.run_to_table(flows.daily_metrics(flows.event_stream(spark, sf_dir)), folder, "update")
+    days = flows.latest_per_key(spark, folder, ["day"], ["events", "sessions", "orders", "cents"])
+    return days.select("day", "events", "sessions", "orders", (F.col("cents") / 100).alias("revenue"))

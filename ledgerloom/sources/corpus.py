@@ -19,10 +19,7 @@ def not_skipped(path: str):
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Markdown files below a folder, one row per file, skipping tool folders."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.md")
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
         .select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("text"))
     )
     inside = F.regexp_replace("full", f"^(file:)?/*{root.strip('/')}", "")

@@ -94,8 +94,8 @@ def money(c: Column) -> Column:
 
 
 def cents(c: Column) -> Column:
-    """Whole hundredths of an amount that carries two decimals."""
-    return F.round(c * 100).cast("bigint")
+    """Whole hundredths of an amount that carries two decimals (floor stays in plain arithmetic; ``round`` goes through BigDecimal)."""
+    return F.floor(c * 100 + 0.5)
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:

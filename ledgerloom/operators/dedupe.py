@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import durable
+from ledgerloom.operators.ordering import range_sorted
+from ledgerloom.session import durable, scratch
 
 TTL_US = 48 * 3600 * 1_000_000
 HOT_ROWS = 200_000
@@ -39,9 +40,12 @@ def _sweep(rows: DataFrame, ttl_us: int) -> DataFrame:
 
     Time is cut into slots one time-to-live wide: an id is accepted at most once per slot, at its first row past
     the running expiry. Each round reads one slot and keeps one minimum per id (combined map-side), so no task
-    ever holds an id's rows; the number of rounds is the log's time span over the time-to-live.
+    ever holds an id's rows. The rows are written once, one folder per slot, so a round prunes to its own; the number of rounds is the log's time span over the time-to-live.
     """
-    rows = durable(rows.withColumn("slot", F.floor(F.col("us") / ttl_us)))
+    folder = scratch(rows.sparkSession, "ttl-slots")
+    slotted = rows.withColumn("slot", F.floor(F.col("us") / ttl_us))
+    range_sorted(slotted, "slot", "us", "row_id").write.partitionBy("slot").parquet(folder)
+    rows = rows.sparkSession.read.schema("id string, us bigint, row_id bigint, slot bigint").parquet(folder)
     span = rows.agg(F.min("slot"), F.max("slot")).first()
     free = None
     accepted = []
@@ -64,7 +68,7 @@ def _sweep(rows: DataFrame, ttl_us: int) -> DataFrame:
 
 def ttl_dedupe(rows: DataFrame, ttl_us: int = TTL_US, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Acceptance flag per row of (id, us, row_id). Ids above ``hot_rows`` take the slot sweep, the rest a fold."""
-    rows = rows.select("id", "us", "row_id")
+    rows = rows.select(F.col("id").cast("string").alias("id"), "us", "row_id")
     hot = durable(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("id"))
     if hot.isEmpty():
         return _fold(rows, ttl_us)

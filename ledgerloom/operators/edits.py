@@ -90,11 +90,19 @@ def _enter(entry: list[str], summary: dict) -> list[str]:
     return front + [m[0] for m in out if m[0] not in front]
 
 
-def _combine(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-    members: list[str] = []
-    for text in pieces.sort_values("first")["summary"]:
-        members = _enter(members, json.loads(text))
-    return pd.DataFrame({"user_id": [key[0]] * len(members), "sym": members, "ord": range(len(members))})
+def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Apply the summaries of each key in order; rows come sorted by (user_id, first)."""
+    key, members = None, []
+    out: list[tuple] = []
+    for pdf in batches:
+        for user, text in zip(pdf["user_id"], pdf["summary"]):
+            if user != key:
+                out += [(key, s, i) for i, s in enumerate(members)]
+                key, members = user, []
+            members = _enter(members, json.loads(text))
+        yield pd.DataFrame(out, columns=["user_id", "sym", "ord"])
+        out = []
+    yield pd.DataFrame([(key, s, i) for i, s in enumerate(members)], columns=["user_id", "sym", "ord"])
 
 
 def apply_watch_edits(edits: DataFrame) -> DataFrame:
@@ -104,4 +112,5 @@ def apply_watch_edits(edits: DataFrame) -> DataFrame:
     """
     rows = range_sorted(edits.select("user_id", "ord", "adds", "sym"), "user_id", "ord")
     pieces = rows.mapInPandas(_summaries, "user_id bigint, first bigint, summary string")
-    return pieces.groupBy("user_id").applyInPandas(_combine, "user_id bigint, sym string, ord bigint")
+    chained = pieces.repartition("user_id").sortWithinPartitions("user_id", "first")
+    return chained.mapInPandas(_combine, "user_id bigint, sym string, ord bigint")

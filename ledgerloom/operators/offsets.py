@@ -17,6 +17,7 @@ from ledgerloom.operators.ordering import range_sorted
 LIMIT_MICRO = 60_000  # offset limit in millionths
 
 _COLS = ["sym", "first", "n", "total", "lo", "hi", "prior_total", "prior_lo", "prior_hi"]
+_OUT = ["sym", "offset_micro", "dir", "ticks"]
 
 
 def _then(run: tuple[int, int, int], step: int) -> tuple[int, int, int]:
@@ -46,13 +47,27 @@ def _reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=_COLS)
 
 
-def _chain(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
-    x = before = ticks = 0
-    for r in runs.sort_values("first").itertuples():
-        before = min(r.prior_hi, max(r.prior_lo, x + r.prior_total))
-        x = min(r.hi, max(r.lo, x + r.total))
-        ticks += r.n
-    return pd.DataFrame({"sym": [key[0]], "offset_micro": [x], "dir": ["up" if x > before else "down"], "ticks": [ticks]})
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chain the reductions of each symbol; rows come sorted by (sym, first)."""
+    sym, x, before, ticks = None, 0, 0, 0
+    out: list[tuple] = []
+
+    def close() -> tuple:
+        return sym, x, "up" if x > before else "down", ticks
+
+    for pdf in batches:
+        for r in pdf.itertuples():
+            if r.sym != sym:
+                if sym is not None:
+                    out.append(close())
+                sym, x, ticks = r.sym, 0, 0
+            before = min(r.prior_hi, max(r.prior_lo, x + r.prior_total))
+            x = min(r.hi, max(r.lo, x + r.total))
+            ticks += r.n
+        yield pd.DataFrame(out, columns=_OUT)
+        out = []
+    if sym is not None:
+        yield pd.DataFrame([close()], columns=_OUT)
 
 
 def clamped_offsets(steps: DataFrame) -> DataFrame:
@@ -62,4 +77,5 @@ def clamped_offsets(steps: DataFrame) -> DataFrame:
         _reduce,
         "sym string, first bigint, n bigint, total bigint, lo bigint, hi bigint, prior_total bigint, prior_lo bigint, prior_hi bigint",
     )
-    return runs.groupBy("sym").applyInPandas(_chain, "sym string, offset_micro bigint, dir string, ticks bigint")
+    chained = runs.repartition("sym").sortWithinPartitions("sym", "first")
+    return chained.mapInPandas(_chain, "sym string, offset_micro bigint, dir string, ticks bigint")

@@ -40,9 +40,12 @@ cte(
 
 @query("rel_score", sql("SELECT sym, score FROM scored", "scored"))
 def _rel_score(spark, sf_dir):
-    return market.instruments(spark, sf_dir).join(
-        market.last_two(market.prices(spark, sf_dir)).select(F.col("pk").alias("ord")), "ord", "left_semi"
-    ).select("sym", screener.rel_score(SEARCH.strip().lower()).alias("score"))
+    return traded(spark, sf_dir).select("sym", screener.rel_score(SEARCH.strip().lower()).alias("score"))
+
+
+def traded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruments with at least one trade, which are the ones that have quotes."""
+    return market.instruments(spark, sf_dir).where("mcap_num IS NOT NULL")
 
 
 @query(
@@ -98,11 +101,8 @@ def _screen_page(spark, sf_dir):
     sql("SELECT count(*) FILTER (score > 0) AS matched, count(*) AS universe FROM scored", "scored"),
 )
 def _screen_count(spark, sf_dir):
-    rows = market.instruments(spark, sf_dir).join(
-        market.prices(spark, sf_dir).select(F.col("pk").alias("ord")).distinct(), "ord", "left_semi"
-    )
     score = screener.rel_score(SEARCH.strip().lower())
-    return rows.agg(F.count_if(score > 0).alias("matched"), F.count(F.lit(1)).alias("universe"))
+    return traded(spark, sf_dir).agg(F.count_if(score > 0).alias("matched"), F.count(F.lit(1)).alias("universe"))
 
 
 @query("sectors", "SELECT DISTINCT p_type AS sector FROM part")

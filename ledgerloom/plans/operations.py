@@ -10,6 +10,7 @@ from ledgerloom.operators.dedupe import ttl_dedupe
 from ledgerloom.operators.edits import apply_watch_edits
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.sql import cte, sql
+from ledgerloom.session import scratch
 from ledgerloom.sources import feeds, pages
 from ledgerloom.sources import writes as src
 from ledgerloom.sources.tables import table
@@ -389,7 +390,7 @@ def _clamped_state(spark, sf_dir):
 )
 def _stream_daily(spark, sf_dir):
     """Event files streamed through the daily aggregation into a table, then read back."""
-    folder = flows.scratch(spark, "stream-daily")
+    folder = scratch(spark, "stream-daily")
     flows.run_to_table(flows.daily_metrics(flows.event_stream(spark, sf_dir)), folder, "update")
     days = flows.latest_per_key(spark, folder, ["day"], ["events", "sessions", "orders", "cents"])
     return days.select("day", "events", "sessions", "orders", (F.col("cents") / 100).alias("revenue"))

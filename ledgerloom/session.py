@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,7 +52,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later branches all read the same rows, and survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a step as a table in the shared folder and read it back.
+
+    Every later branch sees the same rows, lost executors cannot change them, and being columnar with known size
+    it still prunes columns and lets the optimizer choose joins.
+    """
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

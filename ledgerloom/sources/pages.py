@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numeric import to_fixed
 from ledgerloom.operators.ordering import global_index
 from ledgerloom.sources import commerce
 from ledgerloom.sources.writes import products
@@ -112,8 +111,8 @@ def _paged(nodes: DataFrame, order: list[str], size: int, field: str, node: Colu
 
 def order_page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as JSON page documents."""
-    money = lambda c, *more: F.struct(F.struct(to_fixed(c, 2).alias("amount"), *more).alias("shopMoney"))
-    amt = lambda c: F.round(F.col(c) / 10000, 2)
+    money = lambda c, *more: F.struct(F.struct(c.cast("decimal(18,2)").cast("string").alias("amount"), *more).alias("shopMoney"))
+    amt = lambda c: F.col(c) / 10000
     visit = F.struct(
         F.struct(
             F.col("source"),

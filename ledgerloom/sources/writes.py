@@ -41,8 +41,9 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def limits(spark: SparkSession) -> DataFrame:
     """Five configured limits, one unset."""
-    values = (0.0, 100000.0, 250000.5, 400000.0, None)
-    return spark.createDataFrame(list(zip(LIMIT_KINDS, values)), "kind string, limit double")
+    values = ("0", "100000", "250000.5", "400000", "NULL")
+    rows = ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in zip(LIMIT_KINDS, values))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(kind, limit)")
 
 
 def read_limits(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from ledgerloom.functions.numeric import cents
 from ledgerloom.operators.deliveries import authenticate, outcome_columns
 from ledgerloom.operators.dedupe import TTL_US
 from ledgerloom.operators.sessions import GAP_SECONDS
-from ledgerloom.session import ensure_checkpoint_dir
 from ledgerloom.streaming.state import claim_stream
 
 REFUND_LAG = "14 days"
@@ -93,12 +90,6 @@ def live_quotes(offsets: DataFrame, quote_inputs: DataFrame) -> DataFrame:
     )
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> None:
     """Drain what has landed into a parquet table, one batch folder per micro-batch, so a replay overwrites itself."""
 

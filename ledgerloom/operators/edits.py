@@ -17,15 +17,15 @@ from ledgerloom.operators.ordering import range_sorted
 _OTHERS = None  # stands for entry members the piece never mentions
 
 
-def _apply(members: list, adds: bool, sym: str, seen: bool) -> list:
-    """One edit on an ordered member list of [symbol, kept]. Removing from a list of one is refused.
+def _edit(members: dict, adds: bool, sym: str, first_mention: bool) -> None:
+    """One edit on an insertion-ordered member map. Removing from a list of one is refused.
 
-    ``kept`` marks members that would still hold their place had they been there on entry.
+    The value marks members that would still hold their entry place had they been there on entry.
     """
-    inside = any(m[0] == sym for m in members)
     if adds:
-        return members if inside else [*members, [sym, not seen]]
-    return [m for m in members if m[0] != sym] if inside and len(members) > 1 else members
+        members.setdefault(sym, first_mention)
+    elif len(members) > 1:
+        members.pop(sym, None)
 
 
 class _Piece:
@@ -33,27 +33,45 @@ class _Piece:
 
     Only three kinds of start differ: an empty list; a list with a member the piece never mentions (it shields
     the others from refusal); otherwise the member the piece mentions last decides, since by then every other
-    entry member follows the log alone.
+    entry member follows the log alone. Starts whose lists have become equal are carried as one.
     """
 
     def __init__(self, first: int, may_continue: bool):
-        self.first, self.may_continue = first, may_continue
-        self.touched: list[str] = []
-        self.lists = {"empty": []}
-        if may_continue:
-            self.lists["others"] = [[_OTHERS, True]]
+        self.first = first
+        self.touched: dict[str, int] = {}
+        self.groups: list[tuple[dict, list[str]]] = [({}, ["empty"])]
+        self.shielded = {_OTHERS: True} if may_continue else None
 
     def edit(self, adds: bool, sym: str) -> None:
-        seen = sym in self.touched
-        if not seen:
-            if self.may_continue:
-                naive = [m for m in self.lists["others"] if m[0] is not _OTHERS]
-                self.lists[f"last:{sym}"] = [[sym, True], *naive]
-            self.touched.append(sym)
-        self.lists = {k: _apply(v, adds, sym, seen) for k, v in self.lists.items()}
+        first_mention = sym not in self.touched
+        start = None
+        if first_mention:
+            self.touched[sym] = len(self.touched)
+            if self.shielded is not None:
+                start = {k: v for k, v in self.shielded.items() if k is not _OTHERS}
+                start = {**start, sym: True} if adds else {sym: True, **start}
+        for members, _ in self.groups:
+            _edit(members, adds, sym, first_mention)
+        if self.shielded is not None:
+            _edit(self.shielded, adds, sym, first_mention)
+        if start is not None:
+            _edit(start, adds, sym, first_mention)
+            self.groups.append((start, [f"last:{sym}"]))
+        if len(self.groups) > 1:
+            self._merge()
+
+    def _merge(self) -> None:
+        distinct: dict[tuple, tuple[dict, list[str]]] = {}
+        for members, starts in self.groups:
+            same = distinct.setdefault(tuple(members.items()), (members, []))
+            same[1].extend(starts)
+        self.groups = list(distinct.values())
 
     def text(self) -> str:
-        return json.dumps({"touched": self.touched, "lists": self.lists})
+        lists = [[list(m.items()), starts] for m, starts in self.groups]
+        if self.shielded is not None:
+            lists.append([[[k, v] for k, v in self.shielded.items() if k is not _OTHERS], ["others"]])
+        return json.dumps({"touched": self.touched, "lists": lists})
 
 
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,17 +95,17 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _enter(entry: list[str], summary: dict) -> list[str]:
     """List after a piece, given the list before it."""
-    touched = {s: i for i, s in enumerate(summary["touched"])}
+    touched = summary["touched"]
     if not entry:
         start = "empty"
     elif any(s not in touched for s in entry):
         start = "others"
     else:
         start = "last:" + max(entry, key=touched.get)
-    out = [m for m in summary["lists"][start] if m[0] is not _OTHERS]
-    stayed = {m[0] for m in out if m[1]}
+    out = next(members for members, starts in summary["lists"] if start in starts)
+    stayed = {sym for sym, kept in out if kept}
     front = [s for s in entry if s not in touched or s in stayed]
-    return front + [m[0] for m in out if m[0] not in front]
+    return front + [sym for sym, _ in out if sym not in front]
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

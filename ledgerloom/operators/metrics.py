@@ -176,7 +176,7 @@ def top_bottom(df: DataFrame, measure: str, tie: str, k: int) -> DataFrame:
 
     def side(name: str, order: Column) -> DataFrame:
         head = df.orderBy(order, tie).limit(k)
-        place = F.row_number().over(Window.orderBy(order, tie))  # over the k rows kept
+        place = F.row_number().over(Window.orderBy(order, tie)).cast("bigint")  # over the k rows kept
         return head.withColumn("place", place).withColumn("side", F.lit(name))
 
     return side("best", F.desc(measure)).unionByName(side("weakest", F.asc(measure)))

@@ -15,13 +15,12 @@ from ledgerloom.session import durable
 _ROW_BITS = 33  # monotonically_increasing_id keeps the in-partition row number in its low 33 bits
 
 
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def range_sorted(df: DataFrame, *order: Column | str) -> DataFrame:
-    """Globally sorted pieces of similar size; equal keys may span pieces, the order columns keep them apart."""
-    return df.repartitionByRange(_parts(df), *order).sortWithinPartitions(*order)
+    """Globally sorted pieces of similar size; equal keys may span pieces, the order columns keep them apart.
+
+    The number of pieces is left to adaptive execution, which only ever merges neighbouring ranges.
+    """
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def global_index(df: DataFrame, order: list[Column | str], name: str = "idx") -> DataFrame:

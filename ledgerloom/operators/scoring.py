@@ -75,7 +75,7 @@ def split_valid(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def score(cands: DataFrame) -> DataFrame:
     """Totals, confidence, unknown factors, active knockouts and the verdict."""
-    total = F.expr(_over_factors(f"coalesce({{s}}, {UNKNOWN_SCORE}) * {{w}}"))
+    total = F.expr(_over_factors(f"coalesce({{s}}, {UNKNOWN_SCORE}) * {{w}}")).cast("bigint")
     known_weight = F.expr(_over_factors("if({s} IS NULL, 0, {w})"))
     missing = F.expr(f"array_compact(array({_over_factors("if({s} IS NULL, '{f}', NULL)", ', ')}))")
     out_by = F.map_keys(F.map_filter("knockouts", lambda k, v: F.coalesce(v, F.lit(False))))
@@ -120,7 +120,7 @@ def shortlist(scored: DataFrame, size: int = 3) -> DataFrame:
     )
     head = fit.orderBy(*rank_order()).limit(size)
     every = Window.partitionBy()  # over the few rows kept
-    return head.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order()))).withColumn(
+    return head.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())).cast("bigint")).withColumn(
         "enough", F.count(F.lit(1)).over(every) == size
     )
 

@@ -79,7 +79,7 @@ def patch(ranged: DataFrame, quotes: DataFrame) -> DataFrame:
     w = Window.partitionBy("pk", "range_id")
     q = quotes.select(F.col("ord").alias("pk"), F.col("price").alias("live"), "prev_close")
     return (
-        ranged.withColumn("i", F.row_number().over(w.orderBy("dt")) - 1)
+        ranged.withColumn("i", (F.row_number().over(w.orderBy("dt")) - 1).cast("bigint"))
         .withColumn("n", F.count(F.lit(1)).over(w))
         .join(q, "pk")
         .withColumn(
@@ -159,13 +159,13 @@ def price_bins(series: DataFrame, quotes: DataFrame) -> DataFrame:
     lo, hi = F.least("l", "prev_close"), F.greatest("h", "prev_close")
     pad = F.when(hi - lo == 0, F.lit(1.0)).otherwise((hi - lo) * DOMAIN_PAD)
     dom = ends.join(q, "pk").withColumn("lo", lo - pad).withColumn("hi", hi + pad)
-    bins = F.posexplode(F.sequence(F.lit(0), F.lit(TICKS - 1)))
+    bins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(TICKS - 1).cast("bigint")))
     bin_of = lambda p: F.floor((p - F.col("lo")) / (F.col("hi") - F.col("lo")) * TICKS)
-    return dom.select("sym", "lo", "hi", "pts", bins.alias("_", "bin")).select(
+    return dom.select("sym", "lo", "hi", "pts", bins.alias("bin")).select(
         "sym",
         "bin",
         (F.col("lo") + (F.col("bin") + 0.5) / TICKS * (F.col("hi") - F.col("lo"))).alias("tick"),
-        F.size(F.filter("pts", lambda p: bin_of(p) == F.col("bin"))).alias("points"),
+        F.size(F.filter("pts", lambda p: bin_of(p) == F.col("bin"))).cast("bigint").alias("points"),
     )
 
 
@@ -195,7 +195,7 @@ def nearest_price(picks: DataFrame, series: DataFrame) -> DataFrame:
 def time_axis(anchors: DataFrame, key: str) -> DataFrame:
     """Axis labels for every range of every anchor row (key, anchor date)."""
     pos = anchors.withColumn("r", F.explode(_range_dim())).select(
-        key, "anchor", "r.*", F.explode(F.sequence(F.lit(0), F.col("r.pts") - 1)).alias("i")
+        key, "anchor", "r.*", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("r.pts") - 1).cast("bigint"))).alias("i")
     )
     minute = F.lit(SESSION_OPEN_MINUTE) + F.col("i") * INTRADAY_STEP_MINUTES
     clock = F.date_format(F.timestamp_seconds(minute * 60), "h:mm a")

@@ -20,7 +20,7 @@ CITATION = r"\[(S-[A-Za-z0-9]+)\]"
 EVIDENCE = ("FACT", "INFERENCE", "ASSUMPTION")
 
 REPLY_SCHEMA = "content array<struct<type:string,text:string>>"
-SIGNALS_SCHEMA = "summary string, signals array<struct<sym:string,signal:string,confidence:int,note:string>>"
+SIGNALS_SCHEMA = "summary string, signals array<struct<sym:string,signal:string,confidence:bigint,note:string>>"
 ERRORS_SCHEMA = "userErrors array<struct<field:array<string>,message:string>>"
 
 
@@ -61,7 +61,7 @@ def citation_coverage(docs: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def evidence_tags(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", *[F.regexp_count("text", F.lit(rf"\b{t}\b")).alias(t.lower()) for t in EVIDENCE])
+    return docs.select("doc_id", *[F.regexp_count("text", F.lit(rf"\b{t}\b")).cast("bigint").alias(t.lower()) for t in EVIDENCE])
 
 
 def weak_support(docs: DataFrame, log: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ _ranked_query("screen_alpha", "alpha", "sym", "", _ALL)
     "screen_page",
     sql(
         """SELECT sym, rank, page FROM (
-             SELECT sym, row_number() OVER (ORDER BY heat DESC NULLS LAST, ord) AS rank, count(*) OVER () AS n, 2 AS page FROM scored)
+             SELECT sym, row_number() OVER (ORDER BY heat DESC NULLS LAST, ord) AS rank, count(*) OVER () AS n, 2::BIGINT AS page FROM scored)
            WHERE (rank - 1) // 25 = least(2, greatest(1, CAST(ceil(n / 25.0) AS BIGINT)) - 1)""",
         "scored",
     ),

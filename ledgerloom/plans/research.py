@@ -80,7 +80,7 @@ def _cand_source(spark, sf_dir):
         "id",
         "name",
         F.size(F.map_filter("scores", lambda k, v: v.isNotNull())).alias("known"),
-        F.size(F.map_filter("knockouts", lambda k, v: F.coalesce(v, F.lit(False)))).alias("active_knockouts"),
+        F.size(F.map_filter("knockouts", lambda k, v: F.coalesce(v, F.lit(False)))).cast("bigint").alias("active_knockouts"),
     )
 
 

@@ -270,4 +270,4 @@ def _conversation(spark, sf_dir):
          length(text) AS chars FROM documents WHERE doc_id % 6 IN (0, 5)""",
 )
 def _corpus_source(spark, sf_dir):
-    return corpus.corpus_files(spark, sf_dir).select("path", F.length("text").alias("chars"))
+    return corpus.corpus_files(spark, sf_dir).select("path", F.length("text").cast("bigint").alias("chars"))

@@ -63,7 +63,7 @@ def flatten_orders(pages: DataFrame, since: str | None = None) -> DataFrame:
 def flatten_products(pages: DataFrame) -> DataFrame:
     n = pages.select(F.explode("data.products.nodes").alias("n"))
     return n.select(
-        "n.id", "n.handle", "n.title", "n.status", F.col("n.totalInventory").alias("total_inventory"),
+        "n.id", "n.handle", "n.title", "n.status", F.col("n.totalInventory").cast("bigint").alias("total_inventory"),
         F.to_timestamp("n.updatedAt").alias("updated_at"), F.col("n.seo.title").alias("seo_title"),
         F.col("n.seo.description").alias("seo_description"),
     ).dropDuplicates(["id"])

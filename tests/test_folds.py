@@ -1,5 +1,6 @@
 """Order-dependent operators against plain loops, including keys that hold most of the rows."""
 
+import json
 import random
 
 import pytest
@@ -12,6 +13,14 @@ from ledgerloom.operators.ordering import global_rank, rank_within
 from ledgerloom.operators.sessions import last_marked_before, sessions
 
 
+@pytest.fixture(autouse=True)
+def many_pieces(spark):
+    """Keep small test data in several pieces, as large data would be."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def greedy(rows, ttl):
     free, out = {}, {}
     for i, us, row in sorted(rows, key=lambda r: (r[1], r[2])):
@@ -52,7 +61,7 @@ def edit_loop(log):
     return {u: w for u, w in lists.items() if w}
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 @pytest.mark.parametrize("symbols", [1, 2, 3, 8])
 def test_watch_edits_match_loop_across_pieces(spark, seed, symbols):
     """One user owns most of the log, so it spans several tasks; few symbols make refusals common."""
@@ -66,7 +75,7 @@ def test_watch_edits_match_loop_across_pieces(spark, seed, symbols):
     assert got == edit_loop(log)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_clamped_offsets_match_loop(spark, seed):
     rng = random.Random(seed)
     steps = [("hot" if rng.random() < 0.7 else f"s{rng.randrange(5)}", n, rng.randrange(-40000, 40001)) for n in range(600)]
@@ -141,3 +150,22 @@ def test_last_marked_matches_loop(spark):
     for n, us, k, _ in rows:
         earlier = [u for i, u, kk, m in rows if kk == k and m and (u, i) <= (us, n)]
         assert got[n] == (max(earlier) if earlier else None)
+
+
+def test_edit_summaries_match_loop_for_any_split():
+    """The piece summaries alone, over thousands of random logs and cut points."""
+    from ledgerloom.operators.edits import _enter, _Piece
+
+    rng = random.Random(1)
+    for _ in range(4000):
+        symbols, n = rng.randrange(1, 6), rng.randrange(1, 25)
+        lean = rng.choice([0.25, 0.5, 0.7])
+        log = [(0, i, rng.random() < lean, f"S{rng.randrange(symbols)}") for i in range(n)]
+        cuts = sorted(rng.sample(range(1, n), min(n - 1, rng.randrange(0, 4)))) if n > 1 else []
+        members = []
+        for a, b in zip([0, *cuts], [*cuts, n]):
+            piece = _Piece(a, may_continue=a > 0)
+            for _, _, adds, sym in log[a:b]:
+                piece.edit(adds, sym)
+            members = _enter(members, json.loads(piece.text()))
+        assert members == edit_loop(log).get(0, [])

@@ -130,7 +130,7 @@ def two_proportion_test(conv_a: Column, n_a: Column, conv_b: Column, n_b: Column
 
 def arm_test(rows: DataFrame, keys: list[str], arm: str, converted: Column, size: Column) -> DataFrame:
     """Test per experiment; ``arm`` holds 0 for control and 1 for the variant."""
-    side = lambda v, c: F.sum(F.when(F.col(arm) == v, c))
+    side = lambda v, c: F.coalesce(F.sum(F.when(F.col(arm) == v, c)), F.lit(0))
     sums = rows.groupBy(*keys).agg(
         side(0, converted).alias("conv_a"),
         side(0, size).alias("n_a"),

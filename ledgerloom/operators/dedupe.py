@@ -69,8 +69,9 @@ def _sweep(rows: DataFrame, ttl_us: int) -> DataFrame:
 def ttl_dedupe(rows: DataFrame, ttl_us: int = TTL_US, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Acceptance flag per row of (id, us, row_id). Ids above ``hot_rows`` take the slot sweep, the rest a fold."""
     rows = rows.select(F.col("id").cast("string").alias("id"), "us", "row_id")
-    hot = durable(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("id"))
-    if hot.isEmpty():
+    busy = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("id")
+    if busy.isEmpty():
         return _fold(rows, ttl_us)
+    hot = durable(busy)
     cold = _fold(rows.join(hot, "id", "left_anti"), ttl_us)
     return cold.unionByName(_sweep(rows.join(hot, "id", "left_semi"), ttl_us))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.numeric import ratio
 
 
-def positions(holdings: DataFrame, quotes: DataFrame) -> DataFrame:
+def positions(holdings: DataFrame, quotes: DataFrame, key: str = "sym") -> DataFrame:
     """Holding values; a holding without a quote is kept and flagged instead of failing the job."""
-    q = quotes.select("sym", "price", "prev_close")
+    q = quotes.select(key, "price", "prev_close")
     mv = F.col("price") * F.col("shares")
     basis = F.col("cost") * F.col("shares")
-    return holdings.join(q, "sym", "left").select(
+    return holdings.join(q, key, "left").select(
         "account",
         "ord",
         "sym",

@@ -115,19 +115,23 @@ def json_number(x: Column, d: int = 2) -> Column:
     return F.when(bare == "-0", "0").when(bare == "", "0").otherwise(bare)
 
 
-def snapshot_json(rows: DataFrame, key: str) -> DataFrame:
-    """JSON snapshot of each list; the lists are bounded (ten entries), so collecting one is safe."""
+def snapshot_json(lists: DataFrame, quotes: DataFrame, owner: str, key: str) -> DataFrame:
+    """JSON snapshot of each owner's list of quotes, in list order.
+
+    Each quote is rendered once, before the join; the lists are bounded (ten entries), so collecting one is safe.
+    """
     head = F.to_json(F.struct(F.col("sym").alias("symbol"), "name", "sector"))
     tail = F.to_json(F.struct(F.col("cap_text").alias("marketCap"), F.col("pe").alias("peRatio")))
     item = F.concat(
         F.expr("substring(h, 1, length(h) - 1)"), F.lit(',"price":'), json_number(F.col("price")), F.lit(',"dayChangePct":'),
         json_number(F.col("chg_pct")), F.lit(","), F.expr("substring(t, 2)"),
     )
-    items = F.array_sort(F.collect_list(F.struct("ord", item.alias("j"))))
+    rendered = quotes.withColumn("h", head).withColumn("t", tail).select(key, item.alias("item"))
+    items = F.array_sort(F.collect_list(F.struct("ord", F.col("item").alias("j"))))
     return (
-        rows.withColumn("h", head)
-        .withColumn("t", tail)
-        .groupBy(key)
+        lists.select(owner, key, "ord")
+        .join(rendered, key)
+        .groupBy(owner)
         .agg(F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["j"]), ","), F.lit("]")).alias("snapshot"))
     )
 

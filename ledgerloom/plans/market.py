@@ -276,7 +276,7 @@ def _market_open(spark, sf_dir):
 
 
 def position_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.positions(market.holdings(spark, sf_dir), quote_rows(spark, sf_dir))
+    return portfolio.positions(market.holdings(spark, sf_dir), quote_rows(spark, sf_dir), key="ord")
 
 
 @query(

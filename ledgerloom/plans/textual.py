@@ -247,8 +247,8 @@ def _json_num(x: str) -> str:
     ),
 )
 def _snapshot_json(spark, sf_dir):
-    q = quote_rows(spark, sf_dir).withColumn("cap_text", fmt_cap(F.col("mcap_num"))).drop("sym").withColumnRenamed("ord", "pk")
-    return text.snapshot_json(market.watch(spark, sf_dir).join(q, "pk"), "account")
+    q = quote_rows(spark, sf_dir).withColumn("cap_text", fmt_cap(F.col("mcap_num"))).withColumnRenamed("ord", "pk")
+    return text.snapshot_json(market.watch(spark, sf_dir), q, "account", "pk")
 
 
 @query(

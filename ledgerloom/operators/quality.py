@@ -40,12 +40,8 @@ def currency_consistency(orders: DataFrame) -> DataFrame:
 
 def flag_provisional(daily: DataFrame, day: str, days: int = PROVISIONAL_DAYS) -> DataFrame:
     """Mark the last days, whose refunds are still arriving."""
-    newest = daily.agg(F.max(day).alias("_newest"))  # one row
-    return (
-        daily.join(F.broadcast(newest))
-        .withColumn("provisional", F.col(day) > F.date_sub("_newest", days))
-        .drop("_newest")
-    )
+    newest = daily.agg(F.max(day)).scalar()
+    return daily.withColumn("provisional", F.col(day) > F.date_sub(newest, days))
 
 
 def catalog_audit(products: DataFrame) -> DataFrame:

@@ -64,9 +64,5 @@ def ranked(df: DataFrame, sort: str) -> DataFrame:
 def page(df: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
     """Zero-based page of ranked rows, clamped to the last one."""
     last = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).alias("pages"))
-    at = F.least(F.lit(number), F.col("pages") - 1)
-    return (
-        df.join(F.broadcast(last))  # one row
-        .where(F.floor((F.col("rank") - 1) / size) == at)
-        .withColumn("page", at)
-    )
+    at = F.least(F.lit(number), last.scalar() - 1)
+    return df.withColumn("page", at).where(F.floor((F.col("rank") - 1) / size) == F.col("page"))

@@ -103,8 +103,8 @@ def next_ids(existing: DataFrame, titles: DataFrame, order: str, template: str,
     The id replaces every placeholder, title and date only the first.
     """
     top = existing.agg(F.coalesce(F.max(F.regexp_extract("id", r"EXP-(\d{3,})", 1).cast("bigint")), F.lit(0)).alias("top"))
-    numbered = global_rank(titles, [order], "_n").join(F.broadcast(top))  # one row
-    new_id = F.format_string("EXP-%03d", F.col("top") + F.col("_n"))
+    numbered = global_rank(titles, [order], "_n")
+    new_id = F.format_string("EXP-%03d", top.scalar() + F.col("_n"))
     body = F.replace(F.lit(template), F.lit("EXP-XXX"), F.col("id"))
     for token, value in (("<title>", F.col("title")), ("YYYY-MM-DD", F.lit(day))):
         at = F.locate(token, body)

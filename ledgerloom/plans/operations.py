@@ -167,9 +167,9 @@ def _change_plan(spark, sf_dir):
     )
     desired = src.price_patches(spark, sf_dir).unionByName(same)
     stores = src.store_requests(spark, sf_dir)
-    count = stores.agg(F.count(F.lit(1)).alias("stores"))  # one row
+    count = stores.agg(F.count(F.lit(1))).scalar()
     owner = F.split_part("handle", F.lit("-"), F.lit(2)).cast("bigint")
-    placed = desired.join(F.broadcast(count)).withColumn("request", owner % F.col("stores")).drop("stores").join(stores, "request")
+    placed = desired.withColumn("request", owner % count).join(stores, "request")
     plan = writes.change_plan(catalog(spark, sf_dir), placed, "handle", ["title", "price"], src.allowed_stores(spark, sf_dir))
     return plan.select("handle", "op", "store", "live", "reason")
 
@@ -333,9 +333,9 @@ def _hmac_ok(spark, sf_dir):
 )
 def _ttl_dedupe(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    ids = ev.agg(F.floor(F.count(F.lit(1)) / feeds.REPEATS).alias("ids"))  # one row
-    rows = ev.join(F.broadcast(ids)).select(
-        (F.col("event_id") % F.col("ids")).alias("id"), feeds.micros(F.col("ts")).alias("us"), F.col("event_id").alias("row_id")
+    ids = ev.agg(F.floor(F.count(F.lit(1)) / feeds.REPEATS)).scalar()
+    rows = ev.select(
+        (F.col("event_id") % ids).alias("id"), feeds.micros(F.col("ts")).alias("us"), F.col("event_id").alias("row_id")
     )
     return ttl_dedupe(rows)
 

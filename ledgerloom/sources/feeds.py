@@ -16,21 +16,21 @@ REPEATS = 20
 def deliveries(spark: SparkSession, sf_dir: str, secret: str = TEST_SECRET) -> DataFrame:
     """Deliveries from events: every id recurs about 20 times, some signatures are broken or missing, some ids absent."""
     ev = table(spark, sf_dir, "events")
-    ids = ev.agg(F.greatest(F.floor(F.count(F.lit(1)) / REPEATS), F.lit(1)).alias("ids"))  # one row
+    ids = ev.agg(F.greatest(F.floor(F.count(F.lit(1)) / REPEATS), F.lit(1)).alias("ids")).scalar()
     e = F.col("event_id")
     body = F.encode("props", "UTF-8")
     one = lambda name, value: F.create_map(F.lit(name), F.array(value))
     none = F.create_map().cast("map<string,array<string>>")
     sign = signing.hmac_sha256(body, secret)
     wrong = F.when(e % 11 == 0, F.concat(F.lit("x"), sign)).otherwise(sign)
-    claim = F.concat(F.lit("evt-"), (e % F.col("ids")).cast("string"))
+    claim = F.concat(F.lit("evt-"), (e % ids).cast("string"))
     headers = F.map_concat(
         F.when(e % 37 == 0, none).otherwise(one("x-shopify-hmac-SHA256", wrong)),
         F.when(e % 46 == 0, one(signing.EVENT_ID_HEADER, F.lit(""))).when(e % 23 == 0, none).otherwise(one("X-SHOPIFY-EVENT-ID", claim)),
         F.when(e % 69 == 0, none).otherwise(one(signing.DELIVERY_ID_HEADER, F.concat(F.lit("wh-"), e.cast("string")))),
         one(signing.TOPIC_HEADER, F.col("event_type")),
     )
-    return ev.join(F.broadcast(ids)).select(
+    return ev.select(
         e.alias("row_id"), micros(F.col("ts")).alias("us"), body.alias("raw_body"), headers.alias("headers")
     )
 

@@ -105,7 +105,7 @@ def _paged(nodes: DataFrame, order: list[str], size: int, field: str, node: Colu
             ).alias("data"),
         )
     )
-    docs = packed.join(F.broadcast(placed.agg(last))).select("page", doc.alias("doc"))  # one row
+    docs = packed.withColumn("last", placed.agg(last).scalar()).select("page", doc.alias("doc"))
     return docs.unionByName(docs.where("page = 2"))
 
 

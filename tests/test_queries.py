@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from ledgerloom.plans.registry import ORACLES, QUERIES
 from tests.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -24,5 +24,9 @@ def test_query(spark, con, name):
     assert error is None and rows > 0
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup
+from ledgerloom.llm import exact_dedup, url_filter, warc
 from ledgerloom.llm.common import prepared
 from ledgerloom.sources.tables import table
 
@@ -42,3 +42,40 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's class of equal texts and whether it is the one that stays."""
     return exact_dedup.duplicates(table(spark, sf_dir, "documents")).drop("_key")
+
+
+BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
+
+
+@register(
+    "op10_url_filter",
+    r"""
+    WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS h, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    q AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
+    r(rule, rule_host, rule_path, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+      ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+    m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+          FROM q JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q LEFT JOIN m USING (page_id)
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, winning rule and verdict of every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), BLOCK, ALLOW).drop("url")
+
+
+@register(
+    "op9_warc",
+    """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+    g AS (SELECT d, n, max(page_id) AS newest FROM p WHERE n >= 1000 GROUP BY d, n)
+    SELECT page_id, n AS payload_bytes, d AS payload_digest,
+      CASE WHEN newest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN newest <> page_id THEN newest END AS refers_to
+    FROM p LEFT JOIN g USING (d, n)
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back."""
+    return warc.archive(table(spark, sf_dir, "pages"))

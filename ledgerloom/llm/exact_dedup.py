@@ -146,7 +146,8 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("first")
     firsts = rows.join(suspects, "fp", "left_semi").groupBy("fp", "text_sha256").agg(first)
-    groups = firsts.join(verified, ["fp", "text_sha256"])
+    # as a table, so that the join below is one of two plain exchanges, whose hot keys adaptive execution can split
+    groups = durable(firsts.join(verified, ["fp", "text_sha256"]), "exact-groups")
     return rows.join(groups, ["fp", "text_sha256"], "left").select(
         "doc_id",
         "_key",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, url_filter, warc
+from ledgerloom.llm import exact_dedup, simhash, url_filter, warc
 from ledgerloom.llm.common import prepared
 from ledgerloom.sources.tables import table
 
@@ -79,3 +79,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back."""
     return warc.archive(table(spark, sf_dir, "pages"))
+
+
+@register("op8_simhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and the smallest document reachable over near-equal fingerprints."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, simhash, url_filter, warc
+from ledgerloom.llm import exact_dedup, mixing, simhash, url_filter, warc
 from ledgerloom.llm.common import prepared
 from ledgerloom.sources.tables import table
 
@@ -85,3 +85,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint and the smallest document reachable over near-equal fingerprints."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op2_source_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, with its source's target."""
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0)).drop("source", "_at")

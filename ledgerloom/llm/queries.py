@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, mixing, simhash, url_filter, warc
+from ledgerloom.llm import exact_dedup, langid, mixing, simhash, url_filter, warc
 from ledgerloom.llm.common import prepared
 from ledgerloom.sources.tables import table
 
@@ -91,3 +91,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, with its source's target."""
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0)).drop("source", "_at")
+
+
+@register("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the documents that are not held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, langid, mixing, simhash, url_filter, warc
+from ledgerloom.llm import exact_dedup, langid, mixing, simhash, subwords, url_filter, warc
 from ledgerloom.llm.common import prepared
 from ledgerloom.sources.tables import table
 
@@ -97,3 +97,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from the documents that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@register("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under the 32k-piece model, and the text they decode to."""
+    return subwords.coded(table(spark, sf_dir, "documents"), model=subwords.MODEL)

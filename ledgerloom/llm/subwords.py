@@ -29,7 +29,7 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6  # fixed values of the model file's piece types
 UNIGRAM, BPE = 1, 2  # and of its model types
 UNKNOWN_PENALTY = 10.0
 MEMO, MEMO_LENGTH = 250_000, 48  # segments a worker remembers, and the longest of them
-PAIRS = 1_000_000  # pairs of pieces a worker remembers
+PAIRS = 500_000  # pairs of pieces a worker remembers
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -96,9 +96,29 @@ class Pieces:
         self.longest = max(map(len, self.ids), default=1)
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids):
             raise ValueError("pieces that reach across a blank are not supported")
+        self.cut = self._segments()
+        self.trie: dict = {}
+        for piece, at in self.ids.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[0] = at  # the piece that ends here; characters are the other keys
+
+    def _segments(self) -> re.Pattern:
+        """Segments of a marked text: no piece reaches from one into the next.
+
+        Characters that no piece has are alone. Others end before a blank, and where a mark follows a letter (anything but
+        an ASCII mark) unless some piece has that mark after a letter.
+        """
         used = {c for p in self.ids for c in p}
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in used and c != 32)
-        self.cut = re.compile(f"[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        marks = {chr(c) for c in range(33, 127) if not chr(c).isalnum()} & used
+        after = {y for p in self.ids for x, y in zip(p, p[1:], strict=False) if y in marks and x not in marks and x != BLANK}
+        alone = {chr(c) for c in range(128) if c != 32} - used
+        one, mark, inner = ("".join(map(re.escape, sorted(x))) for x in (alone, marks, after))
+        letter = f"[^{BLANK}{one}{mark}]"
+        start = f"(?:[{mark}]+{letter}*|{letter}+)" if mark else f"{letter}+"
+        more = f"(?:[{inner}][{mark}]*{letter}*)*" if inner else ""
+        return re.compile("|".join([f"{BLANK}*{start}{more}", f"{BLANK}+"] + [f"[{one}]"] * bool(one)))
 
     def fallback(self, char: str) -> list[int]:
         """Ids of a character that no piece has."""
@@ -124,93 +144,102 @@ class Memo(dict):
 
 class Coder:
     def __init__(self, pieces: Pieces):
-        self.pieces, self.memo, self.pairs = pieces, Memo(self), {}
+        self.pieces, self.memo, self.pairs = pieces, Memo(self), {}  # pairs: by both ids
         self.lowest = min(pieces.scores, default=0.0) - UNKNOWN_PENALTY
+        self.rank = {p: pieces.scores[i] for p, i in pieces.ids.items()}
+        self.names = {i: p for p, i in pieces.ids.items()}
 
     def merged(self, text: str) -> list[str]:
         """The text's pieces by merging: the neighbours with the highest score first, the first of them on a tie."""
-        ids, scores, parts = self.pieces.ids, self.pieces.scores, list(text)
-        while len(parts) > 1:
-            best, at = -math.inf, -1
-            for i in range(len(parts) - 1):
-                found = ids.get(parts[i] + parts[i + 1])
-                if found is not None and scores[found] > best:
-                    best, at = scores[found], i
-            if at < 0:
+        rank, parts = self.rank, list(text)
+        values = [rank.get(x + y, -math.inf) for x, y in zip(parts, parts[1:], strict=False)]
+        while values:
+            best = max(values)
+            if best == -math.inf:
                 break
+            at = values.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del values[at]
+            if at:
+                values[at - 1] = rank.get(parts[at - 1] + parts[at], -math.inf)
+            if at < len(values):
+                values[at] = rank.get(parts[at] + parts[at + 1], -math.inf)
         return parts
 
-    def apart(self, left: str, right: str) -> bool:
-        """Whether merging keeps the two pieces as they are (``left`` empty: whether it makes the right one)."""
-        key = (left, right)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+    def apart(self, left: int, right: int) -> bool:
+        """Whether merging keeps the two pieces as they are (no ``left``: whether it makes the right one)."""
+        two = [self.names[i] for i in (left, right) if i >= 0]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[left << 32 | right] = self.merged("".join(two)) == two
         return found
 
     def stream(self, segment: str) -> Iterator[bytes]:
-        """Ids of a segment, in parts as they become final."""
-        ids, longest, bpe = self.pieces.ids, self.pieces.longest, self.pieces.kind == BPE
-        base, held, score = 0, [""], [0.0]  # held[i]: the last piece of the best path to base + i
-        for end in range(1, len(segment) + 1):
-            best, choice = -math.inf, ""
-            for start in range(max(base, end - longest), end):
-                piece = segment[start:end]
-                if piece not in ids and end - start > 1:
-                    continue
-                known = piece in ids
-                if bpe:
-                    before = held[start - base]
-                    if not known or before not in ids:
-                        before = ""
-                    if not known or self.apart(before, piece):
-                        choice = piece  # the longest, as starts go up
+        """Ids of a segment, in parts as they become final.
+
+        A place's entry is (start, id) of the last piece of the best path to it, id -1 for a character that no piece has.
+        ``open_`` holds for each place ahead the pieces that end there, the longest first.
+        """
+        trie, pairs, scores, bpe = self.pieces.trie, self.pairs, self.pieces.scores, self.pieces.kind == BPE
+        longest, size, base = self.pieces.longest, len(segment), 0
+        held: list[tuple[int, int]] = [(0, -1)]
+        best: list[float] = [0.0]
+        open_: list[list[tuple[int, int]]] = [[] for _ in range(longest + 1)]  # a ring by place
+        for at in range(size):
+            node = trie
+            for end in range(at, min(size, at + longest)):
+                node = node.get(segment[end])
+                if node is None:
+                    break
+                if 0 in node:
+                    open_[(end + 1) % (longest + 1)].append((at, node[0]))
+            here = open_[(at + 1) % (longest + 1)]
+            choice, value = (at, -1), best[-1] + self.lowest
+            if bpe:
+                for start, piece in here:
+                    key = held[start - base][1] << 32 | piece
+                    fits = pairs.get(key)
+                    if fits is None:
+                        fits = self.apart(held[start - base][1], piece)
+                    if fits:
+                        choice = (start, piece)
                         break
-                else:
-                    value = score[start - base] + (self.pieces.scores[ids[piece]] if known else self.lowest)
-                    if value > best:
-                        best, choice = value, piece
+            else:
+                for start, piece in here:
+                    total = best[start - base] + scores[piece]
+                    if total > value:
+                        choice, value = (start, piece), total
+            best.append(value)
+            here.clear()
             held.append(choice)
-            score.append(best)
-            if end - base >= 8 * longest and not end % longest:
-                met = self.meeting(held, longest)
-                if met:
-                    yield self.packed(self.path(held, met))
-                    last, base = held[met], base + met
-                    held, score = [last, *held[met + 1 :]], score[met:]
-        yield self.packed(self.path(held, len(held) - 1))
-
-    @staticmethod
-    def path(held: list[str], end: int) -> list[str]:
-        """The pieces from the base to a place, first to last."""
-        out = []
-        while end > 0:
-            out.append(held[end])
-            end -= len(held[end])
-        return out[::-1]
+            if at + 1 - base >= 8 * longest and not (at + 1) % longest:
+                met = self.meeting(held, base, longest)
+                if met > base:
+                    yield self.packed(segment, held, base, met)
+                    held, best, base = held[met - base :], best[met - base :], met
+        yield self.packed(segment, held, base, size)
 
     @staticmethod
-    def meeting(held: list[str], longest: int) -> int:
-        """The last boundary on the paths of all places from which a piece may still start; 0 for the base."""
-        open_ = set(range(len(held) - longest, len(held)))
+    def meeting(held: list[tuple[int, int]], base: int, longest: int) -> int:
+        """The last boundary on the paths of all places from which a piece may still start; the base at worst."""
+        open_ = set(range(base + len(held) - longest, base + len(held)))
         while len(open_) > 1:
             last = max(open_)
             open_.discard(last)
-            open_.add(max(0, last - len(held[last])))
+            open_.add(max(base, held[last - base][0]))
         return open_.pop()
 
-    def packed(self, path: list[str]) -> bytes:
-        ids, out = self.pieces.ids, []
-        for piece in path:
-            found = ids.get(piece)
-            if found is None:
-                out += self.pieces.fallback(piece)
+    def packed(self, segment: str, held: list[tuple[int, int]], base: int, end: int) -> bytes:
+        """Ids of the path from the base to a place."""
+        out: list[int] = []
+        while end > base:
+            start, piece = held[end - base]
+            if piece < 0:
+                out += self.pieces.fallback(segment[start:end])[::-1]
             else:
-                out.append(found)
-        return struct.pack(f"<{len(out)}i", *out)
+                out.append(piece)
+            end = start
+        return struct.pack(f"<{len(out)}i", *reversed(out))
 
     def encode(self, text: str) -> np.ndarray:
         if not text:

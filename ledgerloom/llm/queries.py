@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, langid, mixing, simhash, subwords, url_filter, warc
+from ledgerloom.llm import exact_dedup, kd_shards, langid, line_dedup, mixing, simhash, subwords, url_filter, warc
 from ledgerloom.llm.common import prepared
 from ledgerloom.sources.tables import table
 
@@ -103,3 +103,29 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under the 32k-piece model, and the text they decode to."""
     return subwords.coded(table(spark, sf_dir, "documents"), model=subwords.MODEL)
+
+
+@register("op1_kd_sharding")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near-equal bytes."""
+    return kd_shards.shard(table(spark, sf_dir, "documents"), shards=24)
+
+
+MIN_SITES = 8
+
+
+@register(
+    "op6_line_dedup",
+    r"""
+    WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM l),
+    b AS (SELECT plain AS boiler FROM k WHERE plain <> '' GROUP BY plain HAVING count(DISTINCT coalesce(source, chr(1))) >= 8),
+    r AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (boiler IS NULL), '') AS text,
+            count(*) AS n_lines, count(boiler) AS removed_lines FROM k LEFT JOIN b ON plain = boiler GROUP BY doc_id)
+    SELECT d.doc_id, r.text, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines FROM documents d LEFT JOIN r USING (doc_id)
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that eight or more sources share."""
+    return line_dedup.clean(table(spark, sf_dir, "documents"), MIN_SITES)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, kd_shards, langid, line_dedup, mixing, simhash, subwords, url_filter, warc
+from ledgerloom.llm import exact_dedup, kd_shards, langid, line_dedup, mixing, mtree, simhash, subwords, url_filter, warc
 from ledgerloom.llm.common import prepared
 from ledgerloom.sources.tables import table
 
@@ -129,3 +129,20 @@ MIN_SITES = 8
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that eight or more sources share."""
     return line_dedup.clean(table(spark, sf_dir, "documents"), MIN_SITES)
+
+
+@register(
+    "op4_mtree_topk",
+    """
+    WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND coalesce(list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]), true)),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of the highest inner product with each query vector."""
+    vectors = table(spark, sf_dir, "embeddings").filter(mtree.usable(F.col("embedding"))).select("vec_id", mtree.quantised(F.col("embedding")).alias("vector"))
+    return mtree.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)

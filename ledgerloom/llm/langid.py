@@ -8,7 +8,7 @@ them; runs of one label are spans. The text's language is the one with the most
 Scoring runs over arrays of code points of many texts at once. Most texts never leave one language, which is certain when no
 run of words gains more from another language than the changes cost; only the rest take the word-by-word pass.
 
-The model is fitted on a bounded sample (``ROWS_A_LANGUAGE`` whole texts of each language, by hash of the text) whose counts
+The model is fitted on a bounded sample (``ROWS_A_LANGUAGE`` whole texts of each language, by hash) whose counts
 are made by Spark; its size is fixed by the number of languages and ``TABLE`` and does not grow with the corpus.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.common import held
+
 TABLE = 1 << 16
 ORDERS = (1, 2, 3, 4)
 ROWS_A_LANGUAGE = 1500
@@ -184,50 +186,58 @@ def labels(scores: np.ndarray, switch: float) -> np.ndarray:
 
 def pieces(texts: list[str | None], size: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """Whole texts in turn, together about ``size`` characters (a longer one by itself)."""
-    held, rows, n = [], [], 0
+    own, rows, n = [], [], 0
     for i, t in enumerate(texts):
         if not t:
             continue
         if n and n + len(t) > size:
-            yield rows, held
-            held, rows, n = [], [], 0
-        held.append(code_points(t))
+            yield rows, own
+            own, rows, n = [], [], 0
+        own.append(code_points(t))
         rows.append(i)
         n += len(t)
-    if held:
-        yield rows, held
+    if own:
+        yield rows, own
 
 
 def scored(model: Model, texts: list[str | None]) -> Iterator[tuple[int, Words, slice, np.ndarray]]:
     """(text, words, the text's part of them, their labels) for each text that has letters."""
     size = max(1 << 14, PIECE // len(model.languages))
-    for rows, held in pieces(texts, size):
-        words = words_of(held)
+    for rows, points in pieces(texts, size):
+        words = words_of(points)
         scores = model.word_scores(words)
-        bounds = np.searchsorted(words.text, np.arange(len(held) + 1))
+        bounds = np.searchsorted(words.text, np.arange(len(points) + 1))
         for i, row in enumerate(rows):
             part = slice(int(bounds[i]), int(bounds[i + 1]))
             if part.stop > part.start:
                 yield row, words, part, labels(scores[part], SWITCH)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_a_language: int = ROWS_A_LANGUAGE) -> Model | None:
-    """A model of the non-null languages of ``docs``, from at most ``rows_a_language`` texts of each (those first by hash of
-    the text); None without a labelled text that has letters."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")  # cut to the limit in each task before the exchange
-    sample = (
-        docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-        .filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-        .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= rows_a_language)
-        .drop("_n")
-    )
+def sampled(docs: DataFrame, doc_id: str, text: str, lang: str, rows_a_language: int) -> DataFrame:
+    """(lang, text) of at most ``rows_a_language`` rows of each language: those first by a hash of the id and the text.
+
+    A first count of each language sets the hash below which twice as many rows are expected; only they are exchanged.
+    """
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"a model has at most {MAX_LANGUAGES} languages")
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(2.0 * rows_a_language / r["n"])) for r in counts], F.lit(1.0))
+    drawn = rows.withColumn("at", F.xxhash64("id", "text")).filter(F.col("at") / F.lit(2.0**64) + 0.5 <= share)
+    order = Window.partitionBy("lang").orderBy("at", "text")
+    return drawn.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows_a_language).select("lang", "text")
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows_a_language: int = ROWS_A_LANGUAGE) -> Model | None:
+    """A model of the non-null languages of ``docs``, from at most ``rows_a_language`` texts of each (see :func:`sampled`);
+    None without a labelled text that has letters. The id only chooses the sample; it is no input of the model."""
+    sample = sampled(docs, doc_id, text, lang, rows_a_language)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, own in frame.groupby("lang"):
-                for _, held in pieces(list(own["text"]), PIECE):
-                    words = words_of(held)
+                for _, points in pieces(list(own["text"]), PIECE):
+                    words = words_of(points)
                     if not len(words.starts):
                         continue
                     total = np.zeros(TABLE, dtype=np.int64)
@@ -239,14 +249,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_a_language
                     yield pd.DataFrame({"lang": name, "kind": "script", "place": found.astype(np.int64), "n": n})
 
     counts = sample.mapInPandas(count, "lang string, kind string, place long, n long").groupBy("lang", "kind", "place").agg(F.sum("n").alias("n"))
-    languages = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"a model has at most {MAX_LANGUAGES} languages")
-    if not languages:
+    found = counts.collect()  # at most TABLE rows a language
+    if not found:
         return None
+    languages = sorted({r["lang"] for r in found})
     number = {x: i for i, x in enumerate(languages)}
     table, scripts = np.zeros((TABLE, len(languages))), np.zeros((OTHER + 1, len(languages)))
-    for r in counts.toLocalIterator():  # at most TABLE rows a language
+    for r in found:
         (table if r["kind"] == "gram" else scripts)[r["place"], number[r["lang"]]] = r["n"]
     log = np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * TABLE))
     share = scripts / np.maximum(scripts.sum(axis=0), 1)
@@ -300,7 +309,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, text; learned from the rows not held out."""
-    model = fit(docs.filter(~held_out(doc_id)), text, lang)
+    model = fit(docs.filter(~held_out(doc_id)), doc_id, text, lang)
     return docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), predicted(model, docs, F.col(text)).alias("_p")).select(
         "doc_id", "held_out", "_p.lang_pred", "_p.score"
     )
@@ -308,8 +317,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def drop_unidentified(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without texts that have no letter or in which no language has ``least`` of the letters; columns as they were."""
-    model = fit(docs.filter(~held_out(doc_id)), text, lang)
+    model = fit(docs.filter(~held_out(doc_id)), doc_id, text, lang)
     if model is None:
         return docs  # nothing is labelled, so nothing can be rejected
-    found = docs.withColumn("_p", predicted(model, docs, F.col(text)))
-    return found.filter((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= least)).select(*docs.columns)
+    found = held(docs, found=predicted(model, docs, F.col(text)))
+    return found.filter((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("row.*")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,20 +37,19 @@ def row_key(*cols: str | Column) -> Column:
     return F.struct(F.xxhash64(*parts, *nulls).alias("a"), F.xxhash64(F.lit(7), *nulls, *reversed(parts)).alias("b"))
 
 
+def held(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Each row of ``docs`` as one struct column ``row`` beside ``columns``, so that no name of theirs can clash; the rows come
+    back by ``select("row.*")``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def without(docs: DataFrame, key: Column, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``key`` is in ``dropped``; of a key in ``repeated`` one row stays.
 
     Both relations have the one column ``_key``. Texts only move where Spark finds the relations too large to broadcast.
     """
-    kept = docs.withColumn("_key", key).join(dropped, "_key", "left_anti")
-    if repeated.isEmpty():  # rows that are equal in every respect are rare; only they need an exchange
-        return kept.select(*docs.columns)
-    single = kept.join(repeated, "_key", "left_anti").select(*docs.columns)
-    return single.unionByName(kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns))
-
-
-def batches(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Frames of at most ``rows`` rows."""
-    for frame in frames:
-        for at in range(0, len(frame), rows):
-            yield frame.iloc[at : at + rows]
+    kept = held(docs, _key=key).join(dropped, "_key", "left_anti")
+    if repeated.isEmpty():  # rows that are equal in id and text are rare; only they need an exchange
+        return kept.select("row.*")
+    one = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.join(repeated, "_key", "left_anti").unionByName(one).select("row.*")

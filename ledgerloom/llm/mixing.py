@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WORDS
+from ledgerloom.llm.common import WORDS, held
 from ledgerloom.session import durable
 
 #: Sources of one mix: their table (name, size, quota) goes through the driver and is broadcast; more are an error.
@@ -151,9 +151,9 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = CYCLE, seed: int
     """``docs`` as the mix has them: each as many times as it is taken, a part counting as once from a half on."""
     plan = mix(docs, weights, seed, doc_id, text, source)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    copies = durable(plan.select(F.col("doc_id").alias("_id"), F.col("_at").alias("_mark"), times.alias("_times")), "mix-copies")
-    # rows equal in id and text have one mark; the mean of their copies, as they are taken in turn
-    per_row = copies.groupBy("_id", "_mark").agg(F.ceil(F.avg("_times")).cast("int").alias("_times"))
-    marked = docs.withColumn("_mark", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
-    repeated = marked.join(per_row.filter("_times > 0").withColumnRenamed("_mark", "_m"), (F.col("_mark") == F.col("_m")) & F.col(doc_id).eqNullSafe(F.col("_id")))
-    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    copies = durable(plan.select("doc_id", F.col("_at").alias("mark"), times.alias("times")), "mix-copies")
+    # rows equal in id and text have one mark; each gets the mean of their copies
+    per_row = copies.groupBy("doc_id", "mark").agg(F.round(F.avg("times")).cast("int").alias("times")).filter("times > 0")
+    marked = held(docs, own_mark=F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), own_id=F.col(doc_id))
+    met = marked.join(per_row, (F.col("own_mark") == F.col("mark")) & F.col("own_id").eqNullSafe(F.col("doc_id")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

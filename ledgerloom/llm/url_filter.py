@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import held
 from ledgerloom.session import durable
 
 #: Rules that one cascade may list. They and the filters made from them are broadcast: 16 bytes of key and at most
@@ -85,7 +86,7 @@ def key_halves(keys: Column) -> list[Column]:
 def parts(url: Column) -> tuple[Column, Column]:
     """(host, path): the host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; the
     path goes on to ``?``, ``#`` or the end. A url that is null or has no ``://`` has both empty."""
-    rest = F.when(url.contains("://"), F.expr("substring(_url, locate('://', _url) + 3)")).otherwise("")
+    rest = F.when(url.contains("://"), F.substring(url, F.locate("://", url) + 3, F.length(url))).otherwise("")
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
@@ -155,15 +156,15 @@ def judge(pages: DataFrame, block: list[str], allow: list[str], url: str = "url"
     ``pages`` named like a result are replaced. An empty table gives an empty result.
     """
     spark = pages.sparkSession
-    located = pages.withColumn("_url", F.col(url))
-    host, path = parts(F.col("_url"))
-    located = located.withColumns({"host": host, "path": path})
+    host, path = parts(F.col("url"))
+    located = held(pages, url=F.col(url)).select("row", host.alias("host"), path.alias("path"))
+    carried = [F.col(f"row.`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     if not block and not allow:
-        return located.drop("_url").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    located = located.withColumn("_keys", candidates(F.col("host"), F.col("path"), [*block, *allow]))
-    hashed = located.select("*", *[h.alias(f"_{n}") for h, n in zip(key_halves(F.col("_keys")), "ab", strict=True)])
+        return located.select(*carried, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    keyed = located.withColumn("keys", candidates(F.col("host"), F.col("path"), [*block, *allow]))
+    hashed = keyed.select("*", *key_halves(F.col("keys")))
     universe = durable(
-        hashed.select(F.explode(F.arrays_zip("_a", "_b")).alias("k")).select(F.col("k._a").alias("a"), F.col("k._b").alias("b")).distinct(),
+        hashed.select(F.explode(F.arrays_zip("a", "b")).alias("k")).select("k.*").distinct(),
         "url-keys",
     )
     shipped = spark.sparkContext.broadcast((build(spark, universe, block), build(spark, universe, allow)))
@@ -186,12 +187,12 @@ def judge(pages: DataFrame, block: list[str], allow: list[str], url: str = "url"
         out[rows] = np.where(stops[hit[first]], place[hit[first]], -place[hit[first]])
         return pd.Series(out)
 
-    won = hashed.withColumn("_won", winner("_a", "_b"))
-    fits = F.col("_won") != 0
+    won = hashed.withColumn("won", winner("a", "b"))
+    fits = F.col("won") != 0
     return won.select(
-        *[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")],
+        *carried,
         "host",
         "path",
-        F.when(fits, F.get("_keys", F.abs("_won") - 1)).alias("rule"),
-        F.when(fits, F.when(F.col("_won") > 0, "block").otherwise("allow")).otherwise(default).alias("verdict"),
+        F.when(fits, F.get("keys", F.abs("won") - 1)).alias("rule"),
+        F.when(fits, F.when(F.col("won") > 0, "block").otherwise("allow")).otherwise(default).alias("verdict"),
     )

@@ -2,76 +2,90 @@
 
 A row is accepted when its id is new or was last *accepted* at least the time-to-live ago; duplicates do not
 extend the period. That is a chain, not a gap test, so a lag filter would be wrong.
+
+One path serves every id, however hot. The log is ordered once by (id, time, row), which numbers its rows. Each row's successor,
+the id's first row at or after its expiry, comes from a second ordering of rows and expiries together. Accepted rows are those
+on the chain of successors that starts at an id's first row. Chunks of consecutive numbers, all of one size, shorten their
+chains to the place where each leaves the chunk; pointer doubling over those exits finds where chains enter each chunk, in
+about log2(chunks of the longest id) rounds; and each chunk marks its rows from its entries on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.ordering import range_sorted
-from ledgerloom.session import durable, scratch
+from ledgerloom.operators.ordering import global_index, range_sorted
+from ledgerloom.session import durable
 
 TTL_US = 48 * 3600 * 1_000_000
-HOT_ROWS = 200_000
+CHUNK = 1 << 16
+_ROW_BITS = 33  # monotonically_increasing_id keeps the in-partition row number in its low 33 bits
 
 
-def _fold(rows: DataFrame, ttl_us: int) -> DataFrame:
-    """Accepted row keys of ids with few rows, each folded as one bounded sorted array."""
-    seq = F.array_sort(F.collect_list(F.struct("us", "row_id")))
-    start = F.struct(F.lit(None).cast("bigint").alias("free"), F.array().cast("array<bigint>").alias("ids"))
+def _successors(placed: DataFrame, ttl_us: int) -> DataFrame:
+    """(pos, row_id, nxt) of rows (id, us, pos, row_id): nxt is the id's first row at or after us + ttl, or null."""
+    rows = placed.select("id", F.col("us").alias("at"), F.lit(1).alias("kind"), "pos", "row_id")
+    expiries = placed.select("id", (F.col("us") + ttl_us).alias("at"), F.lit(0).alias("kind"), "pos", "row_id")
+    line = range_sorted(rows.unionByName(expiries), "id", "at", "kind", "pos").withColumn("_at", F.monotonically_increasing_id())
+    line = durable(line, "ttl-line").withColumn("piece", F.shiftright("_at", _ROW_BITS))
+    row = F.when(F.col("kind") == 1, F.struct("id", "pos"))
+    later = Window.partitionBy("piece").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    # one row per task of the range exchange
+    firsts = line.groupBy("piece").agg(F.min_by(row, F.when(F.col("kind") == 1, F.col("_at"))).alias("first"))
+    beyond = Window.orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = durable(firsts.select("piece", F.last("first", ignorenulls=True).over(beyond).alias("carried")), "ttl-carried")
+    found = (
+        line.withColumn("inside", F.last(row, ignorenulls=True).over(later))
+        .where("kind = 0")
+        .join(F.broadcast(carried), "piece")
+        .withColumn("next", F.coalesce("inside", "carried"))
+    )
+    return found.select("pos", "row_id", F.when(F.col("next.id").eqNullSafe(F.col("id")), F.col("next.pos")).alias("nxt"))
 
-    def step(acc, x):
-        take = acc["free"].isNull() | (x["us"] >= acc["free"])
-        return F.struct(
-            F.when(take, x["us"] + ttl_us).otherwise(acc["free"]).alias("free"),
-            F.when(take, F.array_append(acc["ids"], x["row_id"])).otherwise(acc["ids"]).alias("ids"),
-        )
 
-    chains = rows.groupBy("id").agg(seq.alias("seq")).select(
-        "seq", F.aggregate("seq", start, step, lambda a: a["ids"]).alias("ids")
-    )
-    flagged = F.transform("seq", lambda x: F.struct(x["row_id"].alias("row_id"), F.array_contains("ids", x["row_id"]).alias("accepted")))
-    return chains.select(F.inline(flagged))
-
-
-def _sweep(rows: DataFrame, ttl_us: int) -> DataFrame:
-    """Accepted row keys of ids with very many rows.
-
-    Time is cut into slots one time-to-live wide: an id is accepted at most once per slot, at its first row past
-    the running expiry. Each round reads one slot and keeps one minimum per id (combined map-side), so no task
-    ever holds an id's rows. The rows are written once, one folder per slot, so a round prunes to its own; the number of rounds is the log's time span over the time-to-live.
-    """
-    folder = scratch(rows.sparkSession, "ttl-slots")
-    slotted = rows.withColumn("slot", F.floor(F.col("us") / ttl_us))
-    range_sorted(slotted, "slot", "us", "row_id").write.partitionBy("slot").parquet(folder)
-    rows = rows.sparkSession.read.schema("id string, us bigint, row_id bigint, slot bigint").parquet(folder)
-    span = rows.agg(F.min("slot"), F.max("slot")).first()
-    free = None
-    accepted = []
-    for slot in range(span[0], span[1] + 1):
-        now = rows.where(F.col("slot") == slot)
-        if free is not None:
-            now = now.join(free, "id", "left").where(F.col("free").isNull() | (F.col("us") >= F.col("free")))
-        first = durable(now.groupBy("id").agg(F.min(F.struct("us", "row_id")).alias("f")).select("id", "f.us", "f.row_id"))
-        accepted.append(first.select("row_id"))
-        fresh = first.select("id", (F.col("us") + ttl_us).alias("free"))
-        # two slots later an expiry cannot block anything, so the carried state stays one slot deep
-        free = fresh if free is None else free.where(F.col("free") > (slot + 1) * ttl_us).unionByName(fresh)
-        free = durable(free.groupBy("id").agg(F.max("free").alias("free")))
-    hits = accepted[0]
-    for more in accepted[1:]:
-        hits = hits.unionByName(more)
-    hits = hits.withColumn("accepted", F.lit(True))
-    return rows.select("row_id").join(hits, "row_id", "left").select("row_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
-
-
-def ttl_dedupe(rows: DataFrame, ttl_us: int = TTL_US, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Acceptance flag per row of (id, us, row_id). Ids above ``hot_rows`` take the slot sweep, the rest a fold."""
+def _exits(size: int):
+    """Where the chain from each row of a chunk leaves it (null: it ends inside)."""
+
+    def run(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
+        last, out = (key[0] + 1) * size, {}
+        for pos, nxt in sorted(zip(chunk["pos"], chunk["nxt"], strict=True), reverse=True):
+            out[pos] = None if nxt < 0 else nxt if nxt >= last else out[nxt]
+        return pd.DataFrame({"pos": list(out), "exit": pd.array(list(out.values()), dtype="Int64")})
+
+    return run
+
+
+def _marks(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
+    """Acceptance of a chunk's rows: its entries and what follows them inside."""
+    marked = set(chunk.loc[chunk["entry"], "pos"])
+    for pos, nxt in sorted(zip(chunk["pos"], chunk["nxt"], strict=True)):
+        if pos in marked:
+            marked.add(nxt)
+    return pd.DataFrame({"row_id": chunk["row_id"], "accepted": chunk["pos"].isin(marked)})
+
+
+def ttl_dedupe(rows: DataFrame, ttl_us: int = TTL_US, chunk_rows: int = CHUNK) -> DataFrame:
+    """Acceptance flag per row of (id, us, row_id), row_id being unique. Rows without a time are not accepted; a null id is an
+    id like any other. Running it writes its steps as tables, so it acts when it is called."""
     rows = rows.select(F.col("id").cast("string").alias("id"), "us", "row_id")
-    busy = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("id")
-    if busy.isEmpty():
-        return _fold(rows, ttl_us)
-    hot = durable(busy)
-    cold = _fold(rows.join(hot, "id", "left_anti"), ttl_us)
-    return cold.unionByName(_sweep(rows.join(hot, "id", "left_semi"), ttl_us))
+    timed = rows.where(F.col("us").isNotNull())
+    placed = durable(global_index(timed, ["id", "us", "row_id"], "pos"), "ttl-placed")
+    chunk = F.floor(F.col("pos") / chunk_rows)
+    chain = durable(_successors(placed, ttl_us).withColumns({"chunk": chunk, "nxt": F.coalesce("nxt", F.lit(-1))}), "ttl-chain")
+    heads = placed.groupBy("id").agg(F.min("pos").alias("pos")).select("pos")
+    # with one chunk no chain leaves it; the same steps then run over empty tables
+    jumps = durable(chain.groupBy("chunk").applyInPandas(_exits(chunk_rows), "pos bigint, exit bigint").where("exit IS NOT NULL"), "ttl-exits")
+    entries = durable(heads, "ttl-entries")
+    while True:
+        reached = durable(entries.join(jumps, "pos").select(F.col("exit").alias("pos")).distinct(), "ttl-reached")
+        if reached.isEmpty():
+            break
+        entries = durable(entries.unionByName(reached).distinct(), "ttl-entries")
+        twice = jumps.join(jumps.select(F.col("pos").alias("exit"), F.col("exit").alias("beyond")), "exit")
+        jumps = durable(twice.select("pos", F.col("beyond").alias("exit")), "ttl-exits")
+    started = chain.join(entries.withColumn("entry", F.lit(True)), "pos", "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    flags = started.groupBy("chunk").applyInPandas(_marks, rows.select("row_id").schema.add("accepted", "boolean"))
+    untimed = rows.where(F.col("us").isNull()).select("row_id", F.lit(False).alias("accepted"))
+    return flags.unionByName(untimed)

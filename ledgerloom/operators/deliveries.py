@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.signing import SIGNATURE_HEADER, TOPIC_HEADER, event_id, header, signature_ok
-from ledgerloom.operators.dedupe import HOT_ROWS, TTL_US, ttl_dedupe
+from ledgerloom.operators.dedupe import TTL_US, ttl_dedupe
 from ledgerloom.session import durable
 
 
@@ -32,11 +32,11 @@ def outcome_columns(valid: Column, event: Column, accepted: Column) -> list[Colu
     ]
 
 
-def handle(deliveries: DataFrame, secret: str, ttl_us: int = TTL_US, hot_rows: int = HOT_ROWS) -> DataFrame:
+def handle(deliveries: DataFrame, secret: str, ttl_us: int = TTL_US) -> DataFrame:
     """Outcome of every delivery; only valid ones with an id reach the dedupe state."""
     checked = durable(authenticate(deliveries, secret).select("row_id", "us", "valid", "event", "topic"))
     claims = checked.where("valid AND event IS NOT NULL").select(F.col("event").alias("id"), "us", "row_id")
-    flags = ttl_dedupe(claims, ttl_us, hot_rows)
+    flags = ttl_dedupe(claims, ttl_us)
     return checked.join(flags, "row_id", "left").select(
         "row_id", "us", "topic", "event",
         *outcome_columns(F.col("valid"), F.col("event"), F.coalesce("accepted", F.lit(False))),

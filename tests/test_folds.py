@@ -34,19 +34,28 @@ def claims(spark, rows):
     return spark.createDataFrame(rows, "id string, us long, row_id long")
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 0])
-def test_ttl_expiry_is_not_refreshed(spark, hot_rows):
-    rows = [("a", 0, 1), ("a", 6, 2), ("a", 12, 3), ("b", 0, 4), ("b", 0, 5), ("b", 11, 6)]
-    got = {r["row_id"]: r["accepted"] for r in ttl_dedupe(claims(spark, rows), 10, hot_rows).collect()}
-    assert got == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True}
+def accepted(df, *args):
+    return {r["row_id"]: r["accepted"] for r in ttl_dedupe(df, *args).collect()}
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 60, 0])
-def test_ttl_matches_loop_with_a_hot_id(spark, hot_rows):
+@pytest.mark.parametrize("chunk", [2, 1 << 16])
+def test_ttl_expiry_is_not_refreshed(spark, chunk):
+    rows = [("a", 0, 1), ("a", 6, 2), ("a", 12, 3), ("b", 0, 4), ("b", 0, 5), ("b", 11, 6), (None, 0, 7), (None, 3, 8), ("a", None, 9)]
+    want = {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True, 8: False, 9: False}
+    assert accepted(claims(spark, rows), 10, chunk) == want
+
+
+@pytest.mark.parametrize("chunk", [3, 40, 1 << 16])
+def test_ttl_matches_loop_with_a_hot_id(spark, chunk):
     rng = random.Random(7)
     rows = [("hot" if rng.random() < 0.4 else f"id{rng.randrange(12)}", rng.randrange(600), n) for n in range(500)]
-    got = {r["row_id"]: r["accepted"] for r in ttl_dedupe(claims(spark, rows), 100, hot_rows).collect()}
-    assert got == greedy(rows, 100)
+    assert accepted(claims(spark, rows), 100, chunk) == greedy(rows, 100)
+
+
+def test_ttl_of_one_id_with_every_row_accepted(spark):
+    rows = spark.range(200_000).select(F.lit("one").alias("id"), (F.col("id") * 10).alias("us"), F.col("id").alias("row_id"))
+    assert ttl_dedupe(rows, 10, 1 << 14).where("accepted").count() == 200_000
+    assert ttl_dedupe(rows.limit(0)).count() == 0
 
 
 def edit_loop(log):

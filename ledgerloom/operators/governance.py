@@ -25,7 +25,7 @@ def limit_check(requests: DataFrame, limits: DataFrame) -> DataFrame:
     """
     amount = finite(F.col("amount"))
     status = (
-        F.when(~F.col("kind").isin(*LIMIT_KINDS), "UNKNOWN_KIND")
+        F.when(~F.coalesce(F.col("kind").isin(*LIMIT_KINDS), F.lit(False)), "UNKNOWN_KIND")
         .when(amount.isNull() | (amount < 0), "INVALID_AMOUNT")
         .when(F.col("limit").isNull() | (F.col("limit") <= 0) | (amount > F.col("limit")), "APPROVAL")
         .otherwise("OK")

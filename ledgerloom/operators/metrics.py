@@ -150,6 +150,13 @@ def arm_test(rows: DataFrame, keys: list[str], arm: str, converted: Column, size
     )
 
 
+def stop_loss(read: DataFrame, floor: float, min_n: int = MIN_ARM) -> DataFrame:
+    """``stopped``: whether the variant's lift is at or under ``floor``; unknown for small arms or without a base rate."""
+    lift = F.round(F.try_divide(F.try_divide("conv_b", "n_b") - F.try_divide("conv_a", "n_a"), F.try_divide("conv_a", "n_a")), 9)
+    known = (F.col("n_a") >= min_n) & (F.col("n_b") >= min_n)
+    return read.withColumn("stopped", F.when(known, lift <= floor))
+
+
 def labelled(df: DataFrame, keys: list[str], measured: dict[str, str], estimated: dict[str, str], value: str) -> DataFrame:
     """Long metric rows with label and source; an unknown value is spelled out, never blank."""
     sources = {**measured, **estimated}
@@ -165,9 +172,12 @@ def labelled(df: DataFrame, keys: list[str], measured: dict[str, str], estimated
 
 
 def week_over_week(df: DataFrame, week: str, metrics: list[str]) -> DataFrame:
-    """This period, the previous one and the change, one row per metric. Input is one row per week."""
+    """This week, the week before and the change, one row per metric. Input is one row per week, dated by its first day
+    (a date or its text); a week that is missing is unknown, not replaced by an earlier one."""
     long = df.select(week, *[F.col(m).cast("double") for m in metrics]).unpivot([week], metrics, "metric", "this_week")
-    prev = F.lag("this_week").over(Window.partitionBy("metric").orderBy(week))
+    line = Window.partitionBy("metric").orderBy(week)
+    next_to = F.date_add(F.lag(week).over(line).cast("date"), 7) == F.col(week).cast("date")
+    prev = F.when(next_to, F.lag("this_week").over(line))
     return long.withColumn("last_week", prev).withColumn("delta", F.col("this_week") - F.col("last_week"))
 
 

@@ -1,81 +1,66 @@
 """Clamped running offsets over a stored step log.
 
 The clamp applies at every step, so this is not a running sum. A run of steps is still one clamped addition
-(x -> min(hi, max(lo, x + total))), and two runs compose into another, so each task reduces its piece of a
-symbol's steps and only those reductions are chained.
+(x -> min(hi, max(lo, x + total))), and two runs compose into another. The log is numbered once by (symbol, order); chunks of
+consecutive numbers, all of one size, reduce to one such addition per symbol, and so do chunks of chunks, until a symbol's
+few reductions are folded from zero.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from ledgerloom.operators.ordering import range_sorted
+from ledgerloom.operators.ordering import global_index
+from ledgerloom.session import durable
 
 LIMIT_MICRO = 60_000  # offset limit in millionths
+CHUNK = 4096
 
-_COLS = ["sym", "first", "n", "total", "lo", "hi", "prior_total", "prior_lo", "prior_hi"]
-_OUT = ["sym", "offset_micro", "dir", "ticks"]
-
-
-def _then(run: tuple[int, int, int], step: int) -> tuple[int, int, int]:
-    total, lo, hi = run
-    clamp = lambda v: max(-LIMIT_MICRO, min(LIMIT_MICRO, v))
-    return total + step, clamp(lo + step), clamp(hi + step)
-
-
-_NOTHING = (0, -LIMIT_MICRO, LIMIT_MICRO)
-
-
-def _reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sym, first, n, run, prior = None, 0, 0, _NOTHING, _NOTHING
-    out: list[tuple] = []
-    for pdf in batches:
-        for s, at, step in zip(pdf["sym"], pdf["ord"], pdf["step"]):
-            if s != sym:
-                if sym is not None:
-                    out.append((sym, first, n, *run, *prior))
-                sym, first, n, run = s, int(at), 0, _NOTHING
-            prior, run, n = run, _then(run, int(step)), n + 1
-        if len(out) > 5000:
-            yield pd.DataFrame(out, columns=_COLS)
-            out = []
-    if sym is not None:
-        out.append((sym, first, n, *run, *prior))
-    yield pd.DataFrame(out, columns=_COLS)
-
-
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chain the reductions of each symbol; rows come sorted by (sym, first)."""
-    sym, x, before, ticks = None, 0, 0, 0
-    out: list[tuple] = []
-
-    def close() -> tuple:
-        return sym, x, "up" if x > before else "down", ticks
-
-    for pdf in batches:
-        for r in pdf.itertuples():
-            if r.sym != sym:
-                if sym is not None:
-                    out.append(close())
-                sym, x, ticks = r.sym, 0, 0
-            before = min(r.prior_hi, max(r.prior_lo, x + r.prior_total))
-            x = min(r.hi, max(r.lo, x + r.total))
-            ticks += r.n
-        yield pd.DataFrame(out, columns=_OUT)
-        out = []
-    if sym is not None:
-        yield pd.DataFrame([close()], columns=_OUT)
-
-
-def clamped_offsets(steps: DataFrame) -> DataFrame:
-    """Latest offset per symbol from (sym, ord, step in millionths); up only when the last step raised it."""
-    rows = range_sorted(steps.select("sym", "ord", "step"), "sym", "ord")
-    runs = rows.mapInPandas(
-        _reduce,
-        "sym string, first bigint, n bigint, total bigint, lo bigint, hi bigint, prior_total bigint, prior_lo bigint, prior_hi bigint",
+_RUN = ("total", "lo", "hi")
+
+
+def _clamp(x: Column) -> Column:
+    return F.greatest(F.lit(-LIMIT_MICRO), F.least(F.lit(LIMIT_MICRO), x))
+
+
+def _apply(run: Column, x: Column) -> Column:
+    """A clamped addition of x."""
+    return F.least(run["hi"], F.greatest(run["lo"], x + run["total"]))
+
+
+def _compose(first: Column, then: Column) -> Column:
+    """One clamped addition for two in turn."""
+    return F.struct(
+        (first["total"] + then["total"]).alias("total"), _apply(then, first["lo"]).alias("lo"), _apply(then, first["hi"]).alias("hi")
     )
-    chained = runs.repartition("sym").sortWithinPartitions("sym", "first")
-    return chained.mapInPandas(_chain, "sym string, offset_micro bigint, dir string, ticks bigint")
+
+
+def _reduced(runs: DataFrame, size: int) -> DataFrame:
+    """Runs (sym, no, run, before, n) of ``size`` consecutive numbers of a symbol as one; ``before`` is without its last step."""
+    parts = F.array_sort(F.collect_list(F.struct("no", "run", "before", "n")))  # at most ``size`` entries
+    nothing = F.struct(*[F.lit(v).cast("bigint").alias(c) for c, v in zip(_RUN, (0, -LIMIT_MICRO, LIMIT_MICRO), strict=True)])
+    start = F.struct(nothing.alias("run"), nothing.alias("before"), F.lit(0).cast("bigint").alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(
+            _compose(acc["run"], x["run"]).alias("run"), _compose(acc["run"], x["before"]).alias("before"), (acc["n"] + x["n"]).alias("n")
+        )
+
+    grouped = runs.groupBy("sym", F.floor(F.col("no") / size).alias("no")).agg(parts.alias("parts"))
+    return grouped.select("sym", "no", F.aggregate("parts", start, step).alias("r")).select("sym", "no", "r.*")
+
+
+def clamped_offsets(steps: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Latest offset per symbol from (sym, ord, step in millionths); up only when the last step raised it."""
+    numbered = global_index(steps.select("sym", "ord", "step"), ["sym", "ord"], "no")
+    step = F.col("step").cast("bigint")
+    one = F.struct(step.alias("total"), _clamp(F.lit(-LIMIT_MICRO) + step).alias("lo"), _clamp(F.lit(LIMIT_MICRO) + step).alias("hi"))
+    none = F.struct(*[F.lit(v).cast("bigint").alias(c) for c, v in zip(_RUN, (0, -LIMIT_MICRO, LIMIT_MICRO), strict=True)])
+    runs = numbered.select("sym", "no", one.alias("run"), none.alias("before"), F.lit(1).cast("bigint").alias("n"))
+    while True:
+        runs = durable(_reduced(runs, size), "offset-runs")
+        if runs.groupBy("sym").count().where("count > 1").isEmpty():
+            break
+    x = lambda run: _apply(F.col(run), F.lit(0).cast("bigint"))
+    return runs.select("sym", x("run").alias("offset_micro"), F.when(x("run") > x("before"), "up").otherwise("down").alias("dir"), F.col("n").alias("ticks"))

@@ -73,6 +73,13 @@ def split_valid(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.size("reasons") == 0).drop("reasons"), checked.where(F.size("reasons") > 0)
 
 
+def require_valid(cands: DataFrame) -> DataFrame:
+    """The candidates as they are; running it fails on the first one with a bad score or an unknown knockout."""
+    reasons = invalid_reasons()
+    failed = F.raise_error(F.concat(F.lit("candidate "), F.col("id"), F.lit(": "), F.array_join(reasons, "; ")))
+    return cands.where(F.when(F.size(reasons) == 0, F.lit(True)).otherwise(failed.cast("boolean")))
+
+
 def score(cands: DataFrame) -> DataFrame:
     """Totals, confidence, unknown factors, active knockouts and the verdict."""
     total = F.expr(_over_factors(f"coalesce({{s}}, {UNKNOWN_SCORE}) * {{w}}")).cast("bigint")

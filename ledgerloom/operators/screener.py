@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.ordering import global_rank
@@ -61,8 +61,13 @@ def ranked(df: DataFrame, sort: str) -> DataFrame:
     return global_rank(df, sort_columns(sort))
 
 
-def page(df: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
-    """Zero-based page of ranked rows, clamped to the last one."""
-    last = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).alias("pages"))
-    at = F.least(F.lit(number), last.scalar() - 1)
-    return df.withColumn("page", at).where(F.floor((F.col("rank") - 1) / size) == F.col("page"))
+def page(df: DataFrame, sort: str, number: int, size: int = PAGE_SIZE) -> DataFrame:
+    """Zero-based page of screened rows, clamped to the last one, with rank and page.
+
+    A top-k of everything up to the page: if fewer rows exist, their last page is the clamped one.
+    """
+    order = sort_columns(sort)
+    head = df.orderBy(*order).limit((number + 1) * size)
+    placed = head.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # over the rows kept
+    at = F.floor((F.col("rank") - 1) / size)
+    return placed.withColumn("page", F.max(at).over(Window.partitionBy(F.lit(0)))).where(at == F.col("page"))

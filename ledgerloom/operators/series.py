@@ -52,10 +52,11 @@ def in_ranges(series: DataFrame) -> DataFrame:
 
 
 def range_base(ranged: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Base price of each range: the previous close for 1D, else the first point."""
-    firsts = ranged.groupBy("pk", "range_id", "range_ord").agg(F.min_by("price", "dt").alias("first_px"))
+    """Base price of each range: the previous close for 1D, else the first point (of a range with one point the live price,
+    which takes that point's place)."""
+    firsts = ranged.groupBy("pk", "range_id", "range_ord").agg(F.min_by("price", "dt").alias("first_px"), F.count(F.lit(1)).alias("points"))
     q = quotes.select(F.col("ord").alias("pk"), "sym", "price", "prev_close")
-    base = F.when(F.col("range_id") == "1D", F.col("prev_close")).otherwise(F.col("first_px"))
+    base = F.when(F.col("range_id") == "1D", F.col("prev_close")).when(F.col("points") == 1, F.col("price")).otherwise(F.col("first_px"))
     return firsts.join(q, "pk").withColumn("base_px", base)
 
 
@@ -108,12 +109,12 @@ def bridge(walked: DataFrame, scale: float) -> DataFrame:
 
 
 def trailing_range(series: DataFrame, quotes: DataFrame, points: int = TRAILING) -> DataFrame:
-    """High and low of the last points with the final one replaced by the live price."""
-    newest = Window.partitionBy("pk").orderBy(F.desc("dt"))
-    tail = series.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= points)
-    q = quotes.select(F.col("ord").alias("pk"), "sym", F.col("price").alias("live"))
-    px = F.when(F.col("back") == 1, F.col("live")).otherwise(F.col("price"))
-    return tail.drop("sym").join(q, "pk").groupBy("sym").agg(F.max(px).alias("hi"), F.min(px).alias("lo"))
+    """High and low of each range's last points, for 1D of all of its points, with the ends patched (see :func:`patch`)."""
+    patched = patch(series, quotes)
+    by_range = Window.partitionBy("sym", "range_id")
+    back = F.count(F.lit(1)).over(by_range) - F.col("i")
+    tail = patched.withColumn("back", back).where((F.col("range_id") == "1D") | (F.col("back") <= points))
+    return tail.groupBy("sym", "range_id").agg(F.max("price").alias("hi"), F.min("price").alias("lo"))
 
 
 def open_price(series: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -151,21 +152,24 @@ def high_low(year: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def price_bins(series: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Padded value domain per symbol (with its previous close), four bins, their mid ticks and point counts."""
+    """Padded value domain per symbol (with its previous close), four bins, their mid ticks and point counts.
+
+    Points find their bin beside their symbol's ends and are counted; a symbol is one row of ``TICKS`` counts.
+    """
     q = quotes.select(F.col("ord").alias("pk"), "prev_close")
-    ends = series.groupBy("pk", "sym").agg(
-        F.min("price").alias("l"), F.max("price").alias("h"), F.collect_list("price").alias("pts")
-    )
+    by_sym = Window.partitionBy("pk")
+    ends = series.select("pk", "sym", "price", F.min("price").over(by_sym).alias("l"), F.max("price").over(by_sym).alias("h"))
     lo, hi = F.least("l", "prev_close"), F.greatest("h", "prev_close")
     pad = F.when(hi - lo == 0, F.lit(1.0)).otherwise((hi - lo) * DOMAIN_PAD)
-    dom = ends.join(q, "pk").withColumn("lo", lo - pad).withColumn("hi", hi + pad)
-    bins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(TICKS - 1).cast("bigint")))
-    bin_of = lambda p: F.floor((p - F.col("lo")) / (F.col("hi") - F.col("lo")) * TICKS)
-    return dom.select("sym", "lo", "hi", "pts", bins.alias("bin")).select(
+    dom = ends.join(q, "pk").select("pk", "sym", "price", (lo - pad).alias("lo"), (hi + pad).alias("hi"))
+    bin_of = F.floor((F.col("price") - F.col("lo")) / (F.col("hi") - F.col("lo")) * TICKS)
+    counts = dom.groupBy("pk", "sym", "lo", "hi").agg(*[F.count_if(bin_of == b).alias(f"b{b}") for b in range(TICKS)])
+    bins = F.posexplode(F.array(*[f"b{b}" for b in range(TICKS)])).alias("bin", "points")
+    return counts.select("sym", "lo", "hi", bins).select(
         "sym",
-        "bin",
+        F.col("bin").cast("bigint").alias("bin"),
         (F.col("lo") + (F.col("bin") + 0.5) / TICKS * (F.col("hi") - F.col("lo"))).alias("tick"),
-        F.size(F.filter("pts", lambda p: bin_of(p) == F.col("bin"))).cast("bigint").alias("points"),
+        "points",
     )
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import cents
+from ledgerloom.operators.ordering import global_index
+from ledgerloom.session import durable
 from ledgerloom.sources.commerce import micros
 
 GAP_SECONDS = 30 * 60
@@ -13,14 +17,15 @@ HOUR_US = 3_600_000_000
 
 
 def gap_slots(ev: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
-    """Events combined into clock slots as wide as the session gap.
+    """Events combined into clock slots as wide as the largest divisor of both the session gap and the hour.
 
-    Two events in one slot are always less than a gap apart, so they share a session: the combine is exact,
-    runs map-side, and leaves at most one row per user and slot of the calendar.
+    Two events in one slot are less than a gap apart, so they share a session, and lie in one hour: the combine is
+    exact, runs map-side, and leaves at most one row per user and slot of the calendar.
     """
+    width = math.gcd(gap_seconds, 3600)
     us = micros(F.col("ts"))
     kind = F.col("event_type")
-    return ev.groupBy("user_id", F.floor(us / (gap_seconds * 1_000_000)).alias("slot")).agg(
+    return ev.groupBy("user_id", F.floor(us / (width * 1_000_000)).alias("slot")).agg(
         F.min(us).alias("first_us"),
         F.max(us).alias("last_us"),
         F.count(F.lit(1)).alias("n"),
@@ -63,25 +68,26 @@ def us_day(us: Column) -> Column:
     return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd")
 
 
-def last_marked_before(df: DataFrame, key: str, us: str, tie: str, marked: Column, slot_seconds: int = 600) -> DataFrame:
+def last_marked_before(df: DataFrame, key: str, us: str, tie: str, marked: Column, piece_rows: int = 20_000) -> DataFrame:
     """Time of the latest marked row at or before each row of its key.
 
-    Looks inside a short slot first, then takes the latest mark of the earlier slots, so the rows of one key are
-    spread over its slots.
+    Rows are numbered once by (key, time, tie) and looked through in pieces of ``piece_rows`` consecutive numbers; a row
+    without a mark of its key before it in its piece takes the latest of the earlier pieces. However busy a key or a
+    moment is, a piece has its fixed size.
     """
-    slotted = df.withColumn("_slot", F.floor(F.col(us) / (slot_seconds * 1_000_000))).withColumn(
-        "_mark", F.when(marked, F.col(us))
-    )
-    here = Window.partitionBy(key, "_slot").orderBy(us, tie).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    marks = (
-        slotted.groupBy(key, "_slot")
+    placed = global_index(df.withColumn("_mark", F.when(marked, F.col(us))), [key, us, tie], "_no")
+    pieced = placed.withColumn("_piece", F.floor(F.col("_no") / piece_rows))
+    here = Window.partitionBy("_piece", key).orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    marks = durable(
+        pieced.groupBy(key, "_piece")
         .agg(F.max("_mark").alias("_top"))
-        .select(key, "_slot", F.max("_top").over(earlier).alias("_before"))
+        .select(key, "_piece", F.max("_top").over(earlier).alias("_before")),
+        "marks",
     )
     return (
-        slotted.withColumn("_within", F.max("_mark").over(here))
-        .join(marks, [key, "_slot"])
+        pieced.withColumn("_within", F.max("_mark").over(here))
+        .join(marks, [key, "_piece"])
         .withColumn("last_marked_us", F.coalesce("_within", "_before"))
-        .drop("_slot", "_mark", "_within", "_before")
+        .drop("_no", "_piece", "_mark", "_within", "_before")
     )

@@ -20,6 +20,7 @@ CITATION = r"\[(S-[A-Za-z0-9]+)\]"
 EVIDENCE = ("FACT", "INFERENCE", "ASSUMPTION")
 
 REPLY_SCHEMA = "content array<struct<type:string,text:string>>"
+VERDICT_SCHEMA = "verdict string, confidence bigint, headline string, reasoning string, watchFor string, bad string"
 SIGNALS_SCHEMA = "summary string, signals array<struct<sym:string,signal:string,confidence:bigint,note:string>>"
 ERRORS_SCHEMA = "userErrors array<struct<field:array<string>,message:string>>"
 
@@ -93,6 +94,27 @@ def parse_signals(replies: DataFrame) -> DataFrame:
     )
 
 
+def parse_verdicts(replies: DataFrame) -> DataFrame:
+    """Verdict card of each stored response, fences stripped: status, label, confidence, headline, reasoning, watch_for.
+
+    A reply that is no JSON object has status ``error`` and no card; an unknown verdict is shown as waiting.
+    """
+    clean = F.trim(F.regexp_replace(reply_text(F.col("response")), "```json|```", ""))
+    parsed = replies.withColumn("p", F.from_json(clean, VERDICT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}))
+    done = F.col("p").isNotNull() & F.col("p.bad").isNull()
+    card = lambda c: F.when(done, c)
+    return parsed.select(
+        "conv_id",
+        "turn",
+        F.when(done, "done").otherwise("error").alias("status"),
+        card(verdict_label(F.col("p.verdict"))).alias("label"),
+        card(F.col("p.confidence")).alias("confidence"),
+        card(F.col("p.headline")).alias("headline"),
+        card(F.col("p.reasoning")).alias("reasoning"),
+        card(F.col("p.watchFor")).alias("watch_for"),
+    )
+
+
 def shown_signal(signal: Column) -> Column:
     """Display style of a signal; anything unknown is shown as HOLD."""
     return F.when(signal.isin(*SIGNALS), signal).otherwise("HOLD")
@@ -116,9 +138,10 @@ def json_number(x: Column, d: int = 2) -> Column:
 
 
 def snapshot_json(lists: DataFrame, quotes: DataFrame, owner: str, key: str) -> DataFrame:
-    """JSON snapshot of each owner's list of quotes, in list order.
+    """JSON snapshot of each owner's list of quotes as ordered rows (ord is the key's order in the list).
 
-    Each quote is rendered once, before the join; the lists are bounded (ten entries), so collecting one is safe.
+    Each quote is rendered once, before the join. One row per entry rather than one array per owner, so a long list is
+    never one value; joining an owner's rows with commas between brackets gives the whole document.
     """
     head = F.to_json(F.struct(F.col("sym").alias("symbol"), "name", "sector"))
     tail = F.to_json(F.struct(F.col("cap_text").alias("marketCap"), F.col("pe").alias("peRatio")))
@@ -127,13 +150,7 @@ def snapshot_json(lists: DataFrame, quotes: DataFrame, owner: str, key: str) ->
         json_number(F.col("chg_pct")), F.lit(","), F.expr("substring(t, 2)"),
     )
     rendered = quotes.withColumn("h", head).withColumn("t", tail).select(key, item.alias("item"))
-    items = F.array_sort(F.collect_list(F.struct("ord", F.col("item").alias("j"))))
-    return (
-        lists.select(owner, key, "ord")
-        .join(rendered, key)
-        .groupBy(owner)
-        .agg(F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["j"]), ","), F.lit("]")).alias("snapshot"))
-    )
+    return lists.select(owner, key).join(rendered, key).select(owner, F.col(key).alias("ord"), "item")
 
 
 def assemble(turns: DataFrame, context: Column) -> DataFrame:

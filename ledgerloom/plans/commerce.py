@@ -35,9 +35,9 @@ cte(
          o_orderpriority AS source, o_orderstatus AS medium, c_mktsegment AS campaign, 'shop-' || n_regionkey AS shop,
          ['USD', 'USD', 'JPY', 'EUR', 'AED'][n_regionkey + 1] AS shop_currency,
          CASE WHEN n_nationkey % 6 = 5 THEN 'GBP' ELSE ['USD', 'USD', 'JPY', 'EUR', 'AED'][n_regionkey + 1] END AS currency,
-         subtotal, discount, refund
+         coalesce(subtotal, 0) AS subtotal, coalesce(discount, 0) AS discount, coalesce(refund, 0) AS refund
        FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
-       JOIN (SELECT l_orderkey, sum(x * 100) AS subtotal, sum(x * d) AS discount, coalesce(sum(x * (100 - d)) FILTER (l_returnflag = 'R'), 0) AS refund
+       LEFT JOIN (SELECT l_orderkey, sum(x * 100) AS subtotal, sum(x * d) AS discount, coalesce(sum(x * (100 - d)) FILTER (l_returnflag = 'R'), 0) AS refund
              FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS x, CAST(round(l_discount * 100) AS BIGINT) AS d FROM lineitem)
              GROUP BY 1) ON l_orderkey = o_orderkey""",
 )
@@ -332,6 +332,9 @@ def _m_abtest(spark, sf_dir):
     return metrics.arm_test(rows, ["unit"], "arm", F.col("conv"), F.col("size"))
 
 
+STOP_LOSS = -0.1  # lift at which an experiment is stopped
+
+
 @query(
     "exp_readout",
     _test_sql(
@@ -341,12 +344,13 @@ def _m_abtest(spark, sf_dir):
         "experiment",
     ).replace(
         "SELECT experiment, conv_a",
-        "SELECT experiment, CASE WHEN NOT ok OR 2 * (1 - cdf) >= 0.05 THEN 'INCONCLUSIVE' WHEN z > 0 THEN 'WIN' ELSE 'LOSS' END AS decision, conv_a",
+        "SELECT experiment, CASE WHEN NOT ok OR 2 * (1 - cdf) >= 0.05 THEN 'INCONCLUSIVE' WHEN z > 0 THEN 'WIN' ELSE 'LOSS' END AS decision, "
+        "CASE WHEN n_a < 100 OR n_b < 100 OR conv_a = 0 THEN NULL ELSE round((pb - pa) / pa, 9) <= -0.1 END AS stopped, conv_a",
         1,
     ),
 )
 def _exp_readout(spark, sf_dir):
-    """Primary metric per arm and the decision for every experiment."""
+    """Primary metric per arm, the decision and the stop-loss outcome for every experiment."""
     ev = commerce.events(spark, sf_dir)
     rows = ev.select(
         F.format_string("EXP-%03d", F.floor(F.col("user_id") / 2) % 9).alias("experiment"),
@@ -355,7 +359,7 @@ def _exp_readout(spark, sf_dir):
     )
     read = metrics.arm_test(rows, ["experiment"], "arm", F.col("conv"), F.lit(1).cast("bigint"))
     decided = F.coalesce(F.col("p_value") < 0.05, F.lit(False))
-    return read.withColumn(
+    return metrics.stop_loss(read, STOP_LOSS).withColumn(
         "decision", F.when(~decided, "INCONCLUSIVE").when(F.col("z") > 0, "WIN").otherwise("LOSS")
     )
 
@@ -454,8 +458,8 @@ def _m_labelled(spark, sf_dir):
     "m_wow",
     sql(
         " UNION ALL ".join(
-            f"""SELECT period, '{m}' AS metric, {m} AS this_week, lag({m}) OVER (ORDER BY period) AS last_week,
-                {m} - lag({m}) OVER (ORDER BY period) AS delta FROM summary_week"""
+            f"""SELECT w.period, '{m}' AS metric, w.{m} AS this_week, b.{m} AS last_week, w.{m} - b.{m} AS delta
+                FROM summary_week w LEFT JOIN summary_week b ON CAST(b.period AS DATE) + 7 = CAST(w.period AS DATE)"""
             for m in ("revenue", "aov", "conversion_rate", "cac", "refund_rate", "contribution")
         ),
         "summary_week",

@@ -40,12 +40,7 @@ cte(
 
 @query("rel_score", sql("SELECT sym, score FROM scored", "scored"))
 def _rel_score(spark, sf_dir):
-    return traded(spark, sf_dir).select("sym", screener.rel_score(SEARCH.strip().lower()).alias("score"))
-
-
-def traded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instruments with at least one trade, which are the ones that have quotes."""
-    return market.instruments(spark, sf_dir).where("mcap_num IS NOT NULL")
+    return market.listing(spark, sf_dir).select("sym", screener.rel_score(SEARCH.strip().lower()).alias("score"))
 
 
 @query(
@@ -92,8 +87,7 @@ _ranked_query("screen_alpha", "alpha", "sym", "", _ALL)
 )
 def _screen_page(spark, sf_dir):
     """The third page of the default screen."""
-    ranked = screener.ranked(screener.screen(screen_rows(spark, sf_dir)), "relevance")
-    return screener.page(ranked, 2).select("sym", "rank", "page")
+    return screener.page(screener.screen(screen_rows(spark, sf_dir)), "relevance", 2).select("sym", "rank", "page")
 
 
 @query(
@@ -102,7 +96,7 @@ def _screen_page(spark, sf_dir):
 )
 def _screen_count(spark, sf_dir):
     score = screener.rel_score(SEARCH.strip().lower())
-    return traded(spark, sf_dir).agg(F.count_if(score > 0).alias("matched"), F.count(F.lit(1)).alias("universe"))
+    return market.listing(spark, sf_dir).agg(F.count_if(score > 0).alias("matched"), F.count(F.lit(1)).alias("universe"))
 
 
 @query("sectors", "SELECT DISTINCT p_type AS sector FROM part")
@@ -132,7 +126,7 @@ def _in_watch(spark, sf_dir):
 def _universe_union(spark, sf_dir):
     """Curated instruments followed by the rest, keeping duplicates (UNION ALL)."""
     cols = ["ord", "sym", "name", "sector", "curated"]
-    rows = market.instruments(spark, sf_dir).select(*cols)
+    rows = market.listing(spark, sf_dir).select(*cols)
     return rows.where("curated").unionByName(rows.where("NOT curated"))
 
 
@@ -187,17 +181,18 @@ def _tape_board(spark, sf_dir):
 
 @query(
     "tick_set",
-    sql("SELECT sym FROM watch UNION SELECT sym FROM holdings", "watch", "holdings"),
+    sql(
+        """SELECT 'P' || (CAST(json_extract_string(props, '$.k') AS BIGINT) + user_id * 100) AS sym FROM events
+             WHERE event_type = 'click' AND json_extract_string(props, '$.k') IS NOT NULL
+           UNION SELECT sym FROM holdings""",
+        "holdings",
+    ),
 )
 def _tick_set(spark, sf_dir):
-    held = market.account_lines(spark, sf_dir).select(F.col("l_partkey").alias("pk"))
-    return (
-        market.watch(spark, sf_dir)
-        .select("pk")
-        .union(held)
-        .distinct()
-        .select(market.symbol(F.col("pk")).alias("sym"))
-    )
+    """Symbols to tick: those added to a watchlist and those held, which come from different logs."""
+    held = market.account_lines(spark, sf_dir).select(F.col("l_partkey").alias("pk")).distinct()
+    watched = market.watch_edits(spark, sf_dir).where("sym IS NOT NULL").select("sym")
+    return watched.union(held.select(market.symbol(F.col("pk")).alias("sym"))).distinct()
 
 
 @query(

@@ -391,6 +391,6 @@ def _clamped_state(spark, sf_dir):
 def _stream_daily(spark, sf_dir):
     """Event files streamed through the daily aggregation into a table, then read back."""
     folder = scratch(spark, "stream-daily")
-    flows.run_to_table(flows.daily_metrics(flows.event_stream(spark, sf_dir)), folder, "update")
+    flows.run_to_table(flows.daily_metrics(flows.event_stream(spark, f"{sf_dir}/events.parquet")), folder, "update")
     days = flows.latest_per_key(spark, folder, ["day"], ["events", "sessions", "orders", "cents"])
     return days.select("day", "events", "sessions", "orders", (F.col("cents") / 100).alias("revenue"))

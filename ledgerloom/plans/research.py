@@ -171,7 +171,7 @@ def _cand_adjust(spark, sf_dir):
             f"SELECT id, {o} AS o, {w} AS w FROM cand_scored WHERE f{o} IS NOT NULL" for o, w in enumerate(_W)
         )
         + """) c LEFT JOIN (SELECT 'C-' || l_suppkey AS id, l_partkey % 16 AS o,
-              max(CASE l_returnflag WHEN 'N' THEN 10 WHEN 'R' THEN 6 ELSE 3 END) AS tenths FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2) e
+              max(CASE l_returnflag WHEN 'N' THEN 10 WHEN 'R' THEN 6 ELSE 3 END) AS tenths FROM lineitem GROUP BY 1, 2) e
              ON e.id = c.id AND e.o = c.o GROUP BY 1""",
         "cand_scored",
     ),

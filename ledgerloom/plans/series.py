@@ -128,10 +128,10 @@ def _series_patch(spark, sf_dir):
     return ops.patch(ranged, quote_rows(spark, sf_dir))
 
 
-@query("range_change", sql("SELECT sym, range_id, chg, chg_pct FROM perf WHERE range_id = '1Y'", "perf"))
+@query("range_change", sql("SELECT sym, range_id, chg, chg_pct FROM perf", "perf"))
 def _range_change(spark, sf_dir):
-    year = ops.in_ranges(market.prices(spark, sf_dir)).where("range_id = '1Y'")
-    return ops.performance(year, quote_rows(spark, sf_dir)).drop("range_ord")
+    ranged = ops.in_ranges(market.prices(spark, sf_dir))
+    return ops.performance(ranged, quote_rows(spark, sf_dir)).drop("range_ord")
 
 
 @query("perf_ranges", sql("SELECT sym, range_id, chg_pct FROM perf", "perf"))
@@ -156,15 +156,19 @@ def _perf_string(spark, sf_dir):
 @query(
     "trailing20",
     sql(
-        """SELECT sym, max(px) AS hi, min(px) AS lo FROM (
-             SELECT q.sym, CASE WHEN s.i = s.n - 1 THEN q.price ELSE s.price END AS px
-             FROM series s JOIN quotes q ON q.ord = s.pk WHERE s.i >= s.n - 20) GROUP BY 1""",
-        "series",
+        """SELECT sym, range_id, max(px) AS hi, min(px) AS lo FROM (
+             SELECT sym, range_id, i, n, CASE WHEN i = 0 AND range_id = '1D' THEN prev_close WHEN i = n - 1 THEN live ELSE price END AS px
+             FROM (SELECT r.sym, range_id, r.price, q.prev_close, q.price AS live,
+                     row_number() OVER (PARTITION BY pk, range_id ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY pk, range_id) AS n
+                   FROM ranged r JOIN quotes q ON q.ord = r.pk))
+           WHERE range_id = '1D' OR i >= n - 20 GROUP BY 1, 2""",
+        "ranged",
         "quotes",
     ),
 )
 def _trailing20(spark, sf_dir):
-    return ops.trailing_range(market.prices(spark, sf_dir), quote_rows(spark, sf_dir))
+    """High and low of the last twenty points of each range, of all points for the day."""
+    return ops.trailing_range(ops.in_ranges(market.prices(spark, sf_dir)), quote_rows(spark, sf_dir))
 
 
 @query(

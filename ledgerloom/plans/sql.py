@@ -32,7 +32,7 @@ def fixed(x: str, d: int) -> str:
     p = 2 ** (d + 1)
     nudge = 10.0 ** -(d + 1)
     return (
-        f"CASE WHEN abs({x})*{p} = floor(abs({x})*{p}) AND CAST(floor(abs({x})*{p}) AS HUGEINT) % 2 = 1 "
+        f"CASE WHEN {x} = 0 THEN printf('%.{d}f', 0.0::DOUBLE) WHEN abs({x})*{p} = floor(abs({x})*{p}) AND CAST(floor(abs({x})*{p}) AS HUGEINT) % 2 = 1 "
         f"THEN printf('%.{d}f', ({x}) + sign({x})*{nudge:.{d + 1}f}::DOUBLE) ELSE printf('%.{d}f', {x}) END"
     )
 
@@ -75,10 +75,10 @@ cte(
 cte(
     "quotes",
     """SELECT *, price - prev_close AS chg, (price - prev_close) / prev_close * 100 AS chg_pct FROM (
-         SELECT i.*, coalesce(prior_px, last_px) AS prev_close,
-           coalesce(prior_px, last_px) * (1 + (last_px / coalesce(prior_px, last_px) - 1)
-             + greatest(-0.06::DOUBLE, least(0.06::DOUBLE, drift))) AS price
-         FROM instruments i JOIN last_two t ON t.pk = i.ord)""",
+         SELECT i.*, coalesce(prior_px, last_px, base) AS prev_close,
+           coalesce(prior_px, last_px, base) * (1 + coalesce(last_px / coalesce(prior_px, last_px) - 1, 0)
+             + CASE WHEN drift IS NULL THEN 0 ELSE greatest(-0.06::DOUBLE, least(0.06::DOUBLE, drift)) END) AS price
+         FROM instruments i LEFT JOIN last_two t ON t.pk = i.ord)""",
     "instruments",
     "last_two",
 )
@@ -97,10 +97,7 @@ cte(
 )
 cte(
     "watch",
-    """SELECT account, pk, 'P' || pk AS sym, rn - 1 AS ord FROM (
-         SELECT account, pk, row_number() OVER (PARTITION BY account ORDER BY pk) AS rn
-         FROM (SELECT DISTINCT o_custkey AS account, l_partkey AS pk FROM lineitem JOIN orders ON l_orderkey = o_orderkey))
-       WHERE rn <= 10""",
+    """SELECT DISTINCT o_custkey AS account, l_partkey AS pk, 'P' || l_partkey AS sym FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 cte(
     "positions",
@@ -122,8 +119,8 @@ cte(
 cte(
     "perf",
     """SELECT q.sym, f.range_id, f.range_ord, q.price - f.base_px AS chg, (q.price - f.base_px) / f.base_px * 100 AS chg_pct FROM (
-         SELECT g.*, CASE WHEN range_id = '1D' THEN qq.prev_close ELSE first_px END AS base_px FROM (
-           SELECT pk, range_id, range_ord, arg_min(price, dt) AS first_px FROM ranged GROUP BY 1, 2, 3) g
+         SELECT g.*, CASE WHEN range_id = '1D' THEN qq.prev_close WHEN points = 1 THEN qq.price ELSE first_px END AS base_px FROM (
+           SELECT pk, range_id, range_ord, arg_min(price, dt) AS first_px, count(*) AS points FROM ranged GROUP BY 1, 2, 3) g
          JOIN quotes qq ON qq.ord = g.pk) f
        JOIN quotes q ON q.ord = f.pk""",
     "ranged",

@@ -200,17 +200,28 @@ def _llm_signals(spark, sf_dir):
 @query(
     "verdict_default",
     sql(
-        """SELECT conv_id, turn, signal, CASE WHEN signal IN ('BUY', 'SELL', 'HOLD') THEN signal ELSE 'HOLD' END AS shown,
-             ['Buy now', 'Wait', 'Don''t buy', 'Wait'][turn % 4 + 1] AS verdict FROM replies""",
+        """SELECT conv_id, turn, s.sym AS sym, signal, CASE WHEN signal IN ('BUY', 'SELL', 'HOLD') THEN signal ELSE 'HOLD' END AS shown
+           FROM (SELECT *, unnest([{'sym': 'P' || conv_id}, {'sym': 'Q' || conv_id}]) AS s FROM replies)""",
         "replies",
     ),
 )
 def _verdict_default(spark, sf_dir):
-    rows = text.parse_signals(corpus.model_replies(spark, sf_dir)).where(F.col("sym").startswith("P"))
-    code = F.element_at(F.array(*[F.lit(v) for v in ("BUY_NOW", "WAIT", "AVOID", "SELL_ALL")]), (F.col("turn") % 4 + 1).cast("int"))
-    return rows.select(
-        "conv_id", "turn", "signal", text.shown_signal(F.col("signal")).alias("shown"), text.verdict_label(code).alias("verdict")
-    )
+    """How every signal of the stored replies is shown."""
+    rows = text.parse_signals(corpus.model_replies(spark, sf_dir))
+    return rows.select("conv_id", "turn", "sym", "signal", text.shown_signal(F.col("signal")).alias("shown"))
+
+
+@query(
+    "verdict_card",
+    """SELECT conv_id, turn, status, CASE WHEN status = 'done' THEN ['Buy now', 'Wait', 'Don''t buy', 'Wait'][turn % 4 + 1] END AS label,
+         CASE WHEN status = 'done' THEN n % 5 + 1 END AS confidence, CASE WHEN status = 'done' THEN 'Call ' || conv_id END AS headline,
+         CASE WHEN status = 'done' THEN text END AS reasoning, CASE WHEN status = 'done' AND n % 3 <> 0 THEN 'turn ' || turn END AS watch_for
+       FROM (SELECT *, conv_id * 8 + turn AS n, CASE WHEN (conv_id * 8 + turn) % 7 = 0 THEN 'error' ELSE 'done' END AS status
+             FROM conversations WHERE role = 'assistant')""",
+)
+def _verdict_card(spark, sf_dir):
+    """Verdict cards parsed from stored replies; those that do not parse are errors."""
+    return text.parse_verdicts(corpus.verdict_replies(spark, sf_dir))
 
 
 @query(
@@ -238,10 +249,9 @@ def _json_num(x: str) -> str:
 @query(
     "snapshot_json",
     sql(
-        f"""SELECT account, '[' || string_agg('{{"symbol":"' || q.sym || '","name":"' || name || '","sector":"' || sector || '","price":' || {_json_num('price')}
+        f"""SELECT account, w.pk AS ord, '{{"symbol":"' || q.sym || '","name":"' || name || '","sector":"' || sector || '","price":' || {_json_num('price')}
               || ',"dayChangePct":' || {_json_num('chg_pct')} || ',"marketCap":"' || CASE WHEN mcap_num >= 1e12 THEN {fixed('mcap_num / 1e12', 2)} || 'T'
-              WHEN mcap_num >= 1e9 THEN {fixed('mcap_num / 1e9', 1)} || 'B' ELSE {fixed('mcap_num / 1e6', 0)} || 'M' END || '","peRatio":"' || pe || '"}}', ','
-              ORDER BY w.ord) || ']' AS snapshot FROM watch w JOIN quotes q ON q.ord = w.pk GROUP BY 1""",
+              WHEN mcap_num >= 1e9 THEN {fixed('mcap_num / 1e9', 1)} || 'B' ELSE {fixed('mcap_num / 1e6', 0)} || 'M' END || '","peRatio":"' || pe || '"}}' AS item FROM watch w JOIN quotes q ON q.ord = w.pk""",
         "watch",
         "quotes",
     ),

@@ -23,7 +23,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_fact(spark: SparkSession, sf_dir: str, with_customer: bool = False) -> DataFrame:
-    """One row per order; amounts are whole ten-thousandths, so discounts stay exact.
+    """One row per order; amounts are whole ten-thousandths, so discounts stay exact. An order without lines has zero amounts.
 
     Lines are combined per order before the join, and that exchange is the one the join uses.
     """
@@ -39,7 +39,7 @@ def orders_fact(spark: SparkSession, sf_dir: str, with_customer: bool = False) -
     )
     fact = (
         table(spark, sf_dir, "orders")
-        .join(lines, "o_orderkey")
+        .join(lines, "o_orderkey", "left")
         .select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("customer"),
@@ -47,9 +47,7 @@ def orders_fact(spark: SparkSession, sf_dir: str, with_customer: bool = False) -
             F.date_format("o_orderdate", "yyyy-MM").alias("month"),
             F.col("o_orderpriority").alias("source"),
             F.col("o_orderstatus").alias("medium"),
-            "subtotal",
-            "discount",
-            "refund",
+            *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("subtotal", "discount", "refund")],
         )
     )
     if not with_customer:

@@ -142,3 +142,27 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("payload", payload)
         .select("conv_id", "turn", F.to_json(F.struct(content.alias("content"))).alias("response"))
     )
+
+
+def verdict_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored verdict responses as fenced JSON text: some cut short, some with an unknown verdict or a missing field."""
+    n = F.col("conv_id") * 8 + F.col("turn")
+    codes = F.array(*[F.lit(v) for v in ("BUY_NOW", "WAIT", "AVOID", "SELL_ALL")])
+    payload = F.to_json(
+        F.struct(
+            F.element_at(codes, (F.col("turn") % 4 + 1).cast("int")).alias("verdict"),
+            (n % 5 + 1).alias("confidence"),
+            F.concat(F.lit("Call "), F.col("conv_id").cast("string")).alias("headline"),
+            F.col("text").alias("reasoning"),
+            F.when(n % 3 != 0, F.concat(F.lit("turn "), F.col("turn").cast("string"))).alias("watchFor"),
+        )
+    )
+    sent = F.when(n % 7 == 0, F.expr("substring(payload, 1, length(payload) - 1)")).otherwise(F.col("payload"))
+    block = lambda text: F.struct(F.lit("text").alias("type"), text.alias("text"))
+    content = F.array(block(F.lit("```json")), block(sent), block(F.lit("```")))
+    return (
+        table(spark, sf_dir, "conversations")
+        .where("role = 'assistant'")
+        .withColumn("payload", payload)
+        .select("conv_id", "turn", F.to_json(F.struct(content.alias("content"))).alias("response"))
+    )

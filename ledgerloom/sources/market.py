@@ -57,49 +57,61 @@ def price_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per part: identity, sector, base price, market cap and P/E text."""
-    volume = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_partkey").alias("p_partkey"))
-        .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("volume"))
-    )
-    return (
-        table(spark, sf_dir, "part")
-        .join(volume, "p_partkey", "left")
-        .select(
-            F.col("p_partkey").alias("ord"),
-            symbol(F.col("p_partkey")).alias("sym"),
-            F.col("p_name").alias("name"),
-            F.col("p_type").alias("sector"),
-            F.col("p_retailprice").alias("base"),
-            (F.col("p_retailprice") * F.col("volume")).alias("mcap_num"),
-            F.when(F.col("p_size") % 7 == 0, F.lit("—")).otherwise(F.col("p_size").cast("string")).alias("pe"),
-            (F.col("p_brand") == "Brand#1").alias("curated"),
-        )
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per part: identity, sector, base price and P/E text."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ord"),
+        symbol(F.col("p_partkey")).alias("sym"),
+        F.col("p_name").alias("name"),
+        F.col("p_type").alias("sector"),
+        F.col("p_retailprice").alias("base"),
+        F.when(F.col("p_size") % 7 == 0, F.lit("—")).otherwise(F.col("p_size").cast("string")).alias("pe"),
+        (F.col("p_brand") == "Brand#1").alias("curated"),
     )
 
 
 def last_two(px: DataFrame) -> DataFrame:
-    """Latest and previous price per part; the row_number filter trims each task to two rows before the shuffle."""
-    recent = px.withColumn("rn", F.row_number().over(Window.partitionBy("pk").orderBy(F.desc("dt")))).where("rn <= 2")
+    """Latest and previous price, last day and traded volume per part.
+
+    A part's daily rows, bounded by the calendar, are ordered and combined in one exchange on the part.
+    """
+    recent = px.withColumn("rn", F.row_number().over(Window.partitionBy("pk").orderBy(F.desc("dt"))))
     return recent.groupBy("pk").agg(
         F.max(F.when(F.col("rn") == 1, F.col("price"))).alias("last_px"),
         F.max(F.when(F.col("rn") == 1, F.col("drift"))).alias("drift"),
         F.max(F.when(F.col("rn") == 1, F.col("dt"))).alias("last_dt"),
         F.max(F.when(F.col("rn") == 2, F.col("price"))).alias("prior_px"),
+        F.sum("qty").alias("volume"),
     )
 
 
 def quote_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instruments with prev_close, day_move and a bounded live offset."""
+    """Parts with market cap, prev_close, day_move and a bounded live offset, from one scan of the trades.
+
+    A part without a trade stands at its base price, unmoved and without a market cap.
+    """
+    before = F.coalesce("prior_px", "last_px")
     two = last_two(prices(spark, sf_dir)).select(
         F.col("pk").alias("ord"),
-        F.coalesce("prior_px", "last_px").alias("prev_close"),
-        (F.col("last_px") / F.coalesce("prior_px", "last_px") - 1).alias("day_move"),
+        before.alias("prev_close"),
+        (F.col("last_px") / before - 1).alias("day_move"),
         clamp(F.col("drift"), -OFFSET_LIMIT, OFFSET_LIMIT).alias("offset"),
+        "volume",
+    )
+    rows = listing(spark, sf_dir).join(two, "ord", "left")
+    return rows.select(
+        "ord",
+        "sym",
+        "name",
+        "sector",
+        "base",
+        (F.col("base") * F.col("volume")).alias("mcap_num"),
+        "pe",
+        "curated",
+        F.coalesce("prev_close", "base").alias("prev_close"),
+        F.coalesce("day_move", F.lit(0.0)).alias("day_move"),
+        F.coalesce("offset", F.lit(0.0)).alias("offset"),
     )
-    return instruments(spark, sf_dir).join(two, "ord")
 
 
 def account_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,15 +137,14 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-WATCH_SIZE = 10
-
-
 def watch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each account's watchlist: its ten lowest part keys, in order (a bounded list by definition)."""
+    """Each account's watchlist: the parts of its orders, in the order of their keys."""
     pairs = account_lines(spark, sf_dir).select("account", F.col("l_partkey").alias("pk")).distinct()
-    place = F.row_number().over(Window.partitionBy("account").orderBy("pk"))
-    return (
-        pairs.withColumn("rn", place)
-        .where(F.col("rn") <= WATCH_SIZE)
-        .select("account", "pk", symbol(F.col("pk")).alias("sym"), (F.col("rn") - 1).alias("ord"))
-    )
+    return pairs.select("account", "pk", symbol(F.col("pk")).alias("sym"))
+
+
+def watch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols added to watchlists, one row per edit of the event log: (user_id, ord, sym), apart from any order."""
+    ev = table(spark, sf_dir, "events").where("event_type = 'click'")
+    part = F.get_json_object("props", "$.k").cast("bigint") + F.col("user_id") * 100
+    return ev.select("user_id", F.col("event_id").alias("ord"), symbol(part).alias("sym"))

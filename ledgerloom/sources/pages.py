@@ -37,10 +37,11 @@ PRODUCT_PAGE_SCHEMA = page_schema("products", PRODUCT_NODE)
 
 def flatten_orders(pages: DataFrame, since: str | None = None) -> DataFrame:
     """One row per order of the landed pages; pages landed twice do not repeat orders."""
-    n = pages.select(F.explode("data.orders.nodes").alias("n"))
+    n = pages.select(landing(pages), F.explode("data.orders.nodes").alias("n"))
     amount = lambda c: F.col(f"n.{c}.shopMoney.amount").cast("decimal(18,2)")
     visit = "n.customerJourneySummary.firstVisit"
     flat = n.select(
+        "landed",
         F.col("n.id").alias("order_id"),
         F.to_timestamp("n.createdAt").alias("created_at"),
         F.col("n.displayFinancialStatus").alias("status"),
@@ -55,27 +56,46 @@ def flatten_orders(pages: DataFrame, since: str | None = None) -> DataFrame:
         F.col(f"{visit}.utmParameters.medium").alias("utm_medium"),
         F.col(f"{visit}.utmParameters.campaign").alias("utm_campaign"),
     )
-    if since is not None:
-        flat = flat.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
-    return flat.dropDuplicates(["order_id"])
+    newest = newest_landing(flat, "order_id")
+    return newest if since is None else newest.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
 
 
 def flatten_products(pages: DataFrame) -> DataFrame:
-    n = pages.select(F.explode("data.products.nodes").alias("n"))
-    return n.select(
-        "n.id", "n.handle", "n.title", "n.status", F.col("n.totalInventory").cast("bigint").alias("total_inventory"),
+    n = pages.select(landing(pages), F.explode("data.products.nodes").alias("n"))
+    flat = n.select(
+        "landed", "n.id", "n.handle", "n.title", "n.status", F.col("n.totalInventory").cast("bigint").alias("total_inventory"),
         F.to_timestamp("n.updatedAt").alias("updated_at"), F.col("n.seo.title").alias("seo_title"),
         F.col("n.seo.description").alias("seo_description"),
-    ).dropDuplicates(["id"])
+    )
+    return newest_landing(flat, "id")
+
+
+def landing(pages: DataFrame) -> Column:
+    """Order in which pages landed; pages without one are equal, and then the content settles which copy counts."""
+    return F.col("landed").cast("string").alias("landed") if "landed" in pages.columns else F.lit("").alias("landed")
+
+
+def newest_landing(flat: DataFrame, key: str) -> DataFrame:
+    """The copy of each row that landed last, the same on every run (max_by combines map-side)."""
+    rest = [c for c in flat.columns if c not in ("landed", key)]
+    row = F.struct(*rest)
+    newest = flat.groupBy(key).agg(F.max_by(row, F.struct("landed", row.alias("row"))).alias("n"))
+    return newest.select(key, *[F.col(f"n.{c}").alias(c) for c in rest])
+
+
+def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Page documents of a folder of files, with the time and the name of each one's file."""
+    landed = F.concat_ws(" ", F.col("_metadata.file_modification_time").cast("string"), F.col("_metadata.file_path"))
+    return spark.read.schema(schema).json(path).withColumn("landed", landed)
 
 
 def read_order_pages(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """Orders of a folder of landed page files."""
-    return flatten_orders(spark.read.schema(ORDER_PAGE_SCHEMA).json(path), since)
+    return flatten_orders(read_pages(spark, path, ORDER_PAGE_SCHEMA), since)
 
 
 def read_product_pages(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_products(spark.read.schema(PRODUCT_PAGE_SCHEMA).json(path))
+    return flatten_products(read_pages(spark, path, PRODUCT_PAGE_SCHEMA))
 
 
 def page_gaps(pages: DataFrame, field: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ordering import global_index
 from ledgerloom.operators.scoring import CANDIDATE_SCHEMA, FACTORS, KNOCKOUTS
 from ledgerloom.sources.tables import table
 
@@ -13,9 +14,14 @@ BATCH = 50
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Candidates of JSON documents that hold them under one key, with their input order."""
-    docs = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).json(path)
-    return docs.select(F.posexplode("candidates").alias("ord", "c")).select("ord", "c.*")
+    """Candidates of JSON documents that hold them under one key, with their input order: by file name, then place.
+
+    A file is one document (multi-line), so a candidate's place in it is bounded and leaves room below the file's number.
+    """
+    docs = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    numbered = global_index(docs.select("file").distinct(), ["file"], "no")
+    placed = docs.select("file", F.posexplode("candidates").alias("pos", "c"))
+    return placed.join(numbered, "file").select((F.shiftleft("no", 32) + F.col("pos")).alias("ord"), "c.*")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +52,13 @@ def candidate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same candidates packed into JSON documents of at most BATCH each (keys are unique, so batches are bounded)."""
     rows = candidates(spark, sf_dir)
     batches = rows.groupBy(F.floor(F.col("ord") / BATCH).alias("batch")).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "id", "name", F.to_json("scores").alias("s"), F.to_json("knockouts").alias("k")))).alias("c")
-    )
-    item = lambda c: F.concat(
-        F.lit('{"id":"'), c["id"], F.lit('","name":"'), c["name"], F.lit('","scores":'), c["s"], F.lit(',"knockouts":'), c["k"], F.lit("}")
+        F.array_sort(F.collect_list(F.struct("ord", "id", "name", F.map_entries("scores").alias("s"), F.map_entries("knockouts").alias("k")))).alias("c")
     )
-    return batches.select(
-        "batch", F.concat(F.lit('{"candidates":['), F.array_join(F.transform("c", item), ","), F.lit("]}")).alias("doc")
+    item = lambda c: F.struct(
+        c["id"].alias("id"), c["name"].alias("name"), F.map_from_entries(c["s"]).alias("scores"), F.map_from_entries(c["k"]).alias("knockouts")
     )
+    document = F.struct(F.transform("c", item).alias("candidates"))
+    return batches.select("batch", F.to_json(document, {"ignoreNullFields": "false"}).alias("doc"))
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
@@ -68,7 +73,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources behind candidate factors: one per order line, graded by how the line ended."""
     names = F.array(*[F.lit(f) for f in FACTORS])
     grade = F.when(F.col("l_returnflag") == "N", "H").when(F.col("l_returnflag") == "R", "M").otherwise("L")
-    return table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 1).select(
+    return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("C-"), F.col("l_suppkey").cast("string")).alias("id"),
         F.element_at(names, (F.col("l_partkey") % len(FACTORS) + 1).cast("int")).alias("factor"),
         grade.alias("reliability"),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.redaction import redact_rows
 from ledgerloom.operators import scoring
+from ledgerloom.operators.ordering import range_sorted
 
+# The head of the ranking report.
 REPORT_HEAD = (
     "| Rank | ID | Candidate | Score | Confidence | Verdict | Unknowns | Knockouts |",
     "|---|---|---|---|---|---|---|---|",
@@ -15,11 +17,12 @@ REPORT_HEAD = (
 
 
 def write_ranking(ranked: DataFrame, path: str) -> None:
-    """Ranked candidates as one Markdown table file (a report for people, so it is one file by design)."""
+    """Ranked candidates as a Markdown table in part files whose names are in rank order; read one after another they are
+    the report. The head is on top of the first."""
     spark = ranked.sparkSession
     head = spark.createDataFrame(list(enumerate(REPORT_HEAD, start=-1)), "rank long, line string")
     body = ranked.select(F.col("rank").cast("long").alias("rank"), scoring.report_line().alias("line"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("rank").select("line").write.mode("overwrite").text(path)
+    range_sorted(head.unionByName(body), "rank").select("line").write.mode("overwrite").text(path)
 
 
 def write_log(rows: DataFrame, path: str) -> None:

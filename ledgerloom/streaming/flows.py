@@ -14,20 +14,20 @@ from ledgerloom.streaming.state import claim_stream
 REFUND_LAG = "14 days"
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", files: int = 1) -> DataFrame:
-    """Event files as they land, with a zoned timestamp (watermarks reject zone-less ones)."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    rows = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files)
-        .parquet(folder)
-    )
+def event_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Event files as they land at ``path`` (a folder or one file), with a zoned timestamp (watermarks reject zone-less ones).
+
+    All files that have landed since the last run are one micro-batch, whatever order their times are in: the watermark
+    only moves between batches, so a backlog loses no row. ``files`` bounds a batch where files are known to be in order.
+    """
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    # as a pattern that only this path matches, because a stream takes a plain path for a folder
+    rows = (stream if files is None else stream.option("maxFilesPerTrigger", files)).parquet(f"{path[:-1]}[{path[-1]}]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def daily_metrics(events: DataFrame) -> DataFrame:
-    """Daily aggregates only; rows later than the refund lag are dropped and show up in the query's progress."""
+    """Daily aggregates only; rows later than the refund lag are dropped, and :func:`run_to_table` stores their number."""
     kind = F.col("event_type")
     bought = kind == "purchase"
     return (
@@ -91,7 +91,10 @@ def live_quotes(offsets: DataFrame, quote_inputs: DataFrame) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> None:
-    """Drain what has landed into a parquet table, one batch folder per micro-batch, so a replay overwrites itself."""
+    """Drain what has landed into a parquet table, one batch folder per micro-batch, so a replay overwrites itself.
+
+    Beside the rows, ``dropped`` has a row for each batch of the run with the number of rows its watermark cut.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
@@ -104,6 +107,15 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> None:
         .start()
     )
     query.awaitTermination()
+    if query.recentProgress:
+        late = [(int(p["batchId"]), sum(int(s["numRowsDroppedByWatermark"]) for s in p["stateOperators"])) for p in query.recentProgress]
+        counts = stream.sparkSession.createDataFrame(late, "batch long, dropped long").groupBy("batch").agg(F.max("dropped").alias("dropped"))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{folder}/dropped/run={min(b for b, _ in late)}")
+
+
+def dropped_rows(spark: SparkSession, folder: str) -> int:
+    """Rows that the watermark has cut over all runs into the table."""
+    return spark.read.parquet(f"{folder}/dropped").groupBy("batch").agg(F.max("dropped").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def latest_per_key(spark: SparkSession, folder: str, keys: list[str], values: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerloom.operators.dedupe import TTL_US
@@ -29,26 +30,37 @@ def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 
 class TtlClaims(StatefulProcessor):
-    """Accepts an id once per time-to-live; the expiry is not refreshed by duplicates."""
+    """Accepts an id once per time-to-live; the expiry is not refreshed by duplicates.
+
+    A timer at the expiry drops the id once the watermark is past it, so only ids of the live window are kept.
+    """
 
     def __init__(self, ttl_us: int = TTL_US):
         self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.free = handle.getValueState("free", "us bigint")
+        self.handle, self.free = handle, handle.getValueState("free", "us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows, ["us", "row_id"])
         free = self.free.get()[0] if self.free.exists() else None
-        flags = []
+        flags, before = [], free
         for us in pdf["us"].tolist():
             take = free is None or us >= free
             if take:
                 free = us + self.ttl_us
             flags.append(take)
-        self.free.update((free,))
+        if free != before:
+            self.free.update((free,))
+            if before is not None:
+                self.handle.deleteTimer(-(-before // 1000))
+            self.handle.registerTimer(-(-free // 1000))  # milliseconds, at or after the expiry
         yield pdf[["id", "us", "row_id"]].assign(accepted=flags)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.free.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -74,14 +86,17 @@ class ClampedOffset(StatefulProcessor):
         pass
 
 
-def claim_stream(rows: DataFrame, ttl_us: int = TTL_US) -> DataFrame:
-    """Acceptance flag for each streamed (id, us, row_id)."""
+def claim_stream(rows: DataFrame, ttl_us: int = TTL_US, delay: str = "1 hour") -> DataFrame:
+    """Acceptance flag for each streamed (id, us, row_id). State lasts until the watermark, ``delay`` behind the newest time,
+    passes an id's expiry. Rows behind the watermark are cut and counted (see ``flows.dropped_rows``), so ``delay`` has to
+    cover how late a delivery can land."""
     use_rocksdb(rows.sparkSession)
-    return rows.select("id", "us", "row_id").groupBy("id").transformWithStateInPandas(
+    timed = rows.select("id", "us", "row_id", F.timestamp_micros("us").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("id").transformWithStateInPandas(
         statefulProcessor=TtlClaims(ttl_us),
         outputStructType="id string, us bigint, row_id bigint, accepted boolean",
         outputMode="append",
-        timeMode="none",
+        timeMode="eventTime",
     )
 
 

@@ -84,8 +84,8 @@ def test_watch_edits_match_loop_across_pieces(spark, seed, symbols):
     assert got == edit_loop(log)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_clamped_offsets_match_loop(spark, seed):
+@pytest.mark.parametrize("seed,size", [(0, 5), (1, 4096)])
+def test_clamped_offsets_match_loop(spark, seed, size):
     rng = random.Random(seed)
     steps = [("hot" if rng.random() < 0.7 else f"s{rng.randrange(5)}", n, rng.randrange(-40000, 40001)) for n in range(600)]
     want = {}
@@ -94,7 +94,7 @@ def test_clamped_offsets_match_loop(spark, seed):
         y = max(-LIMIT_MICRO, min(LIMIT_MICRO, x + step))
         want[sym] = (y, "up" if y > x else "down", n + 1)
     df = spark.createDataFrame(steps, "sym string, ord long, step long").repartition(5)
-    got = {r["sym"]: (r["offset_micro"], r["dir"], r["ticks"]) for r in clamped_offsets(df).collect()}
+    got = {r["sym"]: (r["offset_micro"], r["dir"], r["ticks"]) for r in clamped_offsets(df, size).collect()}
     assert got == want
 
 
@@ -155,7 +155,7 @@ def test_last_marked_matches_loop(spark):
     rng = random.Random(9)
     rows = [(n, rng.randrange(50_000) * 1_000_000, rng.randrange(3), rng.random() < 0.2) for n in range(500)]
     df = spark.createDataFrame(rows, "n long, us long, k long, m boolean")
-    got = {r["n"]: r["last_marked_us"] for r in last_marked_before(df, "k", "us", "n", F.col("m")).collect()}
+    got = {r["n"]: r["last_marked_us"] for r in last_marked_before(df, "k", "us", "n", F.col("m"), 7).collect()}
     for n, us, k, _ in rows:
         earlier = [u for i, u, kk, m in rows if kk == k and m and (u, i) <= (us, n)]
         assert got[n] == (max(earlier) if earlier else None)

@@ -74,3 +74,9 @@ def test_upsert_is_idempotent(spark):
     assert {tuple(r) for r in once.collect()} == {("a", 1, "keep"), ("b", None, "update"), ("c", 3, "insert")}
     twice = writes.upsert(once.drop("op"), n, "k", ["v"])
     assert {tuple(r)[:2] for r in twice.collect()} == {tuple(r)[:2] for r in once.collect()}
+
+
+def test_null_kind_is_unknown(spark):
+    requests = spark.createDataFrame([(None, 1.0)], "kind string, amount double")
+    limits = spark.createDataFrame([("MAX_DAILY_AD_SPEND", 5.0)], "kind string, limit double")
+    assert governance.limit_check(requests, limits).first()["status"] == "UNKNOWN_KIND"

@@ -83,3 +83,38 @@ def test_normal_cdf(one):
     for x in (0.1, 0.5, 1.0, 1.96, 3.0):
         exact = 0.5 * (1 + math.erf(x / math.sqrt(2)))
         assert one(normal_cdf(L(x))) == pytest.approx(exact, abs=8e-8)
+
+
+def test_a_missing_week_is_not_replaced(spark):
+    df = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-08", 3.0), ("2024-01-22", 7.0)], "week string, revenue double")
+    got = {r["week"]: (r["last_week"], r["delta"]) for r in metrics.week_over_week(df, "week", ["revenue"]).collect()}
+    assert got == {"2024-01-01": (None, None), "2024-01-08": (1.0, 2.0), "2024-01-22": (None, None)}
+
+
+def test_hourly_peak_for_a_gap_that_does_not_divide_an_hour(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators.sessions import sessions
+
+    minutes = [50, 55, 58, 61, 65]
+    df = spark.createDataFrame([(i, m * 60, 1, "view", 1.0) for i, m in enumerate(minutes)], "event_id long, s long, user_id long, event_type string, value double")
+    rows = sessions(df.withColumn("ts", F.timestamp_seconds("s")), 25 * 60).collect()
+    assert [r["peak_hour_events"] for r in rows] == [3]
+
+
+def test_stop_loss(spark):
+    df = spark.createDataFrame([(100, 1000, 90, 1000), (100, 1000, 91, 1000), (0, 1000, 5, 1000), (10, 99, 1, 1000)], "conv_a long, n_a long, conv_b long, n_b long")
+    assert [r["stopped"] for r in metrics.stop_loss(df, -0.1).collect()] == [True, False, None, None]
+
+
+def test_newest_landing_counts(spark, tmp_path):
+    import os
+
+    from ledgerloom.sources import pages
+
+    page = '{"data":{"products":{"pageInfo":{"hasNextPage":false},"nodes":[{"id":"p1","handle":"h","title":"%s","status":"A","totalInventory":1}]}}}'
+    for n, (name, title) in enumerate([("z", "old"), ("a", "new")]):
+        path = tmp_path / f"{name}.json"
+        path.write_text(page % title)
+        os.utime(path, (1_700_000_000 + n * 100,) * 2)
+    assert [r["title"] for r in pages.read_product_pages(spark, str(tmp_path)).collect()] == ["new"]

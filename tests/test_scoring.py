@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import scoring
@@ -87,3 +89,22 @@ def test_document_to_report(spark, tmp_path):
     lines = [line for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
     assert lines[0].startswith("| Rank |") and lines[2] == "| 1 | C-1 | one | 78% | 94% | **SHORTLIST** | returnRisk | — |"
     assert lines[3] == "| 2 | C-2 | two | 60% | 100% | **HOLD** | — | — |"
+
+
+def test_candidates_of_many_files_keep_one_order(spark, tmp_path):
+    for n, ids in (("b", ["3", "4"]), ("a", ["1", "2"])):
+        doc = {"candidates": [{"id": f'C-"{i}', "name": 'say "hi"', "scores": all_of(3), "knockouts": {}} for i in ids]}
+        (tmp_path / f"{n}.json").write_text(json.dumps(doc))
+    rows = read_candidates(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r["id"] for r in rows] == [f'C-"{i}' for i in "1234"] and len({r["ord"] for r in rows}) == 4
+
+
+def test_strict_validation(spark):
+    from ledgerloom.sources.research import candidates
+
+    every = candidates(spark, "/root/testdata/sf0.001").withColumn("ord", F.col("ord"))
+    good, bad = scoring.split_valid(every)
+    assert scoring.require_valid(good).count() == good.count()
+    assert not bad.isEmpty()
+    with pytest.raises(Exception, match="candidate C-"):
+        scoring.require_valid(every).collect()

@@ -106,12 +106,48 @@ def land(spark, folder, rows):
 def test_daily_stream_drops_rows_past_the_lag(spark, tmp_path):
     day, folder = 86_400, str(tmp_path / "in")
     land(spark, folder, [(1, 0, 1, "view", 1.0), (2, 40 * day, 1, "purchase", 2.0)])
-    run = lambda: flows.run_to_table(flows.daily_metrics(flows.event_stream(spark, folder, "*.parquet")), str(tmp_path / "out"), "update")
+    run = lambda: flows.run_to_table(flows.daily_metrics(flows.event_stream(spark, folder)), str(tmp_path / "out"), "update")
     run()
     land(spark, folder, [(3, 10, 1, "view", 1.0), (4, 30 * day, 1, "purchase", 3.5)])
     run()
     days = flows.latest_per_key(spark, str(tmp_path / "out"), ["day"], ["events", "cents"])
     assert {tuple(r) for r in days.collect()} == {("1970-01-01", 1, 0), ("1970-02-10", 1, 200), ("1970-01-31", 1, 350)}
+    assert flows.dropped_rows(spark, str(tmp_path / "out")) == 1
+
+
+def daily(spark, source, out):
+    flows.run_to_table(flows.daily_metrics(flows.event_stream(spark, source)), out, "update")
+    days = flows.latest_per_key(spark, out, ["day"], ["events", "sessions", "orders", "cents"])
+    return {tuple(r) for r in days.collect()}
+
+
+def test_daily_stream_of_files_out_of_time_order(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    folder = str(tmp_path / "events.parquet")
+    for n in range(4):
+        events.where(F.col("user_id") % 4 == n).coalesce(1).write.mode("append").parquet(folder)
+    want = daily(spark, f"{SF}/events.parquet", str(tmp_path / "one"))
+    got = daily(spark, folder, str(tmp_path / "four"))
+    assert got == want and sum(r[1] for r in got) == events.count()
+    assert flows.dropped_rows(spark, str(tmp_path / "four")) == 0
+
+
+def test_claim_state_falls_back_to_the_live_window(spark, tmp_path):
+    """Ids that come once each are dropped when the watermark is past their expiry, and the flags stay those of the batch."""
+    hour, folder = 3_600_000_000, str(tmp_path / "in")
+    rows = spark.range(600).select((F.col("id") % 300).cast("string").alias("id"), ((F.col("id") + 9000) * hour).alias("us"), F.col("id").alias("row_id"))
+    split_files(rows, folder, parts=6)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    def keep(batch, n):
+        batch.write.mode("append").parquet(str(tmp_path / "out"))
+
+    query = state.claim_stream(stream, 20 * hour).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    sizes = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress]
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("row_id", "accepted").collect()}
+    assert got == {tuple(r) for r in ttl_dedupe(rows, 20 * hour).collect()}
+    assert sizes[-1] < 300 and max(sizes) < 1200, sizes
 
 
 def test_session_stream_matches_batch(spark, tmp_path):
@@ -119,7 +155,7 @@ def test_session_stream_matches_batch(spark, tmp_path):
     rows = [(1, 0, 1, "view", 1.0), (2, 1000, 1, "view", 1.0), (3, 2800, 1, "view", 1.0), (4, 9000, 1, "view", 1.0), (5, 100, 2, "view", 1.0)]
     land(spark, folder, rows)
     land(spark, folder, [(6, 900_000, 9, "view", 1.0)])  # moves the watermark past every session
-    flows.run_to_table(flows.session_stream(flows.event_stream(spark, folder, "*.parquet")), str(tmp_path / "out"))
+    flows.run_to_table(flows.session_stream(flows.event_stream(spark, folder)), str(tmp_path / "out"))
     got = {(r["user_id"], r["events"]) for r in spark.read.parquet(str(tmp_path / "out/rows")).collect()}
     df = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("s"))
     assert got == {(r["user_id"], r["events"]) for r in sessions.sessions(df).collect()} == {(1, 3), (1, 1), (2, 1)}

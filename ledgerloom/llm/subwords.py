@@ -28,7 +28,7 @@ BLANK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # fixed values of the model file's piece types
 UNIGRAM, BPE = 1, 2  # and of its model types
 UNKNOWN_PENALTY = 10.0
-MEMO, MEMO_LENGTH = 250_000, 48  # segments a worker remembers, and the longest of them
+MEMO, MEMO_LENGTH = 400_000, 48  # segments a worker remembers, and the longest of them
 PAIRS = 500_000  # pairs of pieces a worker remembers
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -97,27 +97,34 @@ class Pieces:
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids):
             raise ValueError("pieces that reach across a blank are not supported")
         self.cut = self._segments()
-        self.trie: dict = {}
+        self.trie: dict[str, list] = {}  # by character: the piece that ends there (-1: none) and the characters after it
         for piece, at in self.ids.items():
-            node = self.trie
+            below = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[0] = at  # the piece that ends here; characters are the other keys
+                node = below.setdefault(c, [-1, {}])
+                below = node[1]
+            node[0] = at
 
     def _segments(self) -> re.Pattern:
         """Segments of a marked text: no piece reaches from one into the next.
 
         Characters that no piece has are alone. Others end before a blank, and where a mark follows a letter (anything but
-        an ASCII mark) unless some piece has that mark after a letter.
+        an ASCII mark) unless some piece has that mark after that letter.
         """
         used = {c for p in self.ids for c in p}
         marks = {chr(c) for c in range(33, 127) if not chr(c).isalnum()} & used
-        after = {y for p in self.ids for x, y in zip(p, p[1:], strict=False) if y in marks and x not in marks and x != BLANK}
+        after: dict[str, set[str]] = {}
+        for p in self.ids:
+            for x, y in zip(p, p[1:], strict=False):
+                if y in marks and x not in marks and x != BLANK:
+                    after.setdefault(y, set()).add(x)
         alone = {chr(c) for c in range(128) if c != 32} - used
-        one, mark, inner = ("".join(map(re.escape, sorted(x))) for x in (alone, marks, after))
+        group = lambda chars: "".join(map(re.escape, sorted(chars)))
+        one, mark = group(alone), group(marks)
         letter = f"[^{BLANK}{one}{mark}]"
         start = f"(?:[{mark}]+{letter}*|{letter}+)" if mark else f"{letter}+"
-        more = f"(?:[{inner}][{mark}]*{letter}*)*" if inner else ""
+        joined = "|".join(f"(?<=[{group(x)}]){re.escape(y)}" for y, x in sorted(after.items()))
+        more = f"(?:(?:{joined})[{mark}]*{letter}*)*" if joined else ""
         return re.compile("|".join([f"{BLANK}*{start}{more}", f"{BLANK}+"] + [f"[{one}]"] * bool(one)))
 
     def fallback(self, char: str) -> list[int]:
@@ -127,18 +134,23 @@ class Pieces:
 
 
 class Memo(dict):
-    """Little-endian ids of segments."""
+    """Little-endian ids of segments, in two generations: when the young one is full it becomes the old one, whose entries
+    come back when they are met again. So common segments stay, and memory is bounded."""
 
     def __init__(self, coder: Coder):
         super().__init__()
-        self.coder = coder
+        self.coder, self.old = coder, {}
 
     def __missing__(self, segment: str) -> bytes:
-        ids = b"".join(self.coder.stream(segment))
-        if len(segment) <= MEMO_LENGTH:
-            if len(self) >= MEMO:
-                self.clear()
-            self[segment] = ids
+        ids = self.old.get(segment)
+        if ids is None:
+            ids = b"".join(self.coder.stream(segment))
+            if len(segment) > MEMO_LENGTH:
+                return ids
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[segment] = ids
         return ids
 
 
@@ -182,20 +194,25 @@ class Coder:
         """
         trie, pairs, scores, bpe = self.pieces.trie, self.pairs, self.pieces.scores, self.pieces.kind == BPE
         longest, size, base = self.pieces.longest, len(segment), 0
+        ring = longest + 1
         held: list[tuple[int, int]] = [(0, -1)]
         best: list[float] = [0.0]
-        open_: list[list[tuple[int, int]]] = [[] for _ in range(longest + 1)]  # a ring by place
+        open_: list[list[tuple[int, int]]] = [[] for _ in range(ring)]  # by place, in turn
         for at in range(size):
-            node = trie
-            for end in range(at, min(size, at + longest)):
-                node = node.get(segment[end])
+            below, end = trie, at
+            for c in segment[at : at + longest]:
+                node = below.get(c)
                 if node is None:
                     break
-                if 0 in node:
-                    open_[(end + 1) % (longest + 1)].append((at, node[0]))
-            here = open_[(at + 1) % (longest + 1)]
+                end += 1
+                piece, below = node
+                if piece >= 0:
+                    open_[end % ring].append((at, piece))
+            here = open_[(at + 1) % ring]
             choice, value = (at, -1), best[-1] + self.lowest
             if bpe:
+                # one of a place's pieces is right, so the single character needs no look when the others are wrong
+                sure = here.pop() if here and here[-1][0] == at else None
                 for start, piece in here:
                     key = held[start - base][1] << 32 | piece
                     fits = pairs.get(key)
@@ -204,6 +221,8 @@ class Coder:
                     if fits:
                         choice = (start, piece)
                         break
+                else:
+                    choice = sure or choice
             else:
                 for start, piece in here:
                     total = best[start - base] + scores[piece]

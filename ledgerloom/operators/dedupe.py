@@ -24,10 +24,11 @@ CHUNK = 1 << 16
 _ROW_BITS = 33  # monotonically_increasing_id keeps the in-partition row number in its low 33 bits
 
 
-def _successors(placed: DataFrame, ttl_us: int) -> DataFrame:
-    """(pos, row_id, nxt) of rows (id, us, pos, row_id): nxt is the id's first row at or after us + ttl, or null."""
+def successors(placed: DataFrame) -> DataFrame:
+    """(pos, row_id, nxt) of rows (id, us, due, pos, row_id): nxt is the id's first row whose time is ``due`` or later, or
+    null (also for a null ``due``). ``pos`` numbers the rows by (id, us)."""
     rows = placed.select("id", F.col("us").alias("at"), F.lit(1).alias("kind"), "pos", "row_id")
-    expiries = placed.select("id", (F.col("us") + ttl_us).alias("at"), F.lit(0).alias("kind"), "pos", "row_id")
+    expiries = placed.select("id", F.coalesce("due", F.lit((1 << 63) - 1)).alias("at"), F.lit(0).alias("kind"), "pos", "row_id")
     line = range_sorted(rows.unionByName(expiries), "id", "at", "kind", "pos").withColumn("_at", F.monotonically_increasing_id())
     line = durable(line, "ttl-line").withColumn("piece", F.shiftright("_at", _ROW_BITS))
     row = F.when(F.col("kind") == 1, F.struct("id", "pos"))
@@ -66,14 +67,10 @@ def _marks(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row_id": chunk["row_id"], "accepted": chunk["pos"].isin(marked)})
 
 
-def ttl_dedupe(rows: DataFrame, ttl_us: int = TTL_US, chunk_rows: int = CHUNK) -> DataFrame:
-    """Acceptance flag per row of (id, us, row_id), row_id being unique. Rows without a time are not accepted; a null id is an
-    id like any other. Running it writes its steps as tables, so it acts when it is called."""
-    rows = rows.select(F.col("id").cast("string").alias("id"), "us", "row_id")
-    timed = rows.where(F.col("us").isNotNull())
-    placed = durable(global_index(timed, ["id", "us", "row_id"], "pos"), "ttl-placed")
+def on_chains(placed: DataFrame, chunk_rows: int = CHUNK) -> DataFrame:
+    """(row_id, accepted) of rows (id, us, due, pos, row_id): accepted are an id's first row and the successors from it on."""
     chunk = F.floor(F.col("pos") / chunk_rows)
-    chain = durable(_successors(placed, ttl_us).withColumns({"chunk": chunk, "nxt": F.coalesce("nxt", F.lit(-1))}), "ttl-chain")
+    chain = durable(successors(placed).withColumns({"chunk": chunk, "nxt": F.coalesce("nxt", F.lit(-1))}), "ttl-chain")
     heads = placed.groupBy("id").agg(F.min("pos").alias("pos")).select("pos")
     # with one chunk no chain leaves it; the same steps then run over empty tables
     jumps = durable(chain.groupBy("chunk").applyInPandas(_exits(chunk_rows), "pos bigint, exit bigint").where("exit IS NOT NULL"), "ttl-exits")
@@ -86,6 +83,14 @@ def ttl_dedupe(rows: DataFrame, ttl_us: int = TTL_US, chunk_rows: int = CHUNK) -
         twice = jumps.join(jumps.select(F.col("pos").alias("exit"), F.col("exit").alias("beyond")), "exit")
         jumps = durable(twice.select("pos", F.col("beyond").alias("exit")), "ttl-exits")
     started = chain.join(entries.withColumn("entry", F.lit(True)), "pos", "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
-    flags = started.groupBy("chunk").applyInPandas(_marks, rows.select("row_id").schema.add("accepted", "boolean"))
+    return started.groupBy("chunk").applyInPandas(_marks, placed.select("row_id").schema.add("accepted", "boolean"))
+
+
+def ttl_dedupe(rows: DataFrame, ttl_us: int = TTL_US, chunk_rows: int = CHUNK) -> DataFrame:
+    """Acceptance flag per row of (id, us, row_id), row_id being unique. Rows without a time are not accepted; a null id is an
+    id like any other. Running it writes its steps as tables, so it acts when it is called."""
+    rows = rows.select(F.col("id").cast("string").alias("id"), "us", "row_id")
+    timed = rows.where(F.col("us").isNotNull()).withColumn("due", F.col("us") + ttl_us)
+    placed = durable(global_index(timed, ["id", "us", "row_id"], "pos"), "ttl-placed")
     untimed = rows.where(F.col("us").isNull()).select("row_id", F.lit(False).alias("accepted"))
-    return flags.unionByName(untimed)
+    return on_chains(placed, chunk_rows).unionByName(untimed)

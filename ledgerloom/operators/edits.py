@@ -1,134 +1,55 @@
-"""Order-dependent folds over huge logs, split into contiguous pieces that tasks handle independently.
+"""Watchlists from a log of edits: adding twice is idempotent, and a list of one refuses removals.
 
-The log is range-partitioned on (key, order), so one busy key spans many tasks. Each task reduces its piece of a
-key to a small summary; the few summaries of a key are then applied in order.
+Without refusals a symbol would be on its list exactly when its last edit adds it. A refusal changes that in one way only: the
+last symbol's removal does not count, and the symbol is *stuck* on the list until it is added again or is removed while the list
+has another. A list never has two stuck symbols, because the next one can only get stuck when the list would be empty again.
+So a list is always the symbols that were last added and its stuck symbol, if any.
+
+The removals that would empty a list are known from a running count of each list's length. Those that find the list without a
+stuck symbol are a chain: from the first on, each one's successor is the first such removal after it has come unstuck. All of
+this is orders, joins and sums over pieces of the log; no list is ever held in one place.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ledgerloom.operators.ordering import range_sorted
-
-_OTHERS = None  # stands for entry members the piece never mentions
-
-
-def _edit(members: dict, adds: bool, sym: str, first_mention: bool) -> None:
-    """One edit on an insertion-ordered member map. Removing from a list of one is refused.
-
-    The value marks members that would still hold their entry place had they been there on entry.
-    """
-    if adds:
-        members.setdefault(sym, first_mention)
-    elif len(members) > 1:
-        members.pop(sym, None)
-
-
-class _Piece:
-    """Outcome of a piece of one key's log for every list it could start from.
-
-    Only three kinds of start differ: an empty list; a list with a member the piece never mentions (it shields
-    the others from refusal); otherwise the member the piece mentions last decides, since by then every other
-    entry member follows the log alone. Starts whose lists have become equal are carried as one.
-    """
-
-    def __init__(self, first: int, may_continue: bool):
-        self.first = first
-        self.touched: dict[str, int] = {}
-        self.groups: list[tuple[dict, list[str]]] = [({}, ["empty"])]
-        self.shielded = {_OTHERS: True} if may_continue else None
-
-    def edit(self, adds: bool, sym: str) -> None:
-        first_mention = sym not in self.touched
-        start = None
-        if first_mention:
-            self.touched[sym] = len(self.touched)
-            if self.shielded is not None:
-                start = {k: v for k, v in self.shielded.items() if k is not _OTHERS}
-                start = {**start, sym: True} if adds else {sym: True, **start}
-        for members, _ in self.groups:
-            _edit(members, adds, sym, first_mention)
-        if self.shielded is not None:
-            _edit(self.shielded, adds, sym, first_mention)
-        if start is not None:
-            _edit(start, adds, sym, first_mention)
-            self.groups.append((start, [f"last:{sym}"]))
-        if len(self.groups) > 1:
-            self._merge()
-
-    def _merge(self) -> None:
-        distinct: dict[tuple, tuple[dict, list[str]]] = {}
-        for members, starts in self.groups:
-            same = distinct.setdefault(tuple(members.items()), (members, []))
-            same[1].extend(starts)
-        self.groups = list(distinct.values())
-
-    def text(self) -> str:
-        lists = [[list(m.items()), starts] for m, starts in self.groups]
-        if self.shielded is not None:
-            lists.append([[[k, v] for k, v in self.shielded.items() if k is not _OTHERS], ["others"]])
-        return json.dumps({"touched": self.touched, "lists": lists})
-
-
-def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key, piece = None, None
-    done: list[tuple] = []
-    for pdf in batches:
-        for user, at, adds, sym in zip(pdf["user_id"], pdf["ord"], pdf["adds"], pdf["sym"]):
-            if user != key:
-                if piece is not None:
-                    done.append((key, piece.first, piece.text()))
-                # only the first key of a task can have earlier rows elsewhere
-                key, piece = user, _Piece(int(at), may_continue=key is None)
-            piece.edit(bool(adds), sym)
-        if len(done) > 5000:
-            yield pd.DataFrame(done, columns=["user_id", "first", "summary"])
-            done = []
-    if piece is not None:
-        done.append((key, piece.first, piece.text()))
-    yield pd.DataFrame(done, columns=["user_id", "first", "summary"])
-
-
-def _enter(entry: list[str], summary: dict) -> list[str]:
-    """List after a piece, given the list before it."""
-    touched = summary["touched"]
-    if not entry:
-        start = "empty"
-    elif any(s not in touched for s in entry):
-        start = "others"
-    else:
-        start = "last:" + max(entry, key=touched.get)
-    out = next(members for members, starts in summary["lists"] if start in starts)
-    stayed = {sym for sym, kept in out if kept}
-    front = [s for s in entry if s not in touched or s in stayed]
-    return front + [sym for sym, _ in out if sym not in front]
-
-
-def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Apply the summaries of each key in order; rows come sorted by (user_id, first)."""
-    key, members = None, []
-    out: list[tuple] = []
-    for pdf in batches:
-        for user, text in zip(pdf["user_id"], pdf["summary"]):
-            if user != key:
-                out += [(key, s, i) for i, s in enumerate(members)]
-                key, members = user, []
-            members = _enter(members, json.loads(text))
-        yield pd.DataFrame(out, columns=["user_id", "sym", "ord"])
-        out = []
-    yield pd.DataFrame([(key, s, i) for i, s in enumerate(members)], columns=["user_id", "sym", "ord"])
+from ledgerloom.operators.dedupe import on_chains
+from ledgerloom.operators.ordering import global_index, latest_before, rank_within, running_sum
+from ledgerloom.session import durable
 
 
 def apply_watch_edits(edits: DataFrame) -> DataFrame:
-    """Final watchlists from a log of (user_id, ord, adds, sym): adding twice is idempotent, a list never empties.
+    """Final watchlists from a log of (user_id, ord, adds, sym): user_id, sym, ord (place from 0), selected.
 
-    The per-key combine sees one summary per task the key spans, never the log itself.
+    The selected symbol is at first the first one added; when it is removed, the first remaining one follows. New symbols go to
+    the end, so it is always the one at the head of the list.
     """
-    rows = range_sorted(edits.select("user_id", "ord", "adds", "sym"), "user_id", "ord")
-    pieces = rows.mapInPandas(_summaries, "user_id bigint, first bigint, summary string")
-    chained = pieces.repartition("user_id").sortWithinPartitions("user_id", "first")
-    return chained.mapInPandas(_combine, "user_id bigint, sym string, ord bigint")
+    log = global_index(edits.select("user_id", "ord", "adds", "sym"), ["user_id", "ord"], "no")
+    was = latest_before(log, ["user_id", "sym"], ["no"], F.col("adds"), "was_added")
+    change = F.when(F.col("adds") & ~F.coalesce("was_added", F.lit(False)), 1).when(~F.col("adds") & F.coalesce("was_added", F.lit(False)), -1).otherwise(0)
+    counted = durable(running_sum(was.withColumn("change", change), ["user_id"], ["no"], "change", "left"), "edits-counted")
+
+    # a removal that would empty the list, and the edit that would free its symbol afterwards
+    frees = F.when(F.col("adds") | (F.col("left") > 0), F.struct("no", "adds"))
+    freed = latest_before(counted, ["user_id", "sym"], [F.desc("no")], frees, "freed")
+    emptying = freed.where("change = -1 AND left = 0").select(
+        F.col("user_id").alias("id"), F.col("no").alias("us"), F.col("freed.no").alias("due"), "sym", F.col("freed.adds").alias("again")
+    )
+    placed = durable(global_index(emptying, ["id", "us"], "pos").withColumn("row_id", F.col("us")), "edits-emptying")
+    stuck = durable(
+        placed.join(on_chains(placed.select("id", "us", "due", "pos", "row_id")).where("accepted"), "row_id").select(
+            F.col("id").alias("user_id"), "sym", F.col("due").alias("no"), "again"
+        ),
+        "edits-stuck",
+    )
+
+    # a symbol keeps its place when it is added while it is stuck
+    kept = stuck.where("again").select("no", F.lit(True).alias("kept"))
+    entered = counted.join(kept, "no", "left").withColumn("fresh", F.when((F.col("change") == 1) & F.col("kept").isNull(), F.col("no")))
+    last = entered.groupBy("user_id", "sym").agg(F.max_by("adds", "no").alias("listed"), F.max("fresh").alias("at"))
+    still = stuck.where("no IS NULL").select("user_id", "sym", F.lit(True).alias("still"))
+    members = last.join(still, ["user_id", "sym"], "left").where("listed OR still")
+    ranked = rank_within(members.select("user_id", "sym", "at"), ["user_id"], ["at"], "place")
+    return ranked.select("user_id", "sym", (F.col("place") - 1).alias("ord"), (F.col("place") == 1).alias("selected"))

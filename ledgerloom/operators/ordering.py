@@ -55,3 +55,45 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column | str], name:
     placed = global_index(df, [*keys, *order], "_g")
     firsts = placed.groupBy(*keys).agg(F.min("_g").alias("_first"))
     return placed.join(firsts, keys).withColumn(name, F.col("_g") - F.col("_first") + 1).drop("_g", "_first")
+
+
+PIECE_ROWS = 20_000
+
+
+def _pieced(df: DataFrame, keys: list[str], order: list[Column | str], rows: int) -> DataFrame:
+    """Rows numbered by (keys, order) with the piece, of a fixed number of rows, that each is in."""
+    return global_index(df, [*keys, *order], "_no").withColumn("_piece", F.floor(F.col("_no") / rows))
+
+
+def latest_before(df: DataFrame, keys: list[str], order: list[Column | str], value: Column, name: str, rows: int = PIECE_ROWS) -> DataFrame:
+    """The last non-null ``value`` among the earlier rows of a key, in an order that is total within it.
+
+    Looks inside fixed-size pieces first and then at one value per key and piece, so a key of any size is spread.
+    """
+    placed = _pieced(df.withColumn("_value", value), keys, order, rows)
+    here = Window.partitionBy("_piece", *keys).orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_no")))
+    ends = placed.groupBy(*keys, "_piece").agg(last.alias("_end"))
+    before = durable(ends.select(*keys, "_piece", F.last("_end", ignorenulls=True).over(earlier).alias("_before")), "latest")
+    return (
+        placed.withColumn("_within", F.last("_value", ignorenulls=True).over(here))
+        .join(before, [*keys, "_piece"])
+        .withColumn(name, F.coalesce("_within", "_before"))
+        .drop("_no", "_piece", "_value", "_within", "_before")
+    )
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[Column | str], value: str, name: str, rows: int = PIECE_ROWS) -> DataFrame:
+    """Sum of ``value`` over a key's rows up to and with each, in an order that is total within the key."""
+    placed = _pieced(df, keys, order, rows)
+    here = Window.partitionBy("_piece", *keys).orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*keys, "_piece").agg(F.sum(value).alias("_sum"))
+    before = durable(sums.select(*keys, "_piece", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")), "sums")
+    return (
+        placed.withColumn("_within", F.sum(value).over(here))
+        .join(before, [*keys, "_piece"])
+        .withColumn(name, F.col("_before") + F.col("_within"))
+        .drop("_no", "_piece", "_within", "_before")
+    )

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import cents
-from ledgerloom.operators.ordering import global_index
-from ledgerloom.session import durable
+from ledgerloom.operators.ordering import latest_before
 from ledgerloom.sources.commerce import micros
 
 GAP_SECONDS = 30 * 60
@@ -71,23 +70,8 @@ def us_day(us: Column) -> Column:
 def last_marked_before(df: DataFrame, key: str, us: str, tie: str, marked: Column, piece_rows: int = 20_000) -> DataFrame:
     """Time of the latest marked row at or before each row of its key.
 
-    Rows are numbered once by (key, time, tie) and looked through in pieces of ``piece_rows`` consecutive numbers; a row
-    without a mark of its key before it in its piece takes the latest of the earlier pieces. However busy a key or a
-    moment is, a piece has its fixed size.
+    Rows are looked through in pieces of a fixed number of rows, however busy a key or a moment is.
     """
-    placed = global_index(df.withColumn("_mark", F.when(marked, F.col(us))), [key, us, tie], "_no")
-    pieced = placed.withColumn("_piece", F.floor(F.col("_no") / piece_rows))
-    here = Window.partitionBy("_piece", key).orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    marks = durable(
-        pieced.groupBy(key, "_piece")
-        .agg(F.max("_mark").alias("_top"))
-        .select(key, "_piece", F.max("_top").over(earlier).alias("_before")),
-        "marks",
-    )
-    return (
-        pieced.withColumn("_within", F.max("_mark").over(here))
-        .join(marks, [key, "_piece"])
-        .withColumn("last_marked_us", F.coalesce("_within", "_before"))
-        .drop("_no", "_piece", "_mark", "_within", "_before")
-    )
+    mark = F.when(marked, F.col(us))
+    seen = latest_before(df, [key], [us, tie], mark, "_earlier", piece_rows)
+    return seen.withColumn("last_marked_us", F.coalesce(mark, "_earlier")).drop("_earlier")

@@ -70,7 +70,7 @@ def _unknown_keys(spark, sf_dir):
 
 @query(
     "watch_apply",
-    """SELECT user_id, sym, ord - 1 AS ord FROM (
+    """SELECT user_id, sym, ord - 1 AS ord, ord = 1 AS selected FROM (
          SELECT user_id, unnest(syms) AS sym, unnest(range(1, len(syms) + 1)) AS ord FROM (
            SELECT user_id, list_filter(string_split(list_reduce([','] || log, lambda a, x: CASE
                WHEN x[1] = 'a' THEN CASE WHEN contains(a, ',' || x[3:] || ',') THEN a ELSE a || x[3:] || ',' END

@@ -51,10 +51,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+_FOLDERS: list[str] = []  # scratch folders of this driver that have not been released
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
+    """A fresh folder below the shared checkpoint folder, until :func:`release`."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the durable steps this driver has written so far; their number. Call it when results that read them are stored."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _FOLDERS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def durable(df: DataFrame, name: str = "step") -> DataFrame:

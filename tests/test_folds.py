@@ -1,6 +1,5 @@
 """Order-dependent operators against plain loops, including keys that hold most of the rows."""
 
-import json
 import random
 
 import pytest
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.dedupe import ttl_dedupe
 from ledgerloom.operators.edits import apply_watch_edits
 from ledgerloom.operators.offsets import LIMIT_MICRO, clamped_offsets
-from ledgerloom.operators.ordering import global_rank, rank_within
+from ledgerloom.operators.ordering import global_rank, latest_before, rank_within, running_sum
 from ledgerloom.operators.sessions import last_marked_before, sessions
 
 
@@ -80,10 +79,38 @@ def test_watch_edits_match_loop_across_pieces(spark, seed, symbols):
     df = spark.createDataFrame(log, "user_id long, ord long, adds boolean, sym string")
     got = {}
     for r in apply_watch_edits(df).orderBy("user_id", "ord").collect():
+        assert r["selected"] == (r["ord"] == 0)
         got.setdefault(r["user_id"], []).append(r["sym"])
     assert got == edit_loop(log)
 
 
+def test_selection_follows_removals():
+    """The head of the list is what the selection rule gives: first entry, then the first remaining one."""
+    rng = random.Random(11)
+    for _ in range(200):
+        w, selected = [], None
+        for _ in range(40):
+            sym = f"S{rng.randrange(4)}"
+            if rng.random() < 0.5:
+                w = w if sym in w else [*w, sym]
+                selected = selected or sym
+            else:
+                remaining = [s for s in w if s != sym]
+                if selected == sym:
+                    selected = remaining[0] if remaining else selected
+                w = w if len(w) <= 1 else remaining
+            assert not w or selected == w[0]
+
+
+def test_one_user_with_very_many_symbols(spark):
+    log = spark.range(100_000).select(
+        F.lit(1).alias("user_id"), F.col("id").alias("ord"), (F.col("id") % 5 != 4).alias("adds"),
+        F.concat(F.lit("S"), F.when(F.col("id") % 5 == 4, F.col("id") - 2).otherwise(F.col("id")).cast("string")).alias("sym"),
+    )
+    lists = apply_watch_edits(log)
+    assert lists.count() == 60_000
+
+
 @pytest.mark.parametrize("seed,size", [(0, 5), (1, 4096)])
 def test_clamped_offsets_match_loop(spark, seed, size):
     rng = random.Random(seed)
@@ -161,20 +188,28 @@ def test_last_marked_matches_loop(spark):
         assert got[n] == (max(earlier) if earlier else None)
 
 
-def test_edit_summaries_match_loop_for_any_split():
-    """The piece summaries alone, over thousands of random logs and cut points."""
-    from ledgerloom.operators.edits import _enter, _Piece
-
+def test_watch_edits_of_many_users(spark):
+    """Thousands of random logs at once, from ones that only add to ones that mostly remove."""
     rng = random.Random(1)
-    for _ in range(4000):
-        symbols, n = rng.randrange(1, 6), rng.randrange(1, 25)
-        lean = rng.choice([0.25, 0.5, 0.7])
-        log = [(0, i, rng.random() < lean, f"S{rng.randrange(symbols)}") for i in range(n)]
-        cuts = sorted(rng.sample(range(1, n), min(n - 1, rng.randrange(0, 4)))) if n > 1 else []
-        members = []
-        for a, b in zip([0, *cuts], [*cuts, n]):
-            piece = _Piece(a, may_continue=a > 0)
-            for _, _, adds, sym in log[a:b]:
-                piece.edit(adds, sym)
-            members = _enter(members, json.loads(piece.text()))
-        assert members == edit_loop(log).get(0, [])
+    log = []
+    for user in range(2500):
+        symbols, lean = rng.randrange(1, 6), rng.choice([0.25, 0.5, 0.7])
+        log += [(user, i, rng.random() < lean, f"S{rng.randrange(symbols)}") for i in range(rng.randrange(1, 25))]
+    df = spark.createDataFrame(log, "user_id long, ord long, adds boolean, sym string")
+    got = {}
+    for r in sorted(apply_watch_edits(df).collect(), key=lambda r: (r["user_id"], r["ord"])):
+        got.setdefault(r["user_id"], []).append(r["sym"])
+    assert got == edit_loop(log)
+
+
+def test_lookups_over_small_pieces(spark):
+    rng = random.Random(2)
+    rows = [(n, "hot" if rng.random() < 0.5 else f"k{rng.randrange(4)}", rng.randrange(9) if rng.random() < 0.4 else None, rng.randrange(-3, 4)) for n in range(400)]
+    df = spark.createDataFrame(rows, "n long, k string, v long, x long")
+    before = {r["n"]: r["prev"] for r in latest_before(df, ["k"], ["n"], F.col("v"), "prev", 7).collect()}
+    sums = {r["n"]: r["s"] for r in running_sum(df, ["k"], ["n"], "x", "s", 7).collect()}
+    last, total = {}, {}
+    for n, k, v, x in rows:
+        total[k] = total.get(k, 0) + x
+        assert (before[n], sums[n]) == (last.get(k), total[k])
+        last[k] = last.get(k) if v is None else v

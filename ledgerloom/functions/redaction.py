@@ -22,6 +22,7 @@ SENSITIVE_KEY = (
     "token|secret|password|passwd|authorization|api[-_]?key|private|cookie|session|email|phone|address"
     "|first_?name|last_?name|card|iban|ssn"
 )
+# Mask words and the depth at which nesting is cut.
 REDACTED, TOO_DEEP, MAX_DEPTH = "[REDACTED]", "[DEPTH]", 8
 
 _SENSITIVE = re.compile(SENSITIVE_KEY, re.IGNORECASE)

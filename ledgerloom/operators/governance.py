@@ -34,7 +34,7 @@ def limit_check(requests: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def limit_errors() -> Column:
-    """Problems of one limit set: its currency code and every kind's number."""
+    """Problems of one limit set: its currency code and every kind's number (the messages are fixed values)."""
     kinds = F.array(*[F.lit(k) for k in LIMIT_KINDS])
     bad = F.filter(
         kinds,

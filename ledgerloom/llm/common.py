@@ -11,6 +11,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch; Spark bounds its bytes as well (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 1000
+#: Keys of 16 bytes that a join may broadcast, about 100 MB as a hash table.
+BROADCAST_KEYS = 1_000_000
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -46,9 +48,11 @@ def held(docs: DataFrame, **columns: Column) -> DataFrame:
 def without(docs: DataFrame, key: Column, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``key`` is in ``dropped``; of a key in ``repeated`` one row stays.
 
-    Both relations have the one column ``_key``. Texts only move where Spark finds the relations too large to broadcast.
+    Both relations are written and have the one column ``_key``. Up to ``BROADCAST_KEYS`` keys are broadcast, so that no text
+    moves; more are joined by an exchange.
     """
-    kept = held(docs, _key=key).join(dropped, "_key", "left_anti")
+    few = dropped.count() <= BROADCAST_KEYS
+    kept = held(docs, _key=key).join(F.broadcast(dropped) if few else dropped, "_key", "left_anti")
     if repeated.isEmpty():  # rows that are equal in id and text are rare; only they need an exchange
         return kept.select("row.*")
     one = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])

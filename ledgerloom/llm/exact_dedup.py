@@ -166,6 +166,6 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return without(
         docs,
         row_key(doc_id, text),
-        dropped.join(stay, "_key", "left_anti"),
+        durable(dropped.join(stay, "_key", "left_anti"), "exact-dropped"),
         dropped.join(stay, "_key", "left_semi"),  # keys of which one row stays and others go: rows equal in id and text
     )

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
 #: Keys of 16 bytes that a join may broadcast, about 100 MB as a hash table.
 BROADCAST_KEYS = 1_000_000
+#: Bits of a Bloom filter that one task packs.
+PART_BITS = 18
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -45,6 +52,36 @@ def held(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
 
 
+def marked(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test of a row key (:func:`row_key`) by a Bloom filter of ``keys._key``: true for all of them and few others.
+
+    Its parts are made in Spark. It has 16 to 32 bits a key, two of them set, up to 2 ** 31 bits (256 MB) in all.
+    """
+    bits = min(31, max(PART_BITS, math.ceil(math.log2(16 * max(keys.count(), 1)))))
+    places = lambda key: [F.shiftrightunsigned(key[c], 64 - bits) for c in "ab"]
+    spots = keys.select(F.explode(F.array(*places(F.col("_key")))).alias("at")).distinct()
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << PART_BITS, dtype=bool)
+        own[frame["at"].to_numpy(np.int64) & ((1 << PART_BITS) - 1)] = True
+        return pd.DataFrame({"part": [key[0]], "own": [np.packbits(own, bitorder="little").tobytes()]})
+
+    parts = spots.groupBy(F.shiftrightunsigned("at", PART_BITS).alias("part")).applyInPandas(pack, "part long, own binary")
+    filled, size = np.zeros(1 << (bits - 3), dtype=np.uint8), 1 << (PART_BITS - 3)
+    for r in parts.toLocalIterator():
+        filled[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["own"], np.uint8)
+    shipped = keys.sparkSession.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def has(a: pd.Series, b: pd.Series) -> pd.Series:
+        found = np.ones(len(a), dtype=bool)
+        for at in (a.to_numpy(np.int64), b.to_numpy(np.int64)):
+            found &= (shipped.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return pd.Series(found)
+
+    return lambda key: has(*places(key))
+
+
 def without(docs: DataFrame, key: Column, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``key`` is in ``dropped``; of a key in ``repeated`` one row stays.
 

@@ -16,8 +16,6 @@ BLANKS = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch; Spark bounds its bytes as well (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 1000
-#: Keys of 16 bytes that a join may broadcast, about 100 MB as a hash table.
-BROADCAST_KEYS = 1_000_000
 #: Bits of a Bloom filter that one task packs.
 PART_BITS = 18
 
@@ -85,12 +83,11 @@ def marked(keys: DataFrame) -> Callable[[Column], Column]:
 def without(docs: DataFrame, key: Column, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``key`` is in ``dropped``; of a key in ``repeated`` one row stays.
 
-    Both relations are written and have the one column ``_key``. Up to ``BROADCAST_KEYS`` keys are broadcast, so that no text
-    moves; more are joined by an exchange.
+    Both relations are written and have the one column ``_key``. Rows that a Bloom filter of both passes over stay where they
+    are; only the others, few more than those dropped, are exchanged. This is the one path at every size.
     """
-    few = dropped.count() <= BROADCAST_KEYS
-    kept = held(docs, _key=key).join(F.broadcast(dropped) if few else dropped, "_key", "left_anti")
-    if repeated.isEmpty():  # rows that are equal in id and text are rare; only they need an exchange
-        return kept.select("row.*")
-    one = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.join(repeated, "_key", "left_anti").unionByName(one).select("row.*")
+    has, rows = marked(dropped.unionByName(repeated)), held(docs, _key=key)
+    stay = rows.filter(~has(F.col("_key")))
+    kept = rows.filter(has(F.col("_key"))).join(dropped.hint("merge"), "_key", "left_anti")
+    one = kept.join(repeated.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"])
+    return stay.unionByName(kept.join(repeated.hint("merge"), "_key", "left_anti")).unionByName(one).select("row.*")

@@ -269,18 +269,21 @@ SPAN = T.ArrayType(
 
 
 def predicted(model: Model | None, docs: DataFrame, text: Column) -> Column:
-    """A struct column (lang_pred, score): the language with the most labelled letters and its share of them; ``und`` and 0
-    for null texts and texts without a letter (or without any model)."""
+    """A struct column (lang_pred, score): the language with the most labelled letters and its share of all letters; ``und`` and
+    0 for null texts and texts without a letter (or without any model). Words in a script of no language count for none: a
+    text of such words alone has a score of 0."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(LABEL)
     def label(texts: pd.Series) -> pd.DataFrame:
         model = shipped.value
         names, shares = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+        known = ~np.isneginf(model.scripts).all(axis=1) if model else None
         for row, words, part, own in scored(model, list(texts)) if model else ():
-            weight = np.bincount(own, weights=words.lengths[part], minlength=len(model.languages))
+            lengths = words.lengths[part]
+            weight = np.bincount(own, weights=lengths * known[words.script[part]], minlength=len(model.languages))
             best = int(weight.argmax())
-            names[row], shares[row] = model.languages[best], weight[best] / weight.sum()
+            names[row], shares[row] = model.languages[best], weight[best] / lengths.sum()
         return pd.DataFrame({"lang_pred": names, "score": shares})
 
     return label(text)

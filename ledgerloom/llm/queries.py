@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, kd_shards, langid, line_dedup, mixing, mtree, simhash, subwords, url_filter, warc
+from ledgerloom.llm import exact_dedup, kd_shards, langid, line_dedup, mixing, mtree, prefix_trie, simhash, spelling, subwords, url_filter, warc
 from ledgerloom.llm.common import prepared
 from ledgerloom.sources.tables import table
 
@@ -146,3 +146,63 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors of the highest inner product with each query vector."""
     vectors = table(spark, sf_dir, "embeddings").filter(mtree.usable(F.col("embedding"))).select("vec_id", mtree.quantised(F.col("embedding")).alias("vector"))
     return mtree.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def crc32_sql(codes: str) -> str:
+    """The unsigned CRC-32 of a list of byte values, bit by bit."""
+    bits = f"flatten([[(b >> k) & 1 FOR k IN range(8)] FOR b IN {codes}])"
+    step = "lambda c, m: xor(c >> 1, 3988292384 * (xor(c, m) & 1))"
+    return f"xor(list_reduce({bits}, {step}, 4294967295::BIGINT), 4294967295)"
+
+
+LATIN = "".join(map(chr, range(0xC0, 0x100)))
+SINGLE = "".join(chr(c) for c in range(33, 97))  # for each of them one byte that no word has
+
+@register(
+    "op12_spelling_variants",
+    f"""
+    WITH RECURSIVE r AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+    g AS (SELECT doc_id, run, count(*) AS times FROM r GROUP BY doc_id, run),
+    o AS (SELECT doc_id, run, times, flatten([CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + (ord(x) >> 6), 128 + (ord(x) & 63)] END
+            FOR x IN string_split(concat(doc_id, ':', run), '')]) AS codes FROM g),
+    h AS (SELECT run, times, {crc32_sql("codes")} AS h FROM o),
+    s AS (SELECT CASE WHEN h % 199 = 0 THEN concat(substr(run, 1, CAST(h % length(run) AS BIGINT)), substr(run, CAST(h % length(run) AS BIGINT) + 2)) ELSE run END AS word, times FROM h),
+    v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n, length(word) AS l, translate(word, '{LATIN}', '{SINGLE.replace("'", "''")}') AS plain
+          FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+    p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM v a JOIN v b ON b.l IN (a.l - 1, a.l, a.l + 1) AND levenshtein(a.plain, b.plain) = 1),
+    c AS (SELECT word, count(*) AS n_near FROM p GROUP BY word),
+    f AS (SELECT word, near AS form, near_n AS form_n FROM p WHERE near_n >= 5 * n QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+    w AS (SELECT word, form AS root FROM f UNION ALL SELECT w.word, f.form FROM w JOIN f ON w.root = f.word),
+    t AS (SELECT word, root FROM w WHERE root NOT IN (SELECT word FROM f))
+    SELECT v.word, form, coalesce(root, v.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+    FROM v LEFT JOIN c USING (word) LEFT JOIN f USING (word) LEFT JOIN t USING (word)
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, each with the form it is a variant of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op13_conversation_trie",
+    f"""
+    WITH o AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+                 ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    h AS (SELECT *, {crc32_sql("[ord(x) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]")} % 4 AS h FROM o),
+    b AS (SELECT h.conv_id, list_concat(coalesce(base.own[1:h.h], []), h.own[h.h + 1:]) AS turns FROM h LEFT JOIN o base ON base.conv_id = h.conv_id - h.conv_id % 20),
+    m AS (SELECT conv_id, d, turns[1:d] AS prefix, d = len(turns) AS ends FROM b, LATERAL (SELECT unnest(range(len(turns) + 1)) AS d)),
+    n AS (SELECT prefix, min(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+            coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM m GROUP BY prefix),
+    k AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+    x AS (SELECT n.*, coalesce(n_children, 0) AS n_children,
+            (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(prefix[depth].t, '[^\\x20\\x09-\\x0D]+')) END AS saved FROM n LEFT JOIN k USING (prefix)),
+    a AS (SELECT x.prefix[1:up] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+          FROM x, LATERAL (SELECT unnest(range(depth + 1)) AS up) GROUP BY 1)
+    SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(x.ids) AS ends_sha256
+    FROM x JOIN a USING (prefix) LEFT JOIN n u ON x.depth > 0 AND u.prefix = x.prefix[1:x.depth - 1]
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations with their subtrees' leaves and savings."""
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, kd_shards, langid, line_dedup, mixing, mtree, prefix_trie, simhash, spelling, subwords, url_filter, warc
+from ledgerloom.llm import exact_dedup, jaccard_join, kd_shards, langid, line_dedup, mixing, mtree, prefix_trie, simhash, spelling, subwords, url_filter, warc
 from ledgerloom.llm.common import prepared
 from ledgerloom.sources.tables import table
 
@@ -158,6 +158,12 @@ def crc32_sql(codes: str) -> str:
 LATIN = "".join(map(chr, range(0xC0, 0x100)))
 SINGLE = "".join(chr(c) for c in range(33, 97))  # for each of them one byte that no word has
 
+@register("op11_ngram_jaccard_join")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set and the smallest document reachable over sets of similarity 0.9 or more."""
+    return jaccard_join.near_sets(table(spark, sf_dir, "documents"), width=3, least=0.9)
+
+
 @register(
     "op12_spelling_variants",
     f"""

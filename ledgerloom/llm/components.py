@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +41,21 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = durable(_stars(durable(_stars(both, True), "edges"), False), "edges")
+
+
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The least node that each of n nodes is linked to, directly or not."""
+    label = np.arange(n)
+    for i, j in pairs:
+        while True:
+            x, y = label[i], label[j]
+            apart = x != y
+            if not apart.any():
+                break
+            i, j = i[apart], j[apart]
+            low = np.minimum(x, y)[apart]
+            np.minimum.at(label, x[apart], low)
+            np.minimum.at(label, y[apart], low)
+            while (label != label[label]).any():
+                label = label[label]
+    return label

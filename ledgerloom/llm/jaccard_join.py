@@ -9,8 +9,7 @@ The order comes from a count-min sketch of all texts, of a fixed size: it decide
 found. Inverted lists are rows of Spark. Lists of up to ``SHORT`` texts are merged by the texts that ask, each against the earlier
 texts of its lists. A list beyond that is not merged either: it is one more probed list, which lowers the bound of a text by one,
 so only pairs with many such lists can be missed. Those texts are compared with one text of each long list at a time, and what
-that links is one component; between the components that are left, blocks of texts meet, and their sets' histograms leave few
-pairs. A dense group therefore costs as many rows as it has members, and no group is ever in one task.
+that links is one component; between the components that are left, blocks of texts meet and give a spanning forest. A dense group therefore costs as many rows as it has members, and no group is ever in one task.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import marked, row_key, without
-from ledgerloom.llm.components import components
+from ledgerloom.llm.components import components, forest
 from ledgerloom.session import durable
 
 SEED, WIDTH, LEAST = 42, 3, 0.9
@@ -39,9 +38,8 @@ FLUSH = 1 << 22  # shingles a task holds before it counts them
 MERGED_AT_ONCE = 64  # parts of a sketch
 SHORT = 64  # texts of a list that is merged
 BLOCK = 512  # texts of a long list compared at a time
-COARSE = 32  # bins of the first look at two blocks
 WORTH = 0.1  # share of compared pairs that must link for another round of stars
-SET = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bins", T.BinaryType()), T.StructField("listed", T.ArrayType(T.LongType()))])
+SET = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("simhash", T.LongType()), T.StructField("bins", T.BinaryType()), T.StructField("listed", T.ArrayType(T.LongType()))])
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -99,6 +97,14 @@ def may_be_similar(a: bytes, b: bytes, n: int, m: int, least: float) -> bool:
     return both >= least * (n + m - both) - SLACK
 
 
+def simhash(own: np.ndarray) -> int:
+    """Bit i is set when over half of the hashes have it."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(own), 1 << 16):
+        ones += np.unpackbits(own[at : at + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
 def _slots(own: np.ndarray) -> np.ndarray:
     return (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -143,7 +149,7 @@ def frequency_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def listed(docs: DataFrame, text: Column, sketch: np.ndarray, width: int, least: float) -> Column:
-    """A struct column: fingerprint, size and bins of the set, and its shingles whose lists are merged."""
+    """A struct column: fingerprint, size, SimHash and bins of the set, and its shingles whose lists are merged."""
     shipped = docs.sparkSession.sparkContext.broadcast(sketch)
 
     @F.pandas_udf(SET)
@@ -152,9 +158,9 @@ def listed(docs: DataFrame, text: Column, sketch: np.ndarray, width: int, least:
         for t in texts:
             own = shingles(t, width)
             first = len(own) - int(unlisted(np.array(len(own)), least)) if len(own) else 0
-            out.append((xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own), binned(own), own[np.lexsort((own, counts[_slots(own)]))[:first]].view(np.int64)))
+            out.append((xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own), simhash(own), binned(own), own[np.lexsort((own, counts[_slots(own)]))[:first]].view(np.int64)))
         fps = np.array([x[0] for x in out], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fps, "n": np.array([x[1] for x in out], dtype=np.int32), "bins": [x[2] for x in out], "listed": [x[3] for x in out]})
+        return pd.DataFrame({"fp": fps, "n": np.array([x[1] for x in out], dtype=np.int32), "simhash": [x[2] for x in out], "bins": [x[3] for x in out], "listed": [x[4] for x in out]})
 
     return cut(text)
 
@@ -288,24 +294,20 @@ def _stars(hot: DataFrame, roots: DataFrame, least: float, turn: int) -> DataFra
     parts = durable(_rooted(hot, roots, "fp", "root"), "jaccard-parts")
     head = F.min(F.struct(F.xxhash64(F.lit(turn), "fp"), "fp", "n", "h", "root")).alias("head")
     heads = durable(parts.groupBy("sh").agg(head, F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sh", "head"), "jaccard-heads")
-    met = parts.join(heads, "sh").filter(F.col("root") != F.col("head.root")).filter(_meets(F.col("n"), F.col("head.n"), F.col("h"), F.col("head.h"), least))
+    n, m = F.col("n"), F.col("head.n")
+    meets = (F.least(n, m) >= F.lit(least) * F.greatest(n, m) - SLACK) & (F.least(F.col("h"), F.col("head.h")) >= _occurrences(n, m, least))
+    met = parts.join(heads, "sh").filter((F.col("root") != F.col("head.root")) & meets)
     return met.select(F.least("fp", "head.fp").alias("a"), F.greatest("fp", "head.fp").alias("b")).distinct()
 
 
-def _meets(n: Column, m: Column, h: Column, g: Column, least: float) -> Column:
-    """Whether texts of n and m shingles, h and g of them in long lists, can be similar and be met in long lists only."""
-    return (F.least(n, m) >= F.lit(least) * F.greatest(n, m) - SLACK) & (F.least(h, g) >= _occurrences(n, m, least))
-
-
-def _blocks(hot: DataFrame, roots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs between components of the long lists, each list's largest component being compared with the others only."""
+def _blocks(hot: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links between components of the long lists, each list's largest component being compared with the others only."""
     parts = durable(_rooted(hot, roots, "fp", "root"), "jaccard-parts")
     shares = parts.groupBy("sh", "root").agg(F.count(F.lit(1)).alias("n"))
     main = shares.groupBy("sh").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots"))
-    main = durable(main.filter("roots > 1").select("sh", "main.root", F.col("main.n").alias("n"), "all"), "jaccard-main")
-    member = F.struct("fp", "n", "h", "root", "bins")
-    texts = parts.join(main.select("sh", F.col("root").alias("main"), F.col("n").alias("settled"), "all"), "sh")
-    texts = durable(texts.join(nodes.select("fp", "bins"), "fp"), "jaccard-apart")
+    main = durable(main.filter("roots > 1").select("sh", F.col("main.root").alias("main"), F.col("main.n").alias("settled"), "all"), "jaccard-main")
+    texts = durable(parts.join(main, "sh").join(sets, "fp"), "jaccard-apart")
+    member = F.struct("fp", "n", "h", "pos", "root", "own")
     cut = lambda rows, of, name: rows.groupBy("sh", F.pmod(F.xxhash64("fp"), F.ceil(of / F.lit(BLOCK))).alias("block")).agg(F.collect_list(member).alias(name))
     ours = cut(texts.filter("root <> main"), F.col("all") - F.col("settled"), "ours").select("sh", "ours")
     theirs = cut(texts, F.col("all"), "theirs").select("sh", "theirs")
@@ -313,33 +315,43 @@ def _blocks(hot: DataFrame, roots: DataFrame, nodes: DataFrame, least: float) ->
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for ours, theirs in frame.itertuples(index=False):
-                yield pd.DataFrame(_met(ours, theirs, least), columns=["a", "b"], dtype=np.int64)
+                yield pd.DataFrame(_met(ours, theirs, least), columns=["a", "b"])
 
     return durable(ours.join(theirs, "sh").select("ours", "theirs").mapInPandas(meet, "a long, b long").distinct(), "jaccard-blocks")
 
 
-def _coarse(bins: bytes) -> np.ndarray:
-    own = np.frombuffer(bins, np.uint8).astype(np.int32)
-    own = np.where(own == 255, 1 << 24, own)  # full: no bound
-    return own.reshape(COARSE, -1).sum(axis=1) if len(own) >= COARSE else np.concatenate([own, np.zeros(COARSE - len(own), np.int32)])
+def _met(ours: list, theirs: list, least: float) -> np.ndarray:
+    """A spanning forest (a, b) of the links between two blocks of a list, where components, sizes and places leave any.
 
-
-def _met(ours: list, theirs: list, least: float) -> list[tuple[int, int]]:
-    """Pairs of two blocks in different components that sizes, long lists and bins leave."""
-    (fp, n, h, root), (gp, m, g, soot) = ([np.array([x[c] for x in side], dtype=np.int64) for c in ("fp", "n", "h", "root")] for side in (ours, theirs))
+    A pair whose first common shingle this is shares none of those before it; any other pair is met in an earlier list. The lists
+    of the block's own shingles are merged for each text that is left.
+    """
+    (fp, n, h, pos, root), (gp, m, g, qos, soot) = ([np.array([x[c] for x in side], dtype=np.int64) for c in ("fp", "n", "h", "pos", "root")] for side in (ours, theirs))
     n, m = n[:, None], m[None, :]
+    total = np.ceil(least / (1 + least) * (n + m) - SLACK)
     live = (root[:, None] != soot[None, :]) & (np.minimum(n, m) >= least * np.maximum(n, m) - SLACK)
-    live &= np.minimum(h[:, None], g[None, :]) >= occurrences(n, m, least)
-    big = np.array([len(x["bins"]) >= COARSE for x in ours])[:, None] & np.array([len(x["bins"]) >= COARSE for x in theirs])[None, :]
-    if (live & big).any():
-        left, right = np.array([_coarse(x["bins"]) for x in ours]), np.array([_coarse(x["bins"]) for x in theirs])
-        both = sum(np.minimum(left[:, None, c], right[None, :, c]) for c in range(COARSE))
-        live &= ~big | (both >= least * (n + m - both) - SLACK)
-    out = []
-    for i, j in zip(*np.nonzero(live), strict=True):
-        if may_be_similar(ours[i]["bins"], theirs[j]["bins"], int(n[i, 0]), int(m[0, j]), least):
-            out.append((min(fp[i], gp[j]), max(fp[i], gp[j])))
-    return out
+    live &= (np.minimum(h[:, None], g[None, :]) >= occurrences(n, m, least)) & (pos[:, None] <= n - total) & (qos[None, :] <= m - total)
+    asked = np.flatnonzero(live.any(axis=0))
+    found = [np.empty((0, 2), dtype=np.int64)]
+    if len(asked):
+        sets = [np.frombuffer(theirs[j]["own"], np.uint64) for j in asked]
+        tokens, of = np.concatenate(sets), np.repeat(np.arange(len(asked)), [len(x) for x in sets])
+        order = np.argsort(tokens, kind="stable")
+        tokens, of = tokens[order], of[order]
+        for i in np.flatnonzero(live.any(axis=1)):
+            own = np.frombuffer(ours[i]["own"], np.uint64)
+            low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+            size = high - low
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - low, size)
+            both = np.bincount(of[at], minlength=len(asked))
+            good = asked[live[i, asked] & (both >= least * (n[i] + m[0, asked] - both) - SLACK)]
+            found.append(np.stack([np.full(len(good), fp[i]), gp[good]], axis=1))
+    pairs = np.concatenate(found)
+    names, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(-1, 2)
+    label = forest(len(names), iter([(at[:, 0], at[:, 1])]))
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return np.stack([names[label[moved]], names[moved]], axis=1)
 
 
 def links(nodes: DataFrame, docs: DataFrame, key: Column, text: str, width: int, least: float, likely: DataFrame | None = None) -> DataFrame:
@@ -347,10 +359,10 @@ def links(nodes: DataFrame, docs: DataFrame, key: Column, text: str, width: int,
 
     ``nodes`` (fp, n, bins, listed, first) are distinct sets. Pairs (a, b) that are ``likely`` similar are verified first.
     """
-    postings = nodes.select(F.explode("listed").alias("sh"), "fp", F.col("n").cast("long").alias("n"))
+    postings = nodes.select(F.posexplode("listed").alias("pos", "sh"), "fp", F.col("n").cast("long").alias("n"))
     lists = durable(postings.groupBy("sh").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "jaccard-lists")
     shared = durable(postings.join(lists, "sh"), "jaccard-postings")
-    long = shared.filter(F.col("texts") > SHORT).select("sh", "fp", "n")
+    long = shared.filter(F.col("texts") > SHORT).select("sh", "fp", "n", "pos")
     none = F.array().cast("array<long>")
     asking = _earlier(shared.filter(F.col("texts") <= SHORT), least).unionByName(long.select("fp", "n", none.alias("fps"), none.alias("ns")))
     pairs = _likely(_merged(asking, least), nodes, least)
@@ -361,21 +373,16 @@ def links(nodes: DataFrame, docs: DataFrame, key: Column, text: str, width: int,
 
     found = pairs.limit(0) if likely is None else _linked(likely, sets, least)
     found = _resolved(pairs, sets, found, least)
-    tried, turn = None, 0
-    while True:
-        roots = durable(components(found), "jaccard-roots")
-        stars = _stars(hot, roots, least, turn)
-        stars = durable(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "jaccard-stars")
-        tried = stars if tried is None else durable(tried.unionByName(stars), "jaccard-tried")
-        n = stars.count()
-        if not n:
-            break
+    tried, turn, linked, n = found.limit(0), 0, 1, 0
+    while hot.limit(1).count() and linked > WORTH * n:
+        stars = _stars(hot, durable(components(found), "jaccard-roots"), least, turn).join(tried, ["a", "b"], "left_anti")
+        stars = durable(stars, "jaccard-stars")
         new = _linked(_likely(stars, nodes, least), sets, least)
-        found, turn = durable(found.unionByName(new), "jaccard-found"), turn + 1
-        if new.count() < WORTH * n:
-            break
-    left = _blocks(hot, durable(components(found), "jaccard-roots"), nodes, least)
-    return found.unionByName(_linked(left.join(tried, ["a", "b"], "left_anti"), sets, least))
+        tried, found, turn = durable(tried.unionByName(stars), "jaccard-tried"), durable(found.unionByName(new), "jaccard-found"), turn + 1
+        n, linked = stars.count(), new.count()
+    if turn:
+        found = found.unionByName(_blocks(hot, durable(components(found), "jaccard-roots"), sets, least))
+    return found
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, width: int, least: float, likely=None) -> tuple[DataFrame, DataFrame]:
@@ -384,8 +391,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int, least: float,
     cut = docs.select(F.col(doc_id).alias("doc_id"), key.alias("_key"), listed(docs, F.col(text), frequency_sketch(docs, text, width), width, least).alias("s"))
     rows = durable(cut.select("doc_id", "_key", "s.*"), "jaccard-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")).alias("first")
-    nodes = durable(rows.groupBy("fp").agg(first, *[F.first(c).alias(c) for c in ("n", "bins", "listed")]), "jaccard-nodes")
-    more = None if likely is None else likely(nodes)
+    nodes = durable(rows.groupBy("fp").agg(first, *[F.first(c).alias(c) for c in ("n", "simhash", "bins", "listed")]), "jaccard-nodes")
+    more = None if likely is None else durable(likely(nodes.filter("n > 0").select("fp", "simhash")), "jaccard-more")
     roots = durable(components(links(nodes.filter("n > 0"), docs, key, text, width, least, more)), "jaccard-roots")
     labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = labelled.groupBy("root").agg(F.min("first").alias("class_first"))
@@ -411,7 +418,7 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """``docs`` with one row of each component (smallest id, nulls last), all columns as they were.
 
     Links are those of :func:`near_sets`, except that texts without words are equal: one of them stays. Of rows equal in id and
-    text one stays. ``likely`` may give pairs of sets to look at first, from the table of distinct sets (fp, first, ...): it saves
+    text one stays. ``likely`` may give pairs of sets to look at first, from the table of distinct sets (fp, simhash): it saves
     work and changes no result. An empty table gives an empty result; names of columns cannot clash.
     """
     rows, classes = _classes(docs, doc_id, text, width, least, likely)

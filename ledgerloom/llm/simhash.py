@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm import jaccard_join
 from ledgerloom.llm.common import row_key, without
-from ledgerloom.llm.components import components
+from ledgerloom.llm.components import components, forest
 from ledgerloom.session import durable
 
 BITS, SEED, WIDTH, BUDGET = 64, 42, 3, 2
@@ -107,24 +108,6 @@ def walk(left: np.ndarray, right: np.ndarray, same: bool, depth: int, budget: in
             todo.append((level + 1, *(x[at : at + FRONTIER] for x in (a0, a1, b0, b1, diff))))
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least node that each of n nodes is linked to, directly or not."""
-    label = np.arange(n)
-    for i, j in pairs:
-        while True:
-            x, y = label[i], label[j]
-            apart = x != y
-            if not apart.any():
-                break
-            i, j = i[apart], j[apart]
-            low = np.minimum(x, y)[apart]
-            np.minimum.at(label, x[apart], low)
-            np.minimum.at(label, y[apart], low)
-            while (label != label[label]).any():
-                label = label[label]
-    return label
-
-
 def links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of ``nodes.fp`` (distinct longs) within ``budget`` bits."""
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(nodes.count(), 1) / PAGE))))
@@ -189,3 +172,22 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     found = rows.join(classes, "fp").select("_key", (F.col("_key") == F.col("class_first._key")).alias("stays"))
     keys = durable(found.groupBy("_key").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1 OR NOT stays"), "simhash-keys")
     return without(docs, row_key(doc_id, text), keys.filter("NOT stays").select("_key"), keys.filter("stays").select("_key"))
+
+
+def _trie_pairs(sets: DataFrame, budget: int) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (fp, simhash) whose SimHash fingerprints are equal or linked in the trie."""
+    firsts = durable(sets.groupBy("simhash").agg(F.min("fp").alias("first")), "simhash-firsts")
+    edges = links(firsts.select(F.col("simhash").alias("fp")), budget)
+    one, two = (firsts.select(F.col("simhash").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
+    between = edges.join(one, "a").join(two, "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    return between.unionByName(sets.join(firsts, "simhash").filter("fp > first").select(F.col("first").alias("a"), F.col("fp").alias("b")))
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, budget: int = BUDGET) -> DataFrame:
+    """``docs`` with one row of each component of texts whose ``width``-word shingle sets have a Jaccard similarity of ``least`` or more.
+
+    The trie's self-join over SimHash fingerprints of those sets comes first: its pairs are verified on the whole sets, so groups
+    of close copies are one component at once. Sets as far apart as 0.8 differ in up to a third of the bits, which no error budget
+    of a trie reaches; :func:`jaccard_join.drop_similar` finds what is left, exactly, and says what stays for odd rows.
+    """
+    return jaccard_join.drop_similar(docs, doc_id, text, width, least, likely=lambda sets: _trie_pairs(sets, budget))

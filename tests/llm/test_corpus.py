@@ -12,7 +12,8 @@ import sentencepiece
 
 import corpus_pipeline
 from ledgerloom.llm import kd_shards, langid, mixing, subwords
-from tests.llm.test_dedup import brute_components, brute_fingerprint, plain
+from tests.llm.test_dedup import plain
+from tests.llm.test_jaccard_join import brute_kept
 
 SF = "/root/testdata/sf0.01"
 
@@ -288,8 +289,8 @@ def test_pipeline_against_brute_force(spark, library, tmp_path):
         if plain(r.text) not in first or r.doc_id < first[plain(r.text)].doc_id:
             first[plain(r.text)] = r
     left = list(first.values())
-    ids = brute_components([r.doc_id for r in left], [brute_fingerprint(r.text) for r in left])
-    left = [r for r, c in zip(left, ids, strict=True) if r.doc_id == c]
+    kept = set(brute_kept([(r.doc_id, r.text) for r in left]))
+    left = [r for r in left if r.doc_id in kept]
     mix = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(left, docs.schema)).collect()}
     want = Counter()
     for r in left:

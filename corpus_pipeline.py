@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, langid, mixing, set_join, subwords
+from ledgerloom.llm import exact_dedup, langid, mixing, simhash, subwords
 from ledgerloom.llm.common import prepared
 from ledgerloom.session import durable
 from ledgerloom.sources.tables import table
@@ -27,9 +27,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts stays; texts link at a Jaccard similarity of 0.8 of their five-word shingles."""
+    """One document of each component of texts (the smallest id) stays; texts link at a Jaccard similarity of 0.8 of their five-word
+    shingles. Close copies are found by the SimHash trie, all others by an exact join. Texts without words are equal."""
     prepared(spark)
-    return set_join.drop_similar(docs, width=5, least=0.8)
+    return simhash.drop_similar(docs, width=5, least=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,8 +89,8 @@ def id_digests(ends: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(frame) else []
             cuts = sorted({*starts, *range(0, len(frame), IDS)})
             ids = frame["conv_id"].to_numpy(np.int64)
-            for a, b in zip(cuts, [*cuts[1:], len(frame)], strict=True):
-                yield pd.DataFrame([[*keys[a], ids[a], ",".join(map(str, ids[a:b]))]], columns=[*KEY, "first", "ids"])
+            pieces = [(*keys[a], ids[a], ",".join(map(str, ids[a:b]))) for a, b in zip(cuts, [*cuts[1:], len(frame)], strict=True)]
+            yield pd.DataFrame(pieces, columns=[*KEY, "first", "ids"])
 
     def digested(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, digest = None, hashlib.sha256()

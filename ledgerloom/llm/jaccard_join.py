@@ -284,9 +284,9 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def _resolved(pairs: DataFrame, sets: DataFrame, found: DataFrame, least: float) -> DataFrame:
     """``found`` with those links of ``pairs`` that matter to components: one pair of each text first, then what is still apart."""
     one = durable(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-one")
-    found = durable(found.unionByName(_linked(one, sets, least)), "jaccard-found")
+    found = found.unionByName(_linked(one, sets, least))
     rest = durable(_apart(pairs, durable(components(found), "jaccard-roots")).join(one, ["a", "b"], "left_anti"), "jaccard-rest")
-    return durable(found.unionByName(_linked(rest, sets, least)), "jaccard-found")
+    return found.unionByName(_linked(rest, sets, least))
 
 
 def _stars(hot: DataFrame, roots: DataFrame, least: float, turn: int) -> DataFrame:
@@ -377,8 +377,8 @@ def links(nodes: DataFrame, docs: DataFrame, key: Column, text: str, width: int,
     while hot.limit(1).count() and linked > WORTH * n:
         stars = _stars(hot, durable(components(found), "jaccard-roots"), least, turn).join(tried, ["a", "b"], "left_anti")
         stars = durable(stars, "jaccard-stars")
-        new = _linked(_likely(stars, nodes, least), sets, least)
-        tried, found, turn = durable(tried.unionByName(stars), "jaccard-tried"), durable(found.unionByName(new), "jaccard-found"), turn + 1
+        new = _linked(stars, sets, least)
+        tried, found, turn = tried.unionByName(stars), found.unionByName(new), turn + 1
         n, linked = stars.count(), new.count()
     if turn:
         found = found.unionByName(_blocks(hot, durable(components(found), "jaccard-roots"), sets, least))

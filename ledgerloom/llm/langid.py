@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -268,15 +269,20 @@ SPAN = T.ArrayType(
 )
 
 
+def _shipped(model: Model | None, docs: DataFrame) -> Broadcast:
+    """The model's parts: unlike functions, a broadcast instance of a class needs the package where it is read."""
+    return docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.scripts) if model else None)
+
+
 def predicted(model: Model | None, docs: DataFrame, text: Column) -> Column:
     """A struct column (lang_pred, score): the language with the most labelled letters and its share of all letters; ``und`` and
     0 for null texts and texts without a letter (or without any model). Words in a script of no language count for none: a
     text of such words alone has a score of 0."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = _shipped(model, docs)
 
     @F.pandas_udf(LABEL)
     def label(texts: pd.Series) -> pd.DataFrame:
-        model = shipped.value
+        model = Model(*shipped.value) if shipped.value else None
         names, shares = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
         known = ~np.isneginf(model.scripts).all(axis=1) if model else None
         for row, words, part, own in scored(model, list(texts)) if model else ():
@@ -291,11 +297,11 @@ def predicted(model: Model | None, docs: DataFrame, text: Column) -> Column:
 
 def spans(model: Model | None, docs: DataFrame, text: Column) -> Column:
     """An array column of runs of words of one language: (start_word, words, lang); empty for texts without letters."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = _shipped(model, docs)
 
     @F.pandas_udf(SPAN)
     def cut(texts: pd.Series) -> pd.Series:
-        model = shipped.value
+        model = Model(*shipped.value) if shipped.value else None
         out: list[list] = [[] for _ in range(len(texts))]
         for row, _, _, own in scored(model, list(texts)) if model else ():
             at = np.flatnonzero(np.diff(own, prepend=-1))

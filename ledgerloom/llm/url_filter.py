@@ -167,12 +167,13 @@ def judge(pages: DataFrame, block: list[str], allow: list[str], url: str = "url"
         hashed.select(F.explode(F.arrays_zip("a", "b")).alias("k")).select("k.*").distinct(),
         "url-keys",
     )
-    shipped = spark.sparkContext.broadcast((build(spark, universe, block), build(spark, universe, allow)))
+    # the levels, not the cascades: a broadcast instance of a class needs the package where it is read
+    shipped = spark.sparkContext.broadcast((build(spark, universe, block).levels, build(spark, universe, allow).levels))
 
     @F.pandas_udf("int")
     def winner(a: pd.Series, b: pd.Series) -> pd.Series:
         """1-based place of the longest listed key, negative when it is allowed, 0 without one."""
-        blocked, allowed = shipped.value
+        blocked, allowed = (Cascade(levels) for levels in shipped.value)
         counts = np.array([len(x) for x in a], dtype=np.int64)
         if not counts.sum():
             return pd.Series(np.zeros(len(a), dtype=np.int32))

@@ -201,3 +201,16 @@ def test_line_sketches_agree_with_exact_counts_around_the_threshold(spark):
     rows = [(line, 0, f"s{i}") for line in range(60) for i in range(170 + line) for _ in range(2)]
     lines = spark.createDataFrame(rows, "a long, b long, site string")
     assert sorted(r.a for r in line_dedup.boilerplate(lines, 200, 6).collect()) == list(range(30, 60))
+
+
+@pytest.mark.parametrize("local", [0, 3, 1 << 18])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL", local)
+    rng = random.Random(2)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(12)]
+    label = list(range(120))
+    for a, b in edges:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: x for i, x in enumerate(label) if i != x}

@@ -171,7 +171,7 @@ def _m_ads(spark, sf_dir):
 @query(
     "m_refund_rate",
     sql(
-        """SELECT month, sum(refund)::DOUBLE / 10000 / (sum(subtotal - discount)::DOUBLE / 10000) AS refund_rate FROM orders_fact GROUP BY 1""",
+        """SELECT month, sum(refund)::DOUBLE / 10000 / nullif(sum(subtotal - discount)::DOUBLE / 10000, 0) AS refund_rate FROM orders_fact GROUP BY 1""",
         "orders_fact",
     ),
 )
@@ -620,7 +620,7 @@ def _dq_currency(spark, sf_dir):
 @query(
     "dq_provisional",
     sql(
-        """SELECT strftime(dt, '%Y-%m-%d') AS day, r / v AS refund_rate, dt > max(dt) OVER () - 14 AS provisional FROM (
+        """SELECT strftime(dt, '%Y-%m-%d') AS day, r / nullif(v, 0) AS refund_rate, dt > max(dt) OVER () - 14 AS provisional FROM (
              SELECT dt, sum(refund)::DOUBLE / 10000 AS r, sum(subtotal - discount)::DOUBLE / 10000 AS v FROM orders_fact GROUP BY 1)""",
         "orders_fact",
     ),

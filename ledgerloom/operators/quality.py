@@ -12,15 +12,17 @@ BOT_EVENTS_PER_HOUR = 2  # default threshold; the definition leaves it to the op
 def tracking_coverage(ev: DataFrame, template: str, expected: dict[str, str]) -> DataFrame:
     """Expected event kinds that are missing or fired more than once per template and day.
 
-    Counts every kind in one aggregation and unfolds them, instead of joining an expected grid to the data.
+    Every template is expected on every day between the first and the last of the data, so days on which it fired nothing count as
+    well. The grid comes from the templates and the two ends of the calendar; all kinds are counted in one aggregation beside it.
     """
-    counts = ev.groupBy(template, F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
-        *[F.count_if(F.col("event_type") == raw).alias(name) for raw, name in expected.items()]
-    )
+    day = F.to_date("ts")
+    counts = ev.groupBy(template, day.alias("day")).agg(*[F.count_if(F.col("event_type") == raw).alias(name) for raw, name in expected.items()])
+    first, last = (ev.agg(end(day)).scalar() for end in (F.min, F.max))
+    grid = ev.select(template).distinct().select(template, F.explode(F.sequence(first, last)).alias("day"))
+    filled = grid.join(counts, [template, "day"], "left").na.fill(0, list(expected.values()))
     status = F.when(F.col("fired") == 0, "missing").when(F.col("fired") > 1, "duplicate")
-    return counts.unpivot([template, "day"], list(expected.values()), "tag", "fired").withColumn("status", status).where(
-        "status IS NOT NULL"
-    )
+    unfolded = filled.withColumn("day", F.date_format("day", "yyyy-MM-dd")).unpivot([template, "day"], list(expected.values()), "tag", "fired")
+    return unfolded.withColumn("status", status).where("status IS NOT NULL")
 
 
 def without_bots(sess: DataFrame, threshold: int = BOT_EVENTS_PER_HOUR) -> DataFrame:

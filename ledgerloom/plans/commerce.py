@@ -550,7 +550,8 @@ def _top_bottom_k(spark, sf_dir):
     "dq_tracking",
     """SELECT user_id, day, tag, fired, CASE WHEN fired = 0 THEN 'missing' ELSE 'duplicate' END AS status FROM (
          SELECT user_id, day, tag, count(e.event_id) AS fired FROM
-           (SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events)
+           (SELECT user_id, strftime(unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events), (SELECT max(CAST(ts AS DATE)) FROM events), INTERVAL 1 DAY)), '%Y-%m-%d') AS day
+            FROM (SELECT DISTINCT user_id FROM events))
            CROSS JOIN (VALUES ('view', 'page_view'), ('click', 'view_item'), ('signup', 'add_to_cart'), ('error', 'begin_checkout'), ('purchase', 'purchase')) k(raw, tag)
            LEFT JOIN (SELECT event_id, user_id AS u, strftime(ts, '%Y-%m-%d') AS d, event_type FROM events) e
              ON e.u = user_id AND e.d = day AND e.event_type = raw GROUP BY 1, 2, 3) WHERE fired <> 1""",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import portfolio, quotes, screener
+from ledgerloom.operators.edits import apply_watch_edits
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.sql import cte, fixed, grouped, sql
 from ledgerloom.sources import market
@@ -182,16 +183,21 @@ def _tape_board(spark, sf_dir):
 @query(
     "tick_set",
     sql(
-        """SELECT 'P' || (CAST(json_extract_string(props, '$.k') AS BIGINT) + user_id * 100) AS sym FROM events
-             WHERE event_type = 'click' AND json_extract_string(props, '$.k') IS NOT NULL
+        """SELECT sym FROM (SELECT unnest(list_filter(string_split(list_reduce([','] || log, lambda a, x: CASE
+               WHEN x[1] = 'a' THEN CASE WHEN contains(a, ',' || x[3:] || ',') THEN a ELSE a || x[3:] || ',' END
+               WHEN length(a) - length(replace(a, ',', '')) <= 2 THEN a
+               ELSE replace(a, ',' || x[3:] || ',', ',') END), ','), lambda s: s <> '')) AS sym
+             FROM (SELECT user_id, list(CASE WHEN event_type = 'click' THEN 'a:' ELSE 'r:' END || 'P' || (CAST(json_extract_string(props, '$.k') AS BIGINT) + user_id * 100)
+                     ORDER BY event_id) AS log
+                   FROM events WHERE event_type IN ('click', 'view') AND json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1))
            UNION SELECT sym FROM holdings""",
         "holdings",
     ),
 )
 def _tick_set(spark, sf_dir):
-    """Symbols to tick: those added to a watchlist and those held, which come from different logs."""
+    """Symbols to tick: those on a watchlist after all its edits, and those held; the two come from different logs."""
     held = market.account_lines(spark, sf_dir).select(F.col("l_partkey").alias("pk")).distinct()
-    watched = market.watch_edits(spark, sf_dir).where("sym IS NOT NULL").select("sym")
+    watched = apply_watch_edits(market.watch_edits(spark, sf_dir)).select("sym")
     return watched.union(held.select(market.symbol(F.col("pk")).alias("sym"))).distinct()
 
 

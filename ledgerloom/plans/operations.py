@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.numeric import cents
 from ledgerloom.operators import deliveries as dlv
 from ledgerloom.operators import governance, offsets, writes
 from ledgerloom.operators.dedupe import ttl_dedupe
@@ -11,10 +12,11 @@ from ledgerloom.operators.edits import apply_watch_edits
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.sql import cte, sql
 from ledgerloom.session import scratch
-from ledgerloom.sources import feeds, pages
+from ledgerloom.sources import feeds, market, pages
 from ledgerloom.sources import writes as src
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import flows
+from ledgerloom.streaming.state import offset_stream
 
 _KINDS = "[" + ", ".join(f"'{k}'" for k in governance.LIMIT_KINDS) + "]"
 
@@ -394,3 +396,66 @@ def _stream_daily(spark, sf_dir):
     flows.run_to_table(flows.daily_metrics(flows.event_stream(spark, f"{sf_dir}/events.parquet")), folder, "update")
     days = flows.latest_per_key(spark, folder, ["day"], ["events", "sessions", "orders", "cents"])
     return days.select("day", "events", "sessions", "orders", (F.col("cents") / 100).alias("revenue"))
+
+
+@query(
+    "stream_refunds",
+    """WITH o AS (SELECT o_orderkey, o_orderdate FROM orders),
+         r AS (SELECT l_orderkey, l_shipdate, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem WHERE l_returnflag = 'R'),
+         seen AS (SELECT least((SELECT max(o_orderdate) FROM o), (SELECT max(l_shipdate) FROM r)) AS newest)
+       SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS refunds, CAST(sum(cents) AS BIGINT) AS cents
+       FROM o JOIN r ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 14 DAY, seen
+       WHERE date_trunc('day', o_orderdate) + INTERVAL 1 DAY < newest - INTERVAL 28 DAY GROUP BY 1""",
+)
+def _stream_refunds(spark, sf_dir):
+    """Orders and returned lines streamed through the interval join; days whose refunds are settled."""
+    placed = flows.table_stream(spark, f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("ordered_at"))
+    lines = flows.table_stream(spark, f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'")
+    back = lines.select(F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").cast("timestamp").alias("refunded_at"), cents(F.col("l_extendedprice")).alias("cents"))
+    folder = scratch(spark, "stream-refunds")
+    flows.run_to_table(flows.settled_refunds(placed, back), folder)
+    return spark.read.parquet(f"{folder}/rows").select("day", "refunds", "cents")
+
+
+@query(
+    "live_board",
+    sql(
+        """SELECT sym, ord, prev_close * (1 + day_move + off / 1e6::DOUBLE) AS price,
+             (prev_close * (1 + day_move + off / 1e6::DOUBLE) - prev_close) / prev_close * 100 AS chg_pct, CASE WHEN off > prev THEN 'up' ELSE 'down' END AS dir FROM (
+             SELECT sym, ord, list_reduce([0::BIGINT] || steps, lambda a, s: greatest(-60000, least(60000, a + s))) AS off,
+               list_reduce([0::BIGINT] || steps[:-2], lambda a, s: greatest(-60000, least(60000, a + s))) AS prev FROM (
+                 SELECT 'P' || (user_id % 60) AS sym, max(event_id) AS ord,
+                   list(CAST(floor(value * 100) AS BIGINT) * 37 % 24001 - 12000 ORDER BY event_id) AS steps FROM events GROUP BY 1))
+           JOIN (SELECT i.sym, coalesce(prior_px, last_px, base) AS prev_close, coalesce(last_px / coalesce(prior_px, last_px) - 1, 0) AS day_move
+                 FROM instruments i LEFT JOIN last_two t ON t.pk = i.ord) USING (sym)
+           WHERE sym IN (SELECT sym FROM holdings)""",
+        "instruments",
+        "last_two",
+        "holdings",
+    ),
+)
+def _live_board(spark, sf_dir):
+    """Offsets streamed into the table of the newest quote of every held symbol."""
+    folder = scratch(spark, "live-board")
+    held = lambda: market.account_lines(spark, sf_dir).select(market.symbol(F.col("l_partkey")).alias("sym"))
+    steps = feeds.steps_of(flows.event_stream(spark, f"{sf_dir}/events.parquet"))
+    quotes = flows.live_quotes(offset_stream(steps), market.quote_inputs(spark, sf_dir))
+    flows.run_to_latest(quotes, folder, ["sym"], "ord", held)
+    return flows.latest_version(spark, folder)
+
+
+@query(
+    "stream_delivery_stats",
+    _delivered_sql(
+        """SELECT strftime(ts, '%Y-%m-%d %H') AS hour, topic, reason, count(*) AS deliveries FROM handled
+           WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM handled) - INTERVAL 1 HOUR GROUP BY 1, 2, 3"""
+    ),
+)
+def _stream_delivery_stats(spark, sf_dir):
+    """Deliveries streamed through signature check, claims and hourly windows in one query; hours that are complete."""
+    ids = max(table(spark, sf_dir, "events").count() // feeds.REPEATS, 1)
+    streamed = feeds.deliveries_of(flows.event_stream(spark, f"{sf_dir}/events.parquet"), F.lit(ids))
+    folder = scratch(spark, "stream-deliveries")
+    flows.run_to_table(flows.delivery_stats(streamed, feeds.TEST_SECRET), folder)
+    hour = F.date_format("hour", "yyyy-MM-dd HH").alias("hour")
+    return spark.read.parquet(f"{folder}/rows").select(hour, "topic", "reason", "deliveries")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import signing
@@ -17,6 +17,11 @@ def deliveries(spark: SparkSession, sf_dir: str, secret: str = TEST_SECRET) -> D
     """Deliveries from events: every id recurs about 20 times, some signatures are broken or missing, some ids absent."""
     ev = table(spark, sf_dir, "events")
     ids = ev.agg(F.greatest(F.floor(F.count(F.lit(1)) / REPEATS), F.lit(1)).alias("ids")).scalar()
+    return deliveries_of(ev, ids, secret)
+
+
+def deliveries_of(ev: DataFrame, ids: Column, secret: str = TEST_SECRET) -> DataFrame:
+    """Deliveries of events, stored or streamed, with so many different ids."""
     e = F.col("event_id")
     body = F.encode("props", "UTF-8")
     one = lambda name, value: F.create_map(F.lit(name), F.array(value))
@@ -37,8 +42,13 @@ def deliveries(spark: SparkSession, sf_dir: str, secret: str = TEST_SECRET) -> D
 
 def offset_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offset steps in millionths, up to a fifth of the limit either way."""
+    return steps_of(table(spark, sf_dir, "events"))
+
+
+def steps_of(events: DataFrame) -> DataFrame:
+    """Offset steps of events, stored or streamed."""
     step = F.floor(F.col("value") * 100).cast("bigint") * 37 % 24001 - 12000
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("P"), (F.col("user_id") % 60).cast("string")).alias("sym"), F.col("event_id").alias("ord"), step.alias("step")
     )
 

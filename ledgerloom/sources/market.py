@@ -144,7 +144,8 @@ def watch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def watch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols added to watchlists, one row per edit of the event log: (user_id, ord, sym), apart from any order."""
-    ev = table(spark, sf_dir, "events").where("event_type = 'click'")
+    """The event log's edits of watchlists: (user_id, ord, adds, sym). Clicks add the symbol that the event names, views remove it."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
     part = F.get_json_object("props", "$.k").cast("bigint") + F.col("user_id") * 100
-    return ev.select("user_id", F.col("event_id").alias("ord"), symbol(part).alias("sym"))
+    edits = ev.select("user_id", F.col("event_id").alias("ord"), (F.col("event_type") == "click").alias("adds"), symbol(part).alias("sym"))
+    return edits.where("sym IS NOT NULL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,21 +11,35 @@ from ledgerloom.functions.numeric import cents
 from ledgerloom.operators.deliveries import authenticate, outcome_columns
 from ledgerloom.operators.dedupe import TTL_US
 from ledgerloom.operators.sessions import GAP_SECONDS
-from ledgerloom.streaming.state import claim_stream
+from ledgerloom.streaming.state import claim_stream, timed_claims
 
 REFUND_LAG = "14 days"
 
 
-def event_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
-    """Event files as they land at ``path`` (a folder or one file), with a zoned timestamp (watermarks reject zone-less ones).
+def _escaped(path: str) -> str:
+    """The path as a pattern: its own signs of patterns stand for themselves."""
+    return "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in path.rstrip("/"))
+
+
+def _only(path: str) -> str:
+    """A pattern that matches this one path; a stream takes a plain path for a folder."""
+    plain = path.rstrip("/")
+    return f"{_escaped(plain[:-1])}[{plain[-1]}]"
+
+
+def table_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Rows of the Parquet files as they land at ``path`` (a folder or one file).
 
     All files that have landed since the last run are one micro-batch, whatever order their times are in: the watermark
     only moves between batches, so a backlog loses no row. ``files`` bounds a batch where files are known to be in order.
     """
-    stream = spark.readStream.schema(spark.read.parquet(path).schema)
-    # as a pattern that only this path matches, because a stream takes a plain path for a folder
-    rows = (stream if files is None else stream.option("maxFilesPerTrigger", files)).parquet(f"{path[:-1]}[{path[-1]}]")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(spark.read.parquet(_escaped(path)).schema)
+    return (stream if files is None else stream.option("maxFilesPerTrigger", files)).parquet(_only(path))
+
+
+def event_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """:func:`table_stream` of events, with a zoned timestamp (watermarks reject zone-less ones)."""
+    return table_stream(spark, path, files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def daily_metrics(events: DataFrame) -> DataFrame:
@@ -43,6 +59,31 @@ def daily_metrics(events: DataFrame) -> DataFrame:
     )
 
 
+def timely_refunds(orders: DataFrame, refunds: DataFrame, lag: str = REFUND_LAG) -> DataFrame:
+    """Refunds that come within ``lag`` of their order: order_id, ordered_at, refunded_at, cents.
+
+    A stream-stream join of orders (order_id, ordered_at) and refunds (order_id, refunded_at, cents), both with a watermark; the
+    interval bounds the state on both sides. An order waits for refunds until the watermark is past its lag.
+    """
+    placed = orders.select("order_id", "ordered_at").withWatermark("ordered_at", lag)
+    paid = refunds.select(F.col("order_id").alias("refund_of"), "refunded_at", "cents").withWatermark("refunded_at", lag)
+    within = (F.col("refunded_at") >= F.col("ordered_at")) & (F.col("refunded_at") <= F.col("ordered_at") + F.expr(f"INTERVAL {lag}"))
+    return placed.join(paid, (F.col("refund_of") == F.col("order_id")) & within).select("order_id", "ordered_at", "refunded_at", "cents")
+
+
+def settled_refunds(orders: DataFrame, refunds: DataFrame, lag: str = REFUND_LAG) -> DataFrame:
+    """Refunds by order day, each day once it is settled: no refund of it can come in time any more, and none on its way is late.
+
+    The join's output has a watermark of its own, which lags behind the inputs' by the interval; the day window closes on it.
+    """
+    return (
+        timely_refunds(orders, refunds, lag)
+        .groupBy(F.window("ordered_at", "1 day").alias("w"))
+        .agg(F.count(F.lit(1)).alias("refunds"), F.sum("cents").alias("cents"))
+        .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "refunds", "cents")
+    )
+
+
 def session_stream(events: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     """Closed sessions per user, emitted once the watermark passes them."""
     return (
@@ -68,16 +109,27 @@ def delivery_stream(deliveries: DataFrame, secret: str, ttl_us: int = TTL_US) ->
     return at_once, decided
 
 
-def delivery_counts(outcomes: DataFrame) -> DataFrame:
-    """Hourly outcome counts by topic."""
+def delivery_counts(outcomes: DataFrame, delay: str | None = "1 hour") -> DataFrame:
+    """Hourly outcome counts by topic; ``delay`` None: the rows have a watermark already."""
+    timed = outcomes if delay is None else outcomes.withWatermark("ts", delay)
     return (
-        outcomes.withWatermark("ts", "1 hour")
-        .groupBy(F.window("ts", "1 hour").alias("w"), "topic", "reason")
+        timed.groupBy(F.window("ts", "1 hour").alias("w"), "topic", "reason")
         .agg(F.count(F.lit(1)).alias("deliveries"))
         .select(F.col("w.start").alias("hour"), "topic", "reason", "deliveries")
     )
 
 
+def delivery_stats(deliveries: DataFrame, secret: str, ttl_us: int = TTL_US, delay: str = "1 hour") -> DataFrame:
+    """Hourly outcome counts of a delivery stream in one query: claims are decided by keyed state, whose rows keep their event time
+    for the window after it. An hour comes out once the watermark, ``delay`` behind the newest time, is past it."""
+    checked = authenticate(deliveries, secret).select("row_id", "us", "valid", "event", "topic", F.timestamp_micros("us").alias("at")).withWatermark("at", delay)
+    claimable = F.col("valid") & F.col("event").isNotNull()
+    at_once = checked.where(~claimable).select("topic", "at", outcome_columns(F.col("valid"), F.col("event"), F.lit(False))[2])
+    claims = timed_claims(checked.where(claimable).select(F.col("event").alias("id"), "us", "row_id", "topic", "at"), ttl_us)
+    decided = claims.select("topic", "at", outcome_columns(F.lit(True), F.col("id"), F.col("accepted"))[2])
+    return delivery_counts(at_once.unionByName(decided).withColumnRenamed("at", "ts"), None)
+
+
 def live_quotes(offsets: DataFrame, quote_inputs: DataFrame) -> DataFrame:
     """Quotes recomputed from streamed offsets (stream-static join; Spark broadcasts the static side by size)."""
     base = quote_inputs.select("sym", "prev_close", "day_move")
@@ -93,24 +145,68 @@ def live_quotes(offsets: DataFrame, quote_inputs: DataFrame) -> DataFrame:
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> None:
     """Drain what has landed into a parquet table, one batch folder per micro-batch, so a replay overwrites itself.
 
-    Beside the rows, ``dropped`` has a row for each batch of the run with the number of rows its watermark cut.
+    Beside the rows, ``dropped`` has the number of rows that each batch's watermark cut. It is written with the batch that follows
+    and at the end, so neither the length of a run nor the loss of the driver loses more than the last one.
     """
+    running = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        if running and (last := running[0].lastProgress):
+            _note_dropped(stream.sparkSession, folder, [last], always=False)
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{folder}/progress")
-        .foreachBatch(write)
-        .trigger(availableNow=True)
-        .start()
-    )
+    _drain(stream, folder, mode, write, running)
+    if running[0].recentProgress:
+        _note_dropped(stream.sparkSession, folder, running[0].recentProgress, always=True)
+
+
+def _drain(stream: DataFrame, folder: str, mode: str, write: Callable[[DataFrame, int], None], running: list | None = None) -> None:
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").foreachBatch(write)
+    query = writer.trigger(availableNow=True).start()
+    if running is not None:
+        running.append(query)
     query.awaitTermination()
-    if query.recentProgress:
-        late = [(int(p["batchId"]), sum(int(s["numRowsDroppedByWatermark"]) for s in p["stateOperators"])) for p in query.recentProgress]
-        counts = stream.sparkSession.createDataFrame(late, "batch long, dropped long").groupBy("batch").agg(F.max("dropped").alias("dropped"))
-        counts.coalesce(1).write.mode("overwrite").parquet(f"{folder}/dropped/run={min(b for b, _ in late)}")
+
+
+def _note_dropped(spark: SparkSession, folder: str, progress: list, always: bool) -> None:
+    late = [(int(p["batchId"]), sum(int(s["numRowsDroppedByWatermark"]) for s in p["stateOperators"])) for p in progress]
+    if always or any(n for _, n in late):
+        counts = spark.createDataFrame(late, "batch long, dropped long").groupBy("batch").agg(F.max("dropped").alias("dropped"))
+        name = f"{min(b for b, _ in late)}-{max(b for b, _ in late)}"
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{folder}/dropped/run={name}")
+
+
+def run_to_latest(stream: DataFrame, folder: str, keys: list[str], order: str, wanted: Callable[[], DataFrame] | None = None) -> None:
+    """Drain what has landed into a table of the newest row (by ``order``) of each key, a version of it per micro-batch.
+
+    A batch is merged into the version before its own number, so a batch that is replayed gives the same version again. Rows
+    of keys outside ``wanted``, which is read anew for each batch, are left out; what a key had before stays.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch if wanted is None else batch.join(wanted().select(*keys).distinct(), keys, "left_semi")
+        before = [v for v in _versions(spark, folder) if v < batch_id]
+        if before:
+            rows = rows.unionByName(spark.read.parquet(f"{folder}/rows/batch={before[-1]}"))
+        rest = [c for c in batch.columns if c not in keys]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("v")).select(*keys, "v.*")
+        newest.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    _drain(stream, folder, "append", write)
+
+
+def latest_version(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest whole version of a table that :func:`run_to_latest` keeps."""
+    return spark.read.parquet(f"{folder}/rows/batch={_versions(spark, folder)[-1]}")
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the versions that were written to their end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "batch=*/_SUCCESS"))
+    return sorted(int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found or [])
 
 
 def dropped_rows(spark: SparkSession, folder: str) -> int:

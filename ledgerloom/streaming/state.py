@@ -35,8 +35,8 @@ class TtlClaims(StatefulProcessor):
     A timer at the expiry drops the id once the watermark is past it, so only ids of the live window are kept.
     """
 
-    def __init__(self, ttl_us: int = TTL_US):
-        self.ttl_us = ttl_us
+    def __init__(self, ttl_us: int = TTL_US, columns: tuple[str, ...] = ("id", "us", "row_id", "accepted")):
+        self.ttl_us, self.columns = ttl_us, list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.free = handle, handle.getValueState("free", "us bigint")
@@ -55,7 +55,7 @@ class TtlClaims(StatefulProcessor):
             if before is not None:
                 self.handle.deleteTimer(-(-before // 1000))
             self.handle.registerTimer(-(-free // 1000))  # milliseconds, at or after the expiry
-        yield pdf[["id", "us", "row_id"]].assign(accepted=flags)
+        yield pdf.assign(accepted=flags)[self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.free.clear()
@@ -100,6 +100,19 @@ def claim_stream(rows: DataFrame, ttl_us: int = TTL_US, delay: str = "1 hour") -
     )
 
 
+def timed_claims(rows: DataFrame, ttl_us: int = TTL_US) -> DataFrame:
+    """:func:`claim_stream` for (id, us, row_id, topic, at), ``at`` having a watermark: its rows keep ``at`` as their event time,
+    so a further stateful operator can follow in the same query."""
+    use_rocksdb(rows.sparkSession)
+    return rows.groupBy("id").transformWithStateInPandas(
+        statefulProcessor=TtlClaims(ttl_us, ("id", "topic", "at", "accepted")),
+        outputStructType="id string, topic string, at timestamp, accepted boolean",
+        outputMode="append",
+        timeMode="eventTime",
+        eventTimeColumnName="at",
+    )
+
+
 def offset_stream(steps: DataFrame) -> DataFrame:
     """Offset and direction after each streamed (sym, ord, step)."""
     use_rocksdb(steps.sparkSession)

@@ -182,3 +182,59 @@ def test_landed_page_files(spark, tmp_path):
     assert pages.page_gaps(whole, "orders").isEmpty()
     torn = pages.parse_pages(docs.where("page <> 4"), pages.ORDER_PAGE_SCHEMA)
     assert [r[0] for r in pages.page_gaps(torn, "orders").collect()] == ["cursor-3"]
+
+
+def test_refunds_at_13_and_at_15_days(spark, tmp_path):
+    day = 86_400
+    orders = spark.createDataFrame([(1, 0), (2, 0), (3, day), (4, 90 * day)], "order_id long, s long").select("order_id", F.timestamp_seconds(F.col("s") + 1000 * day).alias("ordered_at"))
+    refunds = spark.createDataFrame([(1, 13 * day, 5), (1, 14 * day, 7), (2, 15 * day, 11), (3, 0, 13), (9, day, 17), (4, 91 * day, 19)], "order_id long, s long, cents long")
+    refunds = refunds.select("order_id", F.timestamp_seconds(F.col("s") + 1000 * day).alias("refunded_at"), "cents")
+    orders.write.parquet(str(tmp_path / "o"))
+    refunds.write.parquet(str(tmp_path / "r"))
+    sides = lambda: (flows.table_stream(spark, str(tmp_path / "o")), flows.table_stream(spark, str(tmp_path / "r")))
+    flows.run_to_table(flows.timely_refunds(*sides()), str(tmp_path / "joined"))
+    assert {(r.order_id, r.cents) for r in spark.read.parquet(str(tmp_path / "joined/rows")).collect()} == {(1, 5), (1, 7), (4, 19)}
+    flows.run_to_table(flows.settled_refunds(*sides()), str(tmp_path / "days"))
+    # the day of order 4 is still open
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "days/rows")).select("day", "refunds", "cents").collect()] == [("1972-09-27", 2, 12)]
+
+
+def test_latest_rows_follow_the_list_and_survive_a_replay(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    land_ = lambda rows: spark.createDataFrame(rows, "sym string, ord long, price double").coalesce(1).write.mode("append").parquet(source)
+    listed = ["A"]
+    wanted = lambda: spark.createDataFrame([(s,) for s in listed], "sym string")
+    run = lambda: flows.run_to_latest(flows.table_stream(spark, source), folder, ["sym"], "ord", wanted)
+    latest = lambda: {tuple(r) for r in flows.latest_version(spark, folder).select("sym", "ord", "price").collect()}
+    land_([("A", 1, 1.0), ("A", 3, 3.0), ("B", 2, 2.0)])
+    run()
+    assert latest() == {("A", 3, 3.0)}
+    listed.append("B")
+    land_([("B", 4, 4.0), ("A", 2, 9.0)])
+    run()
+    assert latest() == {("A", 3, 3.0), ("B", 4, 4.0)}
+    (tmp_path / "out/rows/batch=1/_SUCCESS").unlink()  # a version that was not written to its end does not count
+    assert latest() == {("A", 3, 3.0)}
+
+
+def test_a_path_with_signs_of_patterns(spark, tmp_path):
+    for name in ("a*b", "a[b]c", "axb"):
+        land(spark, str(tmp_path / name), [(1, 5, 1, "view", 1.0)] if name == "axb" else [(1, 5, 1, "view", 1.0), (2, 6, 1, "view", 1.0)])
+    for i, name in enumerate(("a*b", "a[b]c")):
+        flows.run_to_table(flows.event_stream(spark, f"{tmp_path}/{name}/").select("event_id"), str(tmp_path / f"out{i}"))
+        assert spark.read.parquet(str(tmp_path / f"out{i}/rows")).count() == 2
+
+
+def test_counted_deliveries_equal_batch(spark, tmp_path):
+    rows = feeds.deliveries(spark, SF)
+    done = dlv.handle(rows, feeds.TEST_SECRET).collect()
+    newest = max(r["us"] for r in done)
+    want = {}
+    for r in done:
+        hour = r["us"] // 3_600_000_000
+        if (hour + 1) * 3_600_000_000 <= newest - 3_600_000_000:
+            want[hour, r["topic"], r["reason"]] = want.get((hour, r["topic"], r["reason"]), 0) + 1
+    streamed = stream_of(spark, rows, str(tmp_path / "in"))  # several batches
+    flows.run_to_table(flows.delivery_stats(streamed, feeds.TEST_SECRET), str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out/rows")).select(F.unix_micros("hour").alias("us"), "topic", "reason", "deliveries").collect()
+    assert len(got) == len(want) and {(r.us // 3_600_000_000, r.topic, r.reason): r.deliveries for r in got} == want

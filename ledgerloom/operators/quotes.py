@@ -10,21 +10,21 @@ from ledgerloom.functions.numeric import fmt, fmt_adaptive, fmt_cap, fmt_sign, l
 DEFAULT_PE = 25.0
 OPEN_HOUR, CLOSE_HOUR = 9, 16
 
-# Sector descriptions and their default.
+# What a listing says of its sector; any other table does as well.
 SECTOR_BLURBS = {
-    "Technology": "builds software and digital infrastructure",
-    "Biotech": "develops new medicines and therapies",
-    "Healthcare": "provides health products and services",
-    "Energy": "produces and distributes energy",
-    "Industrials": "makes industrial equipment and services",
-    "Financials": "offers financial and investment services",
-    "Materials": "supplies raw and engineered materials",
-    "Consumer": "sells consumer products and services",
-    "Communications": "runs media and network platforms",
-    "Utilities": "operates power and grid services",
-    "Semiconductors": "designs and manufactures chips",
+    "Technology": "software, cloud and data",
+    "Biotech": "drug discovery",
+    "Healthcare": "clinics, devices and care",
+    "Energy": "oil, gas and renewables",
+    "Industrials": "machines, transport and building",
+    "Financials": "banks, insurers and exchanges",
+    "Materials": "metals, chemicals and paper",
+    "Consumer": "shops, brands and household goods",
+    "Communications": "telecoms and media",
+    "Utilities": "electricity, water and heat",
+    "Semiconductors": "chips and the tools that make them",
 }
-DEFAULT_BLURB = "operates across its sector"
+DEFAULT_BLURB = "no sector description"
 
 
 def derive_quote(df: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ import math
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,13 +99,15 @@ class Pieces:
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids):
             raise ValueError("pieces that reach across a blank are not supported")
         self.cut = self._segments()
-        self.trie: dict[str, list] = {}  # by character: the piece that ends there (-1: none) and the characters after it
+        self.matches = ahocorasick.Automaton()  # at each place the pieces that end there, the longest first
         for piece, at in self.ids.items():
-            below = self.trie
-            for c in piece:
-                node = below.setdefault(c, [-1, {}])
-                below = node[1]
-            node[0] = at
+            self.matches.add_word(piece, (len(piece), at))
+        if self.ids:
+            self.matches.make_automaton()
+
+    def ends(self, segment: str) -> Iterator[tuple[int, tuple[int, int]]]:
+        """(place of the last character, (length, id)) of all pieces in a segment, by place, longer ones first."""
+        return self.matches.iter(segment) if self.ids else iter(())
 
     def _segments(self) -> re.Pattern:
         """Segments of a marked text: no piece reaches from one into the next.
@@ -189,70 +193,71 @@ class Coder:
     def stream(self, segment: str) -> Iterator[bytes]:
         """Ids of a segment, in parts as they become final.
 
-        A place's entry is (start, id) of the last piece of the best path to it, id -1 for a character that no piece has.
-        ``open_`` holds for each place ahead the pieces that end there, the longest first.
+        ``starts`` and ``ids`` hold for each place from ``base`` on the last piece of the best path to it, id -1 for a
+        character that no piece has. Places up to ``done`` are decided; ``look`` is where paths are next looked at.
         """
-        trie, pairs, scores, bpe = self.pieces.trie, self.pairs, self.pieces.scores, self.pieces.kind == BPE
-        longest, size, base = self.pieces.longest, len(segment), 0
-        ring = longest + 1
-        held: list[tuple[int, int]] = [(0, -1)]
-        best: list[float] = [0.0]
-        open_: list[list[tuple[int, int]]] = [[] for _ in range(ring)]  # by place, in turn
-        for at in range(size):
-            below, end = trie, at
-            for c in segment[at : at + longest]:
-                node = below.get(c)
-                if node is None:
-                    break
-                end += 1
-                piece, below = node
-                if piece >= 0:
-                    open_[end % ring].append((at, piece))
-            here = open_[(at + 1) % ring]
-            choice, value = (at, -1), best[-1] + self.lowest
+        pairs, scores, bpe = self.pairs, self.pieces.scores, self.pieces.kind == BPE
+        base = done = 0
+        longest, size = self.pieces.longest, len(segment)
+        look = 8 * longest
+        starts, ids, best = [0], [-1], [0.0]
+        for last, (length, piece) in chain(self.pieces.ends(segment), [(size, (0, -1))]):
+            if last < done and bpe:
+                continue  # a place has one right piece, and it is found
+            while done < last or last == done >= look:
+                if done >= look:
+                    met = self.meeting(starts, base, longest)
+                    look = max(done + longest, met + 8 * longest)
+                    if met > base:
+                        yield self.packed(segment, starts, ids, base, met)
+                        starts, ids, best, base = starts[met - base :], ids[met - base :], best[met - base :], met
+                else:
+                    starts.append(done)
+                    ids.append(-1)
+                    if not bpe:
+                        best.append(best[-1] + self.lowest)
+                    done += 1
+            if last == size:
+                break
+            start = last + 1 - length
             if bpe:
-                # one of a place's pieces is right, so the single character needs no look when the others are wrong
-                sure = here.pop() if here and here[-1][0] == at else None
-                for start, piece in here:
-                    key = held[start - base][1] << 32 | piece
-                    fits = pairs.get(key)
+                # the single character needs no look when the others are wrong
+                if length > 1:
+                    left = ids[start - base]
+                    fits = pairs.get(left << 32 | piece)
                     if fits is None:
-                        fits = self.apart(held[start - base][1], piece)
-                    if fits:
-                        choice = (start, piece)
-                        break
-                else:
-                    choice = sure or choice
+                        fits = self.apart(left, piece)
+                    if not fits:
+                        continue
+                starts.append(start)
+                ids.append(piece)
+                done += 1
             else:
-                for start, piece in here:
-                    total = best[start - base] + scores[piece]
-                    if total > value:
-                        choice, value = (start, piece), total
-            best.append(value)
-            here.clear()
-            held.append(choice)
-            if at + 1 - base >= 8 * longest and not (at + 1) % longest:
-                met = self.meeting(held, base, longest)
-                if met > base:
-                    yield self.packed(segment, held, base, met)
-                    held, best, base = held[met - base :], best[met - base :], met
-        yield self.packed(segment, held, base, size)
+                if last == done:
+                    starts.append(done)
+                    ids.append(-1)
+                    best.append(best[-1] + self.lowest)
+                    done += 1
+                total = best[start - base] + scores[piece]
+                if total > best[-1]:
+                    starts[-1], ids[-1], best[-1] = start, piece, total
+        yield self.packed(segment, starts, ids, base, size)
 
     @staticmethod
-    def meeting(held: list[tuple[int, int]], base: int, longest: int) -> int:
+    def meeting(starts: list[int], base: int, longest: int) -> int:
         """The last boundary on the paths of all places from which a piece may still start; the base at worst."""
-        open_ = set(range(base + len(held) - longest, base + len(held)))
+        open_ = set(range(base + len(starts) - longest, base + len(starts)))
         while len(open_) > 1:
             last = max(open_)
             open_.discard(last)
-            open_.add(max(base, held[last - base][0]))
+            open_.add(max(base, starts[last - base]))
         return open_.pop()
 
-    def packed(self, segment: str, held: list[tuple[int, int]], base: int, end: int) -> bytes:
+    def packed(self, segment: str, starts: list[int], ids: list[int], base: int, end: int) -> bytes:
         """Ids of the path from the base to a place."""
         out: list[int] = []
         while end > base:
-            start, piece = held[end - base]
+            start, piece = starts[end - base], ids[end - base]
             if piece < 0:
                 out += self.pieces.fallback(segment[start:end])[::-1]
             else:

@@ -200,6 +200,14 @@ def test_long_segments_are_committed_in_parts(library):
     assert list(own.encode(text)) == library.encode(text)
 
 
+def test_characters_without_pieces_are_committed_in_parts(library):
+    own = subwords.Coder(subwords.Pieces(subwords.model_bytes()))
+    text = "\U0001f600\u16a0" * 4000
+    parts = list(own.stream(text))
+    assert len(parts) > 50 and max(map(len, parts)) < 4000
+    assert list(own.encode(text + "ab" * 600 + text)) == library.encode(text + "ab" * 600 + text)
+
+
 def message(number, value):
     size = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128, n >> 7])
     return bytes([number << 3 | 2]) + size(len(value)) + value
@@ -221,6 +229,11 @@ def test_unigram_model_against_all_segmentations():
             return 0.0
         return max(pieces[text[:n]] + best(text[n:]) for n in range(1, len(text) + 1) if text[:n] in pieces)
 
+    long = "".join(random.Random(5).choice("ab") for _ in range(5000))
+    parts = list(own.stream(long))
+    own.pieces.longest = 1000
+    whole = list(own.stream(long))
+    assert len(parts) > 50 and len(whole) == 1 and b"".join(parts) == whole[0]
     rng = random.Random(4)
     for _ in range(200):
         text = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 12)))

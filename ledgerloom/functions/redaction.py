@@ -40,6 +40,8 @@ def redact_value(c: Column, dtype: T.DataType, depth: int) -> Column:
         return F.lit(TOO_DEEP)
     if isinstance(dtype, T.StringType):
         return redact_text(c)
+    if isinstance(dtype, T.VariantType):
+        return F.when(c.isNotNull(), F.parse_json(_masked_json(c, depth)))
     if isinstance(dtype, T.ArrayType):
         return F.transform(c, lambda x: redact_value(x, dtype.elementType, depth + 1))
     if isinstance(dtype, T.MapType):
@@ -69,6 +71,51 @@ def redact_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def _quoted(c: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(c))
+    return F.when(c.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+
+
+def _masked_json(v: Column, depth: int) -> Column:
+    """JSON text of a masked variant. Members and elements are walked as the same kind of entry, so that the expression grows
+    with the depth and not with the number of ways through it."""
+    if depth > MAX_DEPTH:
+        return F.lit(f'"{TOO_DEEP}"')
+    kind = F.schema_of_variant(v)
+    members = F.transform(
+        F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))
+    )
+    elements = F.transform(
+        F.try_variant_get(v, "$", "array<variant>"), lambda e: F.struct(F.lit(None).cast("string").alias("k"), e.alias("v"))
+    )
+    is_object = kind.startswith("OBJECT")
+
+    def entry(e: Column) -> Column:
+        name = F.coalesce(F.concat(_quoted(e["k"]), F.lit(":")), F.lit(""))
+        value = F.when(e["k"].rlike(f"(?i){SENSITIVE_KEY}"), f'"{REDACTED}"').otherwise(_masked_json(e["v"], depth + 1))
+        return F.concat(name, value)
+
+    inside = F.array_join(F.transform(F.when(is_object, members).otherwise(elements), entry), ",")
+    left, right = F.when(is_object, "{").otherwise("["), F.when(is_object, "}").otherwise("]")
+    return (
+        F.when(is_object | kind.startswith("ARRAY"), F.concat(left, inside, right))  # one place: twice would double at each depth
+        .when(kind == "STRING", _quoted(redact_text(F.try_variant_get(v, "$", "string"))))
+        .otherwise(F.coalesce(F.to_json(v), F.lit("null")))
+    )
+
+
+def redact_json(c: Column, depth: int = 1) -> Column:
+    """Masked copy of any JSON text, whatever its shape: no schema is needed, and rows may differ in theirs.
+
+    Values of sensitive names are masked whatever they hold, texts by the secret shapes, and what lies deeper than
+    :data:`MAX_DEPTH` is cut; ``depth`` is that of the text itself (1: a field of a log entry). Members come back in the order
+    of their names. Null gives null. Text that is no JSON (or repeats a name) is masked as plain text and quoted.
+    """
+    parsed = F.try_parse_json(c)
+    return F.when(parsed.isNotNull(), _masked_json(parsed, depth)).otherwise(_quoted(redact_text(c)))
+
+
 def secret_scan(df: DataFrame, text: str) -> DataFrame:
     """Rows and matches per secret shape; all shapes are counted in one pass and unfolded at the end."""
     counts = df.select(

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import fmt_cap
-from ledgerloom.functions.redaction import SECRET_PATTERNS, redact_rows, redact_text, secret_scan
+from ledgerloom.functions.redaction import SECRET_PATTERNS, redact_json, redact_rows, redact_text, secret_scan
 from ledgerloom.operators import text
 from ledgerloom.plans.market import quote_rows
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.sql import cte, fixed, sql
+from ledgerloom.session import scratch
 from ledgerloom.sources import corpus, market
 from ledgerloom.sources.tables import table
+from ledgerloom.streaming import flows
 
 
 def _masked(x: str) -> str:
@@ -57,6 +59,32 @@ def _redact_keys(spark, sf_dir):
     )
 
 
+cte(
+    "masked_payloads",
+    """SELECT event_id, event_type AS operation, 'sent to [REDACTED]' AS message,
+         CASE event_id % 3
+           WHEN 0 THEN '{"items":[{"apiKey":"[REDACTED]"},"[REDACTED]",' || event_id || '],"props":' || replace(props, ' ', '')
+             || ',"user":{"email":"[REDACTED]","note":"ask [REDACTED]"}}'
+           WHEN 1 THEN '[' || replace(props, ' ', '') || ',"[REDACTED]",{"d":{"phone":"[REDACTED]"}}]'
+           END AS payload FROM events""",
+)
+
+
+@query("redact_json", sql("SELECT event_id, coalesce(payload, '\"raw [REDACTED]\"') AS payload FROM masked_payloads", "masked_payloads"))
+def _redact_json(spark, sf_dir):
+    """JSON whose shape differs from row to row, masked without a schema."""
+    return corpus.json_entries(table(spark, sf_dir, "events")).select("event_id", redact_json(F.col("payload")).alias("payload"))
+
+
+@query("stream_log", sql("SELECT event_id, operation, message, payload FROM masked_payloads", "masked_payloads"))
+def _stream_log(spark, sf_dir):
+    """Log entries streamed into masked JSON lines, then read back. Payloads that are no JSON have no value there."""
+    folder = scratch(spark, "stream-log")
+    entries = corpus.json_entries(flows.table_stream(spark, f"{sf_dir}/events.parquet"))
+    flows.append_log(entries.withColumn("payload", F.try_parse_json("payload")), folder)
+    return flows.log_lines(spark, folder, "event_id long, operation string, message string, payload string")
+
+
 @query(
     "secret_scan",
     sql(

@@ -109,6 +109,22 @@ def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_entries(events: DataFrame) -> DataFrame:
+    """Log entries of events, stored or streamed, whose payload is JSON of one of two shapes, or no JSON at all."""
+    uid, shape = F.col("user_id").cast("string"), F.col("event_id") % 3
+    mail, token = F.concat(F.lit("u"), uid, F.lit("@shop.example.com")), F.concat(F.lit("shpat_"), F.md5(uid))
+    nested = F.format_string(
+        '{"user": {"note": "ask %s", "email": "%s"}, "items": [{"apiKey": 5}, "%s", %d], "props": %s}', mail, mail, token, F.col("event_id"), F.col("props")
+    )
+    listed = F.format_string('[%s, "%s", {"d": {"phone": [1, 2]}}]', F.col("props"), mail)
+    return events.select(
+        "event_id",
+        F.col("event_type").alias("operation"),
+        F.concat(F.lit("sent to "), mail).alias("message"),
+        F.when(shape == 0, nested).when(shape == 1, listed).otherwise(F.concat(F.lit("raw "), token)).alias("payload"),
+    )
+
+
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns, some left blank."""
     blank = (F.col("conv_id") + F.col("turn")) % 9 == 0

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import cents
+from ledgerloom.functions.redaction import redact_rows
 from ledgerloom.operators.deliveries import authenticate, outcome_columns
 from ledgerloom.operators.dedupe import TTL_US
 from ledgerloom.operators.sessions import GAP_SECONDS
@@ -209,6 +210,18 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found or [])
 
 
+def append_log(entries: DataFrame, folder: str) -> None:
+    """Drain log entries that have landed into masked JSON lines. The sink notes the files of each micro-batch when it is whole, so
+    after a stop at any place the next run goes on and :func:`log_lines` has each entry once."""
+    writer = redact_rows(entries).writeStream.format("json").outputMode("append").option("checkpointLocation", f"{folder}/progress")
+    writer.trigger(availableNow=True).start(f"{folder}/lines").awaitTermination()
+
+
+def log_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Entries of the micro-batches that :func:`append_log` has finished; nested values come as JSON text if declared as strings."""
+    return spark.read.schema(schema).json(f"{folder}/lines")
+
+
 def dropped_rows(spark: SparkSession, folder: str) -> int:
     """Rows that the watermark has cut over all runs into the table."""
     return spark.read.parquet(f"{folder}/dropped").groupBy("batch").agg(F.max("dropped").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

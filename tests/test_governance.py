@@ -3,6 +3,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.redaction import redact_json, redact_rows
 from ledgerloom.operators import governance, writes
 from ledgerloom.sources.writes import read_limits
 
@@ -80,3 +81,19 @@ def test_null_kind_is_unknown(spark):
     requests = spark.createDataFrame([(None, 1.0)], "kind string, amount double")
     limits = spark.createDataFrame([("MAX_DAILY_AD_SPEND", 5.0)], "kind string, limit double")
     assert governance.limit_check(requests, limits).first()["status"] == "UNKNOWN_KIND"
+
+
+def test_json_of_any_shape_is_masked(spark):
+    deep = lambda n, inner: '{"a":' * n + inner + "}" * n
+    cases = {
+        '{"b":1,"email":{"x":1},"a":["me@x.com",{"apiKey":5,"t":"ok \\"q\\""}],"n":null}': '{"a":["[REDACTED]",{"apiKey":"[REDACTED]","t":"ok \\"q\\""}],"b":1,"email":"[REDACTED]","n":null}',
+        "[]": "[]", "{}": "{}", "null": "null", "5": "5", "": '""', "not json a@b.cc": '"not json [REDACTED]"',
+        '[true,[[]],{"k":[]}]': '[true,[[]],{"k":[]}]',
+        '{"a":1,"a":2}': json.dumps('{"a":1,"a":2}'),  # a repeated name is no JSON object
+        deep(7, "1"): deep(7, "1"), deep(8, "1"): deep(8, '"[DEPTH]"'), deep(9, "1"): deep(8, '"[DEPTH]"'),
+    }
+    df = spark.createDataFrame([(c,) for c in [*cases, None]], "j string")
+    got = {r.j: r.m for r in df.select("j", redact_json(F.col("j")).alias("m")).collect()}
+    assert got == {**cases, None: None}
+    typed = redact_rows(df.where("j LIKE '[true%' OR j LIKE '{\"b%' OR j IS NULL").select(F.parse_json("j").alias("v")))
+    assert {r.v for r in typed.select(F.to_json("v").alias("v")).collect()} == {cases[c] for c in cases if c.startswith(("[true", '{"b'))} | {None}

@@ -238,3 +238,18 @@ def test_counted_deliveries_equal_batch(spark, tmp_path):
     flows.run_to_table(flows.delivery_stats(streamed, feeds.TEST_SECRET), str(tmp_path / "out"))
     got = spark.read.parquet(str(tmp_path / "out/rows")).select(F.unix_micros("hour").alias("us"), "topic", "reason", "deliveries").collect()
     assert len(got) == len(want) and {(r.us // 3_600_000_000, r.topic, r.reason): r.deliveries for r in got} == want
+
+
+def test_log_sink_has_each_line_once_after_a_failure(spark, tmp_path):
+    rows = spark.range(90).selectExpr("id AS row_id", "concat('ask u', id, '@x.com') AS note", "id AS session")
+    landed = split_files(rows, f"{tmp_path}/in")
+    entries = flows.table_stream(spark, landed, files=1)
+    broken = entries.withColumn("note", F.when(F.col("row_id") == 70, F.raise_error(F.lit("lost"))).otherwise(F.col("note")))
+    with pytest.raises(Exception, match="lost"):
+        flows.append_log(broken, f"{tmp_path}/log")
+    schema = "row_id long, note string, session string"
+    assert 0 < flows.log_lines(spark, f"{tmp_path}/log", schema).count() < 90
+    for _ in range(2):  # the second run finds nothing new
+        flows.append_log(entries, f"{tmp_path}/log")
+    got = sorted(map(tuple, flows.log_lines(spark, f"{tmp_path}/log", schema).collect()))
+    assert got == [(i, "ask [REDACTED]", "[REDACTED]") for i in range(90)]

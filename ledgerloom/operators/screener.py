@@ -45,6 +45,11 @@ def screen(df: DataFrame, q: str = "", sector: str = "All") -> DataFrame:
     return df.withColumn("score", rel_score(q)).where(F.col("score") > 0)
 
 
+def alphabetical(col: str) -> Column:
+    """As people sort: letters before case and accents, by the root collation; texts it holds equal fall back to code points."""
+    return F.asc(F.struct(F.collate(col, "UNICODE"), col))
+
+
 def sort_columns(sort: str) -> list[Column]:
     """Total order of a screen; the universe ordinal settles every tie."""
     by = {
@@ -52,7 +57,8 @@ def sort_columns(sort: str) -> list[Column]:
         "gainers": [F.desc_nulls_last("chg_pct")],
         "losers": [F.asc_nulls_last("chg_pct")],
         "mcap": [F.desc_nulls_last("mcap_num")],
-        "alpha": [F.asc("sym")],
+        "alpha": [alphabetical("sym")],
+        "names": [alphabetical("name")],
     }
     return [*by[sort], F.asc("ord")]
 

@@ -77,6 +77,20 @@ _ranked_query("screen_mcap", "mcap", "mcap_num DESC NULLS LAST", "", _ALL)
 _ranked_query("screen_alpha", "alpha", "sym", "", _ALL)
 
 
+@query(
+    "screen_names",
+    """SELECT 'P' || ord AS sym, name, row_number() OVER (ORDER BY name COLLATE en, name, ord) AS rank FROM (
+         SELECT p_partkey AS ord, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'e', 'é') WHEN 2 THEN replace(p_name, ' ', '-') ELSE p_name END AS name
+         FROM part)""",
+)
+def _screen_names(spark, sf_dir):
+    """Names of mixed case and accents in alphabetical order."""
+    k, name = F.col("ord") % 4, F.col("name")
+    mixed = F.when(k == 0, F.upper(name)).when(k == 1, F.replace(name, F.lit("e"), F.lit("é"))).when(k == 2, F.replace(name, F.lit(" "), F.lit("-"))).otherwise(name)
+    rows = market.listing(spark, sf_dir).withColumn("name", mixed)
+    return screener.ranked(rows, "names").select("sym", "name", "rank")
+
+
 @query(
     "screen_page",
     sql(

@@ -9,14 +9,15 @@ from ledgerloom.operators import deliveries as dlv
 from ledgerloom.operators import governance, offsets, writes
 from ledgerloom.operators.dedupe import ttl_dedupe
 from ledgerloom.operators.edits import apply_watch_edits
+from ledgerloom.operators.ordering import rank_within
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.sql import cte, sql
 from ledgerloom.session import scratch
-from ledgerloom.sources import feeds, market, pages
+from ledgerloom.sources import feeds, market, pages, stored
 from ledgerloom.sources import writes as src
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import flows
-from ledgerloom.streaming.state import offset_stream
+from ledgerloom.streaming.state import offset_stream, watch_stream
 
 _KINDS = "[" + ", ".join(f"'{k}'" for k in governance.LIMIT_KINDS) + "]"
 
@@ -70,17 +71,17 @@ def _unknown_keys(spark, sf_dir):
     return governance.unknown_keys(src.limit_sets(spark, sf_dir), "store")
 
 
-@query(
-    "watch_apply",
-    """SELECT user_id, sym, ord - 1 AS ord, ord = 1 AS selected FROM (
+_LISTS = """SELECT user_id, sym, ord - 1 AS ord, ord = 1 AS selected FROM (
          SELECT user_id, unnest(syms) AS sym, unnest(range(1, len(syms) + 1)) AS ord FROM (
            SELECT user_id, list_filter(string_split(list_reduce([','] || log, lambda a, x: CASE
                WHEN x[1] = 'a' THEN CASE WHEN contains(a, ',' || x[3:] || ',') THEN a ELSE a || x[3:] || ',' END
                WHEN length(a) - length(replace(a, ',', '')) <= 2 THEN a
                ELSE replace(a, ',' || x[3:] || ',', ',') END), ','), lambda s: s <> '') AS syms
            FROM (SELECT user_id, list(CASE WHEN event_type = 'click' THEN 'a:' ELSE 'r:' END || 'P' || (event_id % 20) ORDER BY event_id) AS log
-                 FROM events WHERE event_type IN ('click', 'view') GROUP BY 1)))""",
-)
+                 FROM events WHERE event_type IN ('click', 'view') GROUP BY 1)))"""
+
+
+@query("watch_apply", _LISTS)
 def _watch_apply(spark, sf_dir):
     return apply_watch_edits(src.watch_edits(spark, sf_dir))
 
@@ -118,6 +119,23 @@ def catalog(spark, sf_dir):
     )
 
 
+@query(
+    "stored_upsert",
+    sql(
+        """SELECT coalesce(c.handle, n.handle) AS handle, coalesce(n.title, c.title) AS title, coalesce(n.price, c.price) AS price
+           FROM catalog c FULL JOIN patches n ON n.handle = c.handle""",
+        "catalog",
+        "patches",
+    ),
+)
+def _stored_upsert(spark, sf_dir):
+    """The catalog as a table stored by handle, with the patches merged into the buckets they touch."""
+    folder = scratch(spark, "stored-catalog")
+    stored.create(spark, folder, catalog(spark, sf_dir), ["handle"])
+    stored.merge(spark, folder, src.price_patches(spark, sf_dir), ["handle"])
+    return stored.read(spark, folder)
+
+
 @query(
     "bulk_patch",
     sql(
@@ -130,20 +148,34 @@ def _bulk_patch(spark, sf_dir):
     return writes.bulk_patch(catalog(spark, sf_dir), src.price_patches(spark, sf_dir), "handle", ["price"])
 
 
-@query(
-    "inventory_cas",
-    """WITH stock AS (SELECT l_partkey AS item, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS cur FROM lineitem GROUP BY 1),
+_CAS = """WITH stock AS (SELECT l_partkey AS item, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS cur FROM lineitem GROUP BY 1),
        first_try AS (SELECT * FROM (SELECT l_orderkey AS key, l_partkey AS item, CAST(l_quantity AS BIGINT) AS quantity,
            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, cur + CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END, l_quantity) AS rn,
            cur, cur + CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS expected FROM lineitem JOIN stock ON item = l_partkey) WHERE rn = 1)
        SELECT key, item, expected, cur AS "current", quantity, CASE WHEN expected <> cur THEN 'mismatch'
-         WHEN key = min(key) FILTER (expected = cur) OVER (PARTITION BY item) THEN 'applied' ELSE 'superseded' END AS status FROM first_try""",
-)
+         WHEN key = min(key) FILTER (expected = cur) OVER (PARTITION BY item) THEN 'applied' ELSE 'superseded' END AS status FROM first_try"""
+
+
+@query("inventory_cas", _CAS)
 def _inventory_cas(spark, sf_dir):
     stock, requests = src.stock_requests(spark, sf_dir)
     return writes.compare_and_set(stock, requests)
 
 
+@query(
+    "stored_quantities",
+    f"""WITH decided AS ({_CAS}), stock AS (SELECT l_partkey AS item, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS cur FROM lineitem GROUP BY 1)
+        SELECT s.item, coalesce(d.quantity, s.cur) AS "current" FROM stock s LEFT JOIN decided d ON d.item = s.item AND d.status = 'applied'""",
+)
+def _stored_quantities(spark, sf_dir):
+    """Stock stored by item after the quantity sets that still found what they expected."""
+    folder = scratch(spark, "stored-stock")
+    stock, requests = src.stock_requests(spark, sf_dir)
+    stored.create(spark, folder, stock, ["item"])
+    stored.set_quantities(spark, folder, requests)
+    return stored.read(spark, folder)
+
+
 @query(
     "change_plan",
     sql(
@@ -306,6 +338,37 @@ def _page_gaps(spark, sf_dir):
     return pages.page_gaps(pages.parse_pages(docs, pages.PRODUCT_PAGE_SCHEMA), "products")
 
 
+def _landed(spark, docs, folder):
+    """Product pages landed as files and streamed into stored tables."""
+    docs.select("doc").write.text(f"{folder}/files")
+    stream = pages.page_stream(spark, f"{folder}/files", pages.PRODUCT_PAGE_SCHEMA)
+    flows.land_pages(stream, folder, "products", pages.product_rows, "id")
+
+
+@query(
+    "stream_pages",
+    sql(
+        "SELECT 'product/' || pk AS id, handle, title, status, total_inventory, seo_title, seo_description FROM products",
+        "products",
+    ),
+)
+def _stream_pages(spark, sf_dir):
+    folder = scratch(spark, "stream-pages")
+    _landed(spark, pages.product_page_docs(spark, sf_dir), folder)
+    return stored.read(spark, f"{folder}/rows").drop("landed", "updated_at")
+
+
+@query(
+    "stream_page_gaps",
+    "SELECT 'cursor-' || unnest([p - 1]) AS end_cursor FROM (SELECT unnest(range(0, CAST(ceil((SELECT count(*) FROM part) / 50.0) AS BIGINT))) AS p) WHERE p % 5 = 3",
+)
+def _stream_page_gaps(spark, sf_dir):
+    """Chain check carried along with the landing of pages, of which every fifth is missing."""
+    folder = scratch(spark, "stream-gaps")
+    _landed(spark, pages.product_page_docs(spark, sf_dir).where("page % 5 <> 3"), folder)
+    return flows.landed_gaps(spark, folder)
+
+
 cte(
     "delivered",
     """SELECT event_id AS row_id, epoch_us(ts) AS us, ts, event_type AS topic, event_id % 11 <> 0 AND event_id % 37 <> 0 AS valid,
@@ -459,3 +522,14 @@ def _stream_delivery_stats(spark, sf_dir):
     flows.run_to_table(flows.delivery_stats(streamed, feeds.TEST_SECRET), folder)
     hour = F.date_format("hour", "yyyy-MM-dd HH").alias("hour")
     return spark.read.parquet(f"{folder}/rows").select(hour, "topic", "reason", "deliveries")
+
+
+@query("stream_watch", _LISTS)
+def _stream_watch(spark, sf_dir):
+    """Watchlist edits streamed through keyed state into a table stored by user and symbol."""
+    folder = scratch(spark, "stream-watch")
+    edits = src.edits_of(flows.event_stream(spark, f"{sf_dir}/events.parquet"))
+    flows.run_to_stored(watch_stream(edits), folder, ["user_id", "sym"], "ord")
+    listed = stored.read(spark, f"{folder}/table").where("place IS NOT NULL")
+    ranked = rank_within(listed.select("user_id", "sym", "place"), ["user_id"], ["place"], "at")
+    return ranked.select("user_id", "sym", (F.col("at") - 1).alias("ord"), (F.col("at") == 1).alias("selected"))

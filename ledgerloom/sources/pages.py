@@ -35,12 +35,12 @@ ORDER_PAGE_SCHEMA = page_schema("orders", ORDER_NODE)
 PRODUCT_PAGE_SCHEMA = page_schema("products", PRODUCT_NODE)
 
 
-def flatten_orders(pages: DataFrame, since: str | None = None) -> DataFrame:
-    """One row per order of the landed pages; pages landed twice do not repeat orders."""
+def order_rows(pages: DataFrame) -> DataFrame:
+    """A row per order and landing of the pages, stored or streamed."""
     n = pages.select(landing(pages), F.explode("data.orders.nodes").alias("n"))
     amount = lambda c: F.col(f"n.{c}.shopMoney.amount").cast("decimal(18,2)")
     visit = "n.customerJourneySummary.firstVisit"
-    flat = n.select(
+    return n.select(
         "landed",
         F.col("n.id").alias("order_id"),
         F.to_timestamp("n.createdAt").alias("created_at"),
@@ -56,18 +56,26 @@ def flatten_orders(pages: DataFrame, since: str | None = None) -> DataFrame:
         F.col(f"{visit}.utmParameters.medium").alias("utm_medium"),
         F.col(f"{visit}.utmParameters.campaign").alias("utm_campaign"),
     )
-    newest = newest_landing(flat, "order_id")
+
+
+def flatten_orders(pages: DataFrame, since: str | None = None) -> DataFrame:
+    """One row per order of the landed pages; pages landed twice do not repeat orders."""
+    newest = newest_landing(order_rows(pages), "order_id")
     return newest if since is None else newest.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
 
 
-def flatten_products(pages: DataFrame) -> DataFrame:
+def product_rows(pages: DataFrame) -> DataFrame:
+    """A row per product and landing of the pages, stored or streamed."""
     n = pages.select(landing(pages), F.explode("data.products.nodes").alias("n"))
-    flat = n.select(
+    return n.select(
         "landed", "n.id", "n.handle", "n.title", "n.status", F.col("n.totalInventory").cast("bigint").alias("total_inventory"),
         F.to_timestamp("n.updatedAt").alias("updated_at"), F.col("n.seo.title").alias("seo_title"),
         F.col("n.seo.description").alias("seo_description"),
     )
-    return newest_landing(flat, "id")
+
+
+def flatten_products(pages: DataFrame) -> DataFrame:
+    return newest_landing(product_rows(pages), "id")
 
 
 def landing(pages: DataFrame) -> Column:
@@ -85,8 +93,18 @@ def newest_landing(flat: DataFrame, key: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Page documents of a folder of files, with the time and the name of each one's file."""
-    landed = F.concat_ws(" ", F.col("_metadata.file_modification_time").cast("string"), F.col("_metadata.file_path"))
-    return spark.read.schema(schema).json(path).withColumn("landed", landed)
+    return spark.read.schema(schema).json(path).withColumn("landed", _file_time())
+
+
+def page_stream(spark: SparkSession, path: str, schema: str, files: int | None = None) -> DataFrame:
+    """Page documents as their files land in a folder; ``files`` bounds how many make a batch."""
+    stream = spark.readStream.schema(schema)
+    return (stream if files is None else stream.option("maxFilesPerTrigger", files)).json(path).withColumn("landed", _file_time())
+
+
+def _file_time() -> Column:
+    at = F.date_format("_metadata.file_modification_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.concat_ws(" ", at, F.col("_metadata.file_path"))
 
 
 def read_order_pages(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
@@ -98,6 +116,15 @@ def read_product_pages(spark: SparkSession, path: str) -> DataFrame:
     return flatten_products(read_pages(spark, path, PRODUCT_PAGE_SCHEMA))
 
 
+def cursors(pages: DataFrame, field: str) -> DataFrame:
+    """Per cursor whether a page promises that it leads on, and whether a page fetched it; null: no page seen does."""
+    info = f"data.{field}.pageInfo"
+    ends = pages.where(F.col(f"{info}.hasNextPage")).select(F.col(f"{info}.endCursor").alias("end_cursor"), F.lit(True).alias("promised"), F.lit(None).cast("boolean").alias("fetched"))
+    starts = pages.select(F.col("after").alias("end_cursor"), F.lit(None).cast("boolean").alias("promised"), F.lit(True).alias("fetched"))
+    both = ends.unionByName(starts).where("end_cursor IS NOT NULL")
+    return both.groupBy("end_cursor").agg(F.max("promised").alias("promised"), F.max("fetched").alias("fetched"))
+
+
 def page_gaps(pages: DataFrame, field: str) -> DataFrame:
     """Cursors that promise a next page nobody fetched."""
     info = f"data.{field}.pageInfo"

@@ -99,8 +99,13 @@ def allowed_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def watch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watchlist edit log: clicks add, views remove."""
+    return edits_of(table(spark, sf_dir, "events"))
+
+
+def edits_of(events: DataFrame) -> DataFrame:
+    """Watchlist edits of events, stored or streamed."""
     return (
-        table(spark, sf_dir, "events")
+        events
         .where(F.col("event_type").isin("click", "view"))
         .select(
             "user_id",

@@ -12,6 +12,9 @@ from ledgerloom.functions.redaction import redact_rows
 from ledgerloom.operators.deliveries import authenticate, outcome_columns
 from ledgerloom.operators.dedupe import TTL_US
 from ledgerloom.operators.sessions import GAP_SECONDS
+from ledgerloom.session import durable
+from ledgerloom.sources.pages import cursors
+from ledgerloom.sources.stored import create, merge, read, versions
 from ledgerloom.streaming.state import claim_stream, timed_claims
 
 REFUND_LAG = "14 days"
@@ -210,6 +213,36 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found or [])
 
 
+def run_to_stored(stream: DataFrame, folder: str, keys: list[str], order: str) -> None:
+    """Drain what has landed into a table stored by key (see :mod:`ledgerloom.sources.stored`) at ``table``: the row that is latest by
+    ``order`` counts, so replayed batches change nothing, and a batch rewrites only the buckets of its keys."""
+    spark, stored = stream.sparkSession, f"{folder}/table"
+    if not versions(spark, stored):
+        create(spark, stored, spark.createDataFrame([], stream.schema), keys)
+    _drain(stream, folder, "append", lambda batch, _: merge(spark, stored, batch, keys, order) and None)
+
+
+def land_pages(stream: DataFrame, folder: str, field: str, rows: Callable[[DataFrame], DataFrame], key: str) -> None:
+    """Drain page documents that have landed into two tables stored by key: ``rows``, the newest landing of each row, and ``cursors``,
+    what all pages so far tell of each cursor. Only new files are read; they may land in any order and more than once."""
+    spark = stream.sparkSession
+    for name, df, by in (("rows", rows(stream), key), ("cursors", cursors(stream, field), "end_cursor")):
+        if not versions(spark, f"{folder}/{name}"):
+            create(spark, f"{folder}/{name}", spark.createDataFrame([], df.schema), [by])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = durable(batch, "landing")  # parsed once for both tables
+        merge(spark, f"{folder}/rows", rows(batch), [key], "landed")
+        merge(spark, f"{folder}/cursors", cursors(batch, field), ["end_cursor"], fill=True)
+
+    _drain(stream, folder, "append", write)
+
+
+def landed_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Cursors that lead to a page nobody has landed yet."""
+    return read(spark, f"{folder}/cursors").where("promised AND fetched IS NULL").select("end_cursor")
+
+
 def append_log(entries: DataFrame, folder: str) -> None:
     """Drain log entries that have landed into masked JSON lines. The sink notes the files of each micro-batch when it is whole, so
     after a stop at any place the next run goes on and :func:`log_lines` has each entry once."""

@@ -1,7 +1,7 @@
-"""Exact keyed state processors: time-to-live claims and clamped offsets.
+"""Exact keyed state processors: time-to-live claims, clamped offsets and watchlists.
 
 Rows of one key arrive unordered inside a micro-batch, so each handler sorts the key's share of the batch; size it
-with ``maxFilesPerTrigger``/``maxBytesPerTrigger``. Both keep event time in the state, so replays and the batch
+with ``maxFilesPerTrigger``/``maxBytesPerTrigger``. Those with a time keep event time in the state, so replays and the batch
 twins agree.
 """
 
@@ -86,6 +86,54 @@ class ClampedOffset(StatefulProcessor):
         pass
 
 
+class WatchEdits(StatefulProcessor):
+    """A user's watchlist: adding twice is idempotent, and the last symbol stays.
+
+    Places are a map from symbol to place, so a batch reads and writes only the entries of symbols it names, however long the list.
+    Yields each symbol whose entry a batch has changed.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.places = handle.getMapState("places", "sym string", "place bigint")
+        self.size = handle.getValueState("size", "held bigint, next bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _in_order(rows, ["ord"])
+        held, following = self.size.get() if self.size.exists() else (0, 0)
+        seen, now, changed = {}, {}, {}
+        for no, adds, sym in zip(pdf["ord"].tolist(), pdf["adds"].tolist(), pdf["sym"].tolist(), strict=True):
+            if sym not in now:
+                seen[sym] = now[sym] = self.places.getValue((sym,))[0] if self.places.containsKey((sym,)) else None
+            if adds and now[sym] is None:
+                now[sym], held, following, changed[sym] = following, held + 1, following + 1, no
+            elif not adds and now[sym] is not None and held > 1:
+                now[sym], held, changed[sym] = None, held - 1, no
+        for sym in changed:
+            if now[sym] is not None:
+                self.places.updateValue((sym,), (now[sym],))
+            elif seen[sym] is not None:
+                self.places.removeKey((sym,))
+        self.size.update((held, following))
+        out = {"user_id": key[0], "sym": list(changed), "ord": list(changed.values())}
+        yield pd.DataFrame(out).assign(place=pd.array([now[s] for s in changed], dtype="Int64"))
+
+    def close(self) -> None:
+        pass
+
+
+def watch_stream(edits: DataFrame) -> DataFrame:
+    """Changed places of streamed edits (user_id, ord, adds, sym): user_id, sym, ord of the last change, place (null: taken off).
+
+    ``ord`` must rise from batch to batch of a user. Edits without a symbol are left out."""
+    use_rocksdb(edits.sparkSession)
+    return edits.select("user_id", "ord", "adds", "sym").where("sym IS NOT NULL").groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=WatchEdits(),
+        outputStructType="user_id bigint, sym string, ord bigint, place bigint",
+        outputMode="append",
+        timeMode="none",
+    )
+
+
 def claim_stream(rows: DataFrame, ttl_us: int = TTL_US, delay: str = "1 hour") -> DataFrame:
     """Acceptance flag for each streamed (id, us, row_id). State lasts until the watermark, ``delay`` behind the newest time,
     passes an id's expiry. Rows behind the watermark are cut and counted (see ``flows.dropped_rows``), so ``delay`` has to

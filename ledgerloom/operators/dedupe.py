@@ -12,6 +12,7 @@ about log2(chunks of the longest id) rounds; and each chunk marks its rows from
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,25 +47,34 @@ def successors(placed: DataFrame) -> DataFrame:
     return found.select("pos", "row_id", F.when(F.col("next.id").eqNullSafe(F.col("id")), F.col("next.pos")).alias("nxt"))
 
 
-def _exits(size: int):
-    """Where the chain from each row of a chunk leaves it (null: it ends inside)."""
+def _inside(chunk: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """A chunk by position, and the index of each row's successor, or the row's own where that is outside or none."""
+    chunk = chunk.sort_values("pos", ignore_index=True)
+    pos, nxt = chunk["pos"].to_numpy(), chunk["nxt"].to_numpy()
+    at = np.minimum(np.searchsorted(pos, nxt), len(pos) - 1)
+    return chunk, np.where(pos[at] == nxt, at, np.arange(len(pos)))
 
-    def run(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
-        last, out = (key[0] + 1) * size, {}
-        for pos, nxt in sorted(zip(chunk["pos"], chunk["nxt"], strict=True), reverse=True):
-            out[pos] = None if nxt < 0 else nxt if nxt >= last else out[nxt]
-        return pd.DataFrame({"pos": list(out), "exit": pd.array(list(out.values()), dtype="Int64")})
 
-    return run
+def _exits(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
+    """Where the chain from each row of a chunk leaves it; rows whose chain ends inside are left out."""
+    chunk, at = _inside(chunk)
+    while not np.array_equal(at, at[at]):  # the steps double
+        at = at[at]
+    exits = chunk["nxt"].to_numpy()[at]
+    return pd.DataFrame({"pos": chunk["pos"], "exit": exits})[exits >= 0]
 
 
 def _marks(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
     """Acceptance of a chunk's rows: its entries and what follows them inside."""
-    marked = set(chunk.loc[chunk["entry"], "pos"])
-    for pos, nxt in sorted(zip(chunk["pos"], chunk["nxt"], strict=True)):
-        if pos in marked:
-            marked.add(nxt)
-    return pd.DataFrame({"row_id": chunk["row_id"], "accepted": chunk["pos"].isin(marked)})
+    chunk, at = _inside(chunk)
+    marked = chunk["entry"].to_numpy(dtype=bool).copy()
+    while True:
+        # marks are complete up to a number of steps that doubles
+        marked[at[marked]] = True
+        if np.array_equal(at, at[at]):
+            break
+        at = at[at]
+    return pd.DataFrame({"row_id": chunk["row_id"], "accepted": marked})
 
 
 def on_chains(placed: DataFrame, chunk_rows: int = CHUNK) -> DataFrame:
@@ -73,7 +83,7 @@ def on_chains(placed: DataFrame, chunk_rows: int = CHUNK) -> DataFrame:
     chain = durable(successors(placed).withColumns({"chunk": chunk, "nxt": F.coalesce("nxt", F.lit(-1))}), "ttl-chain")
     heads = placed.groupBy("id").agg(F.min("pos").alias("pos")).select("pos")
     # with one chunk no chain leaves it; the same steps then run over empty tables
-    jumps = durable(chain.groupBy("chunk").applyInPandas(_exits(chunk_rows), "pos bigint, exit bigint").where("exit IS NOT NULL"), "ttl-exits")
+    jumps = durable(chain.groupBy("chunk").applyInPandas(_exits, "pos bigint, exit bigint"), "ttl-exits")
     entries = durable(heads, "ttl-entries")
     while True:
         reached = durable(entries.join(jumps, "pos").select(F.col("exit").alias("pos")).distinct(), "ttl-reached")

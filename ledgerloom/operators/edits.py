@@ -27,13 +27,14 @@ def apply_watch_edits(edits: DataFrame) -> DataFrame:
     the end, so it is always the one at the head of the list.
     """
     log = global_index(edits.select("user_id", "ord", "adds", "sym"), ["user_id", "ord"], "no")
-    was = latest_before(log, ["user_id", "sym"], ["no"], F.col("adds"), "was_added")
+    log = global_index(log, ["user_id", "sym", "no"], "by_sym")
+    was = latest_before(log, ["user_id", "sym"], ["no"], F.col("adds"), "was_added", number=F.col("by_sym"))
     change = F.when(F.col("adds") & ~F.coalesce("was_added", F.lit(False)), 1).when(~F.col("adds") & F.coalesce("was_added", F.lit(False)), -1).otherwise(0)
-    counted = durable(running_sum(was.withColumn("change", change), ["user_id"], ["no"], "change", "left"), "edits-counted")
+    counted = durable(running_sum(was.withColumn("change", change), ["user_id"], ["no"], "change", "left", number=F.col("no")), "edits-counted")
 
     # a removal that would empty the list, and the edit that would free its symbol afterwards
     frees = F.when(F.col("adds") | (F.col("left") > 0), F.struct("no", "adds"))
-    freed = latest_before(counted, ["user_id", "sym"], [F.desc("no")], frees, "freed")
+    freed = latest_before(counted, ["user_id", "sym"], [F.desc("no")], frees, "freed", number=-F.col("by_sym"))
     emptying = freed.where("change = -1 AND left = 0").select(
         F.col("user_id").alias("id"), F.col("no").alias("us"), F.col("freed.no").alias("due"), "sym", F.col("freed.adds").alias("again")
     )

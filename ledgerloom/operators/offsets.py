@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.ordering import global_index
-from ledgerloom.session import durable
 
 LIMIT_MICRO = 60_000  # offset limit in millionths
 CHUNK = 4096
@@ -58,9 +57,10 @@ def clamped_offsets(steps: DataFrame, size: int = CHUNK) -> DataFrame:
     one = F.struct(step.alias("total"), _clamp(F.lit(-LIMIT_MICRO) + step).alias("lo"), _clamp(F.lit(LIMIT_MICRO) + step).alias("hi"))
     none = F.struct(*[F.lit(v).cast("bigint").alias(c) for c, v in zip(_RUN, (0, -LIMIT_MICRO, LIMIT_MICRO), strict=True)])
     runs = numbered.select("sym", "no", one.alias("run"), none.alias("before"), F.lit(1).cast("bigint").alias("n"))
-    while True:
-        runs = durable(_reduced(runs, size), "offset-runs")
-        if runs.groupBy("sym").count().where("count > 1").isEmpty():
-            break
+    # after how many reductions every symbol is one run: the chunks of its first and last number meet
+    ends = numbered.groupBy("sym").agg(F.min("no").alias("first"), F.max("no").alias("last"))
+    apart = [F.coalesce(F.max(F.floor(F.col("first") / size**r) != F.floor(F.col("last") / size**r)), F.lit(False)) for r in range(1, 62 // size.bit_length() + 1)]
+    for _ in range(1 + sum(ends.agg(*[c.alias(f"r{i}") for i, c in enumerate(apart)]).first())):
+        runs = _reduced(runs, size)
     x = lambda run: _apply(F.col(run), F.lit(0).cast("bigint"))
     return runs.select("sym", x("run").alias("offset_micro"), F.when(x("run") > x("before"), "up").otherwise("down").alias("dir"), F.col("n").alias("ticks"))

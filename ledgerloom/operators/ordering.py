@@ -60,17 +60,21 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column | str], name:
 PIECE_ROWS = 20_000
 
 
-def _pieced(df: DataFrame, keys: list[str], order: list[Column | str], rows: int) -> DataFrame:
+def _pieced(df: DataFrame, keys: list[str], order: list[Column | str], rows: int, number: Column | None) -> DataFrame:
     """Rows numbered by (keys, order) with the piece, of a fixed number of rows, that each is in."""
-    return global_index(df, [*keys, *order], "_no").withColumn("_piece", F.floor(F.col("_no") / rows))
+    placed = global_index(df, [*keys, *order], "_no") if number is None else df.withColumn("_no", number)
+    return placed.withColumn("_piece", F.floor(F.col("_no") / rows))
 
 
-def latest_before(df: DataFrame, keys: list[str], order: list[Column | str], value: Column, name: str, rows: int = PIECE_ROWS) -> DataFrame:
+def latest_before(
+    df: DataFrame, keys: list[str], order: list[Column | str], value: Column, name: str, rows: int = PIECE_ROWS, number: Column | None = None
+) -> DataFrame:
     """The last non-null ``value`` among the earlier rows of a key, in an order that is total within it.
 
-    Looks inside fixed-size pieces first and then at one value per key and piece, so a key of any size is spread.
+    Looks inside fixed-size pieces first and then at one value per key and piece, so a key of any size is spread. Rows that are
+    numbered in this order already, keys first, need no sort: ``number`` is that column, or its negative for the reverse.
     """
-    placed = _pieced(df.withColumn("_value", value), keys, order, rows)
+    placed = _pieced(df.withColumn("_value", value), keys, order, rows, number)
     here = Window.partitionBy("_piece", *keys).orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_no")))
@@ -84,9 +88,11 @@ def latest_before(df: DataFrame, keys: list[str], order: list[Column | str], val
     )
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[Column | str], value: str, name: str, rows: int = PIECE_ROWS) -> DataFrame:
-    """Sum of ``value`` over a key's rows up to and with each, in an order that is total within the key."""
-    placed = _pieced(df, keys, order, rows)
+def running_sum(
+    df: DataFrame, keys: list[str], order: list[Column | str], value: str, name: str, rows: int = PIECE_ROWS, number: Column | None = None
+) -> DataFrame:
+    """Sum of ``value`` over a key's rows up to and with each, in an order that is total within the key; ``number`` as above."""
+    placed = _pieced(df, keys, order, rows, number)
     here = Window.partitionBy("_piece", *keys).orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*keys, "_piece").agg(F.sum(value).alias("_sum"))

@@ -22,7 +22,7 @@ REFUND_LAG = "14 days"
 
 def _escaped(path: str) -> str:
     """The path as a pattern: its own signs of patterns stand for themselves."""
-    return "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in path.rstrip("/"))
+    return "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in path)
 
 
 def _only(path: str) -> str:
@@ -37,7 +37,7 @@ def table_stream(spark: SparkSession, path: str, files: int | None = None) -> Da
     All files that have landed since the last run are one micro-batch, whatever order their times are in: the watermark
     only moves between batches, so a backlog loses no row. ``files`` bounds a batch where files are known to be in order.
     """
-    stream = spark.readStream.schema(spark.read.parquet(_escaped(path)).schema)
+    stream = spark.readStream.schema(spark.read.parquet(_escaped(path.rstrip("/"))).schema)
     return (stream if files is None else stream.option("maxFilesPerTrigger", files)).parquet(_only(path))
 
 

@@ -218,9 +218,9 @@ def test_latest_rows_follow_the_list_and_survive_a_replay(spark, tmp_path):
 
 
 def test_a_path_with_signs_of_patterns(spark, tmp_path):
-    for name in ("a*b", "a[b]c", "axb"):
+    for name in ("a*b", "a[b]c", "axb", "d/e"):
         land(spark, str(tmp_path / name), [(1, 5, 1, "view", 1.0)] if name == "axb" else [(1, 5, 1, "view", 1.0), (2, 6, 1, "view", 1.0)])
-    for i, name in enumerate(("a*b", "a[b]c")):
+    for i, name in enumerate(("a*b", "a[b]c", "d/e")):
         flows.run_to_table(flows.event_stream(spark, f"{tmp_path}/{name}/").select("event_id"), str(tmp_path / f"out{i}"))
         assert spark.read.parquet(str(tmp_path / f"out{i}/rows")).count() == 2
 
